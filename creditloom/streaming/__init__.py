@@ -1,0 +1 @@
+"""Empty on purpose: the workload is batch only (no stream source, watermark or state)."""

@@ -6,7 +6,7 @@ from importlib import import_module
 
 from creditloom.catalog.base import Catalog
 
-MODULES = ["features"]
+MODULES = ["features", "profile", "graphs"]
 
 
 def load() -> Catalog:

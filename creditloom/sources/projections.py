@@ -27,6 +27,18 @@ def _prop_k(dialect: str) -> str:
     return "get_json_object(props, '$.k')" if dialect == "spark" else "json_extract_string(props, '$.k')"
 
 
+def _attributions(dialect: str) -> str:
+    if dialect == "spark":
+        return """
+SELECT vec_id AS sk_id, concat('f', lpad(CAST(pos AS STRING), 2, '0')) AS feature, CAST(x AS DOUBLE) AS value,
+  CAST(vec_id % 3 AS INT) AS risk
+FROM embeddings LATERAL VIEW posexplode(embedding) e AS pos, x"""
+    return """
+SELECT vec_id AS sk_id, 'f' || lpad(CAST(i - 1 AS VARCHAR), 2, '0') AS feature, CAST(embedding[i] AS DOUBLE) AS value,
+  CAST(vec_id % 3 AS INTEGER) AS risk
+FROM (SELECT *, unnest(generate_series(1, len(embedding))) AS i FROM embeddings)"""
+
+
 def view_sql(dialect: str) -> dict[str, str]:
     """View name -> SELECT text in the given dialect (``spark`` or ``duckdb``)."""
     order_day, ship_day, prop_k = _days(dialect, "o_orderdate"), _days(dialect, "l_shipdate"), _prop_k(dialect)
@@ -118,6 +130,8 @@ FROM events WHERE event_type = 'purchase'""",
 SELECT c_custkey AS sk_id_curr, CASE WHEN c_acctbal < 0 THEN 1 ELSE 0 END AS target,
   CAST(c_custkey * 7919 % 1000 AS DOUBLE) / 1000 AS score
 FROM customer""",
+        # Attributions in long form: one row per node and feature, with a risk level per node.
+        "attr": _attributions(dialect),
         # Node table of the similarity graph.
         "nodes": "\nSELECT vec_id AS sk_id, embedding, label AS cluster FROM embeddings",
     }

@@ -6,7 +6,7 @@ from importlib import import_module
 
 from creditloom.catalog.base import Catalog
 
-MODULES = ["features", "profile", "graphs"]
+MODULES = ["features", "profile", "graphs", "learning"]
 
 
 def load() -> Catalog:

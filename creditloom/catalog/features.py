@@ -355,7 +355,7 @@ for _name, (_view, _derive, _spec, _window, _cte, _table, _cond) in FAMILIES.ite
     _prefix = PREFIXES[_name]
 
     def _family_job(v, view=_view, derive=_derive, spec=_spec, window=_window, prefix=_prefix):
-        df = fam.single_window(derive(getattr(v, view)), spec, window())
+        df = fam.single_window(getattr(v, view), spec, window(), derive)
         return rounded(df, *quotient_features(spec, prefix))
 
     catalog.add(
@@ -392,9 +392,9 @@ catalog.add(
     "a9_active_overdue_ratios",
     lambda v: rounded(
         window_features(
-            fam.derive_bureau(v.bureau), fam.KEY,
+            v.bureau, fam.KEY,
             {"sk_id_bureau": ["count"], "bureau_is_dpd": ["sum"], "bureau_is_dpd_over120": ["sum"]},
-            fam.bureau_windows()[:2],
+            fam.bureau_windows()[:2], fam.derive_bureau,
         )
         .withColumns(fam.active_overdue_ratios())
         .select(fam.KEY, *ACTIVE_RATIO_NAMES),
@@ -434,17 +434,17 @@ add_windows(
 )
 add_windows(
     "a14_prev_windows_one_scan",
-    lambda v: window_features(fam.derive_prev(v.prev), fam.KEY, fam.PREV_SPEC, fam.prev_windows()),
+    lambda v: window_features(v.prev, fam.KEY, fam.PREV_SPEC, fam.prev_windows(), fam.derive_prev),
     PREV_D, "prev_d", fam.PREV_SPEC, PREV_W,
 )
 add_windows(
     "a14_bureau_windows_one_scan",
-    lambda v: window_features(fam.derive_bureau(v.bureau), fam.KEY, fam.BUREAU_SPEC, fam.bureau_windows()),
+    lambda v: window_features(v.bureau, fam.KEY, fam.BUREAU_SPEC, fam.bureau_windows(), fam.derive_bureau),
     BUREAU_D, "bureau_d", fam.BUREAU_SPEC, BUREAU_W,
 )
 add_windows(
     "j3_prev_windows_joined",
-    lambda v: joined_windows(fam.derive_prev(v.prev), fam.KEY, fam.PREV_SPEC, fam.prev_windows()),
+    lambda v: joined_windows(v.prev, fam.KEY, fam.PREV_SPEC, fam.prev_windows(), fam.derive_prev),
     PREV_D, "prev_d", fam.PREV_SPEC, PREV_W,
 )
 

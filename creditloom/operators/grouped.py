@@ -1,30 +1,39 @@
 """Grouped feature aggregates generated from a column -> functions specification.
 
-A window is a named row filter (all rows, the last year, active credits, ...). All windows of a table
-come from one scan: rows are first reduced per key and *cell*, where a cell is the set of windows the
-row belongs to, and the few cells of a key are then merged into its windows. The first step keeps one
-count, sum, minimum and maximum per column however many windows there are, so the shuffled rows stay
-narrow, and its map-side combine takes the weight off a key that owns a large part of the table.
+A window is a named row filter (all rows, the last year, active credits, ...). All windows of a table are
+computed together, from one scan and with one exchange.
+
+What crosses the network decides the cost here. A feature family has several times more aggregate
+buffers than source columns, and an applicant has a few dozen rows spread over the whole table, so
+combining before the exchange would ship wide buffers and reduce next to nothing. Rows of ordinary keys
+are therefore exchanged as they are, with derived columns computed afterwards. Keys that own a large
+share of the table are the opposite case: they are few and combine to one row per task, so they take
+the ordinary partial aggregation and never meet in one task.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Spec = Mapping[str, Sequence[str]]
-
-# Which of the four mergeable parts a function is computed from.
-_PARTS = {
-    "count": ("n",),
-    "sum": ("sum",),
-    "mean": ("n", "sum"),
-    "min": ("min",),
-    "max": ("max",),
-}
+Derive = Callable[[DataFrame], DataFrame]
+
+# A key is hot when it owns more than this share of the rows, so at most 1/share keys are.
+HOT_SHARE = 0.002
+# Above this many rows per key on average, combining before the exchange pays for every key.
+ROWS_PER_KEY = 256
+# Looked-at rows below which a key is never worth a route of its own.
+MIN_HOT_ROWS = 10_000
+# Share of the rows looked at to tell hot keys; the result does not depend on it, only the route.
+LOOK_SHARE = 0.1
+
+# Which mergeable parts a function is computed from.
+_PARTS = {"count": ("n",), "sum": ("sum",), "mean": ("n", "sum"), "min": ("min",), "max": ("max",)}
+_COMPUTE = {"n": F.count, "sum": F.sum, "min": F.min, "max": F.max}
 _MERGE = {"n": F.sum, "sum": F.sum, "min": F.min, "max": F.max}
 
 
@@ -35,6 +44,9 @@ class Window:
     prefix: str
     condition: Column | None = None
 
+    def inside(self, value: Column) -> Column:
+        return value if self.condition is None else F.when(self.condition, value)
+
 
 def feature_name(prefix: str, column: str, fn: str) -> str:
     return f"{prefix}{column}_{fn}"
@@ -44,120 +56,111 @@ def feature_names(spec: Spec, prefix: str) -> list[str]:
     return [feature_name(prefix, column, fn) for column, fns in spec.items() for fn in fns]
 
 
-def _parts(spec: Spec) -> list[tuple[str, str]]:
-    wanted: dict[tuple[str, str], None] = {}
-    for column, fns in spec.items():
-        for fn in fns:
-            for part in _PARTS.get(fn, ()):
-                wanted[(column, part)] = None
-    return list(wanted)
-
-
-def _part_column(column: str, part: str) -> Column:
-    return {"n": F.count, "sum": F.sum, "min": F.min, "max": F.max}[part](column)
+def _as_is(df: DataFrame) -> DataFrame:
+    return df
 
 
-def _feature(column: str, fn: str, part) -> Column:
-    if fn == "mean":
-        return F.try_divide(part(column, "sum"), part(column, "n"))
-    if fn == "sum":
-        total = part(column, "sum")
-        return F.coalesce(total, F.lit(0))
-    return part(column, _PARTS[fn][0])
-
-
-def grouped_features(df: DataFrame, key: str, spec: Spec, prefix: str = "") -> DataFrame:
-    """One row per non-null key with every function of the specification.
-
-    ``std`` is the sample deviation (null for one row), ``nunique`` ignores nulls, ``sum`` of an
-    all-null group is 0.
-    """
-    # Parts share one buffer between the functions that need them (mean and sum, say).
-    aggregates = [_part_column(c, p).alias(f"{c}__{p}") for c, p in _parts(spec)]
-    for column, fns in spec.items():
-        if "nunique" in fns:
-            aggregates.append(F.count_distinct(column).alias(f"{column}__nunique"))
-        if "std" in fns:
-            aggregates.append(F.stddev_samp(column).alias(f"{column}__std"))
-    reduced = df.where(F.col(key).isNotNull()).groupBy(key).agg(*aggregates)
-
-    def part(column: str, name: str) -> Column:
-        return F.col(f"{column}__{name}")
-
-    features = [
-        (part(column, fn) if fn in ("nunique", "std") else _feature(column, fn, part)).alias(
-            feature_name(prefix, column, fn)
-        )
-        for column, fns in spec.items()
-        for fn in fns
-    ]
-    return reduced.select(key, *features)
+def _routes(df: DataFrame, key: str) -> tuple[list, bool]:
+    """Hot keys, and whether ordinary keys have few enough rows to be exchanged uncombined."""
+    counts = df.select(key).sample(LOOK_SHARE, seed=11).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    sums = counts.agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("keys"))
+    total = sums.select(F.struct("rows", "keys")).scalar()
+    heavy = (
+        counts.where(F.col("n") > F.greatest(total.getField("rows") * F.lit(HOT_SHARE), F.lit(float(MIN_HOT_ROWS))))
+        .select(F.lit(0).alias("kind"), key)
+    )
+    few = sums.where(F.col("rows") <= F.col("keys") * F.lit(ROWS_PER_KEY * LOOK_SHARE)).select(
+        F.lit(1).alias("kind"), F.lit(None).alias(key)
+    )
+    found = heavy.union(few).collect()
+    return [row[key] for row in found if row["kind"] == 0], any(row["kind"] == 1 for row in found)
 
 
-def window_features(df: DataFrame, key: str, spec: Spec, windows: Sequence[Window]) -> DataFrame:
-    """Features of several windows from one scan of ``df``.
+def window_features(
+    df: DataFrame, key: str, spec: Spec, windows: Sequence[Window], derive: Derive = _as_is
+) -> DataFrame:
+    """Features of several windows of ``derive(df)``, one row per non-null key.
 
-    Keys are those with any row. Features of a window without rows are null, counts included, as a
-    left join of separately aggregated windows would leave them.
+    Features of a window without rows are null, counts included, as a left join of separately
+    aggregated windows would leave them. ``std`` is the sample deviation (null for one row),
+    ``nunique`` ignores nulls, ``sum`` of an all-null group is 0.
     """
-    if any("std" in fns for fns in spec.values()):
-        raise ValueError("std is not mergeable across cells; use joined_windows")
+    present = df.where(F.col(key).isNotNull())
+    hot, uncombined = _routes(present, key)
+    if not uncombined:
+        return _aggregate(derive(present), key, spec, windows)
+    if not hot:
+        return _aggregate(derive(present.repartition(key)), key, spec, windows)
+    is_hot = F.col(key).isin(hot)
+    ordinary = _aggregate(derive(present.where(~is_hot).repartition(key)), key, spec, windows)
+    return ordinary.unionByName(_aggregate(derive(present.where(is_hot)), key, spec, windows))
+
+
+def _aggregate(rows: DataFrame, key: str, spec: Spec, windows: Sequence[Window]) -> DataFrame:
+    parts = list({(column, part): None for column, fns in spec.items() for fn in fns for part in _PARTS.get(fn, ())})
     distinct = [column for column, fns in spec.items() if "nunique" in fns]
-    parts = _parts(spec)
-    narrowed = [w for w in windows if w.condition is not None]
-    cell = F.lit(0)
-    for bit, window in enumerate(narrowed):
-        cell = cell + F.when(window.condition, 1 << bit).otherwise(0)
-
-    cells = (
-        df.where(F.col(key).isNotNull())
-        .withColumn("cell__", cell)
-        .groupBy(key, "cell__", *distinct)
-        .agg(
-            F.count(F.lit(1)).alias("rows__"),
-            *[_part_column(c, p).alias(f"{c}__{p}") for c, p in parts],
-        )
-    )
-    if not distinct:
-        # At most 2^windows rows per key are left, so placing them by key cannot be skewed, and
-        # the merge below then needs no exchange of its wider rows.
-        cells = cells.repartition(key)
-
-    def inside(window: Window, value: Column) -> Column:
-        if window.condition is None:
-            return value
-        bit = 1 << narrowed.index(window)
-        return F.when(F.col("cell__").bitwiseAND(bit) != 0, value)
-
-    merged = []
+    deviating = [column for column, fns in spec.items() if "std" in fns]
+    # One distinct column is counted by grouping on it first; that needs every other part to be mergeable.
+    two_steps = len(distinct) == 1 and not deviating
+
+    first = []
     for i, window in enumerate(windows):
-        merged.append(F.sum(inside(window, F.col("rows__"))).alias(f"w{i}__rows"))
+        first.append(F.sum(window.inside(F.lit(1))).alias(f"w{i}__rows"))
         for column, part in parts:
-            merged.append(_MERGE[part](inside(window, F.col(f"{column}__{part}"))).alias(f"w{i}__{column}__{part}"))
-        for column in distinct:
-            merged.append(F.count_distinct(inside(window, F.col(column))).alias(f"w{i}__{column}__nunique"))
-    merged_rows = cells.groupBy(key).agg(*merged)
-
-    features = []
+            first.append(_COMPUTE[part](window.inside(F.col(column))).alias(f"w{i}__{column}__{part}"))
+        for column in deviating:
+            first.append(F.stddev_samp(window.inside(F.col(column))).alias(f"w{i}__{column}__std"))
+        if not two_steps:
+            for column in distinct:
+                first.append(F.count_distinct(window.inside(F.col(column))).alias(f"w{i}__{column}__nunique"))
+    reduced = rows.groupBy(key, *(distinct if two_steps else [])).agg(*first)
+
+    if two_steps:
+        merged = []
+        for i, _ in enumerate(windows):
+            held = F.col(f"w{i}__rows")
+            merged.append(F.sum(held).alias(f"w{i}__rows"))
+            for column, part in parts:
+                merged.append(_MERGE[part](f"w{i}__{column}__{part}").alias(f"w{i}__{column}__{part}"))
+            seen = F.col(distinct[0]).isNotNull() & held.isNotNull()
+            merged.append(F.count_if(seen).alias(f"w{i}__{distinct[0]}__nunique"))
+        reduced = reduced.groupBy(key).agg(*merged)
+
+    features, kept = [], None
     for i, window in enumerate(windows):
-        filled = F.col(f"w{i}__rows").isNotNull()
-
-        def part(column: str, name: str, i: int = i) -> Column:
-            return F.col(f"w{i}__{column}__{name}")
-
         for column, fns in spec.items():
             for fn in fns:
-                value = part(column, "nunique") if fn == "nunique" else _feature(column, fn, part)
+                value = _feature(f"w{i}__{column}__", fn)
                 if window.condition is not None and fn in ("sum", "nunique", "count"):
-                    value = F.when(filled, value)
+                    value = F.when(F.col(f"w{i}__rows").isNotNull(), value)
                 features.append(value.alias(feature_name(window.prefix, column, fn)))
-    return merged_rows.select(key, *features)
+        held = F.col(f"w{i}__rows").isNotNull()
+        kept = held if kept is None else kept | held
+    if all(window.condition is not None for window in windows):
+        reduced = reduced.where(kept)
+    return reduced.select(key, *features)
+
+
+def _feature(stem: str, fn: str) -> Column:
+    if fn == "mean":
+        return F.try_divide(F.col(f"{stem}sum"), F.col(f"{stem}n"))
+    if fn == "sum":
+        return F.coalesce(F.col(f"{stem}sum"), F.lit(0))
+    return F.col(stem + {"count": "n"}.get(fn, fn))
+
+
+def grouped_features(df: DataFrame, key: str, spec: Spec, prefix: str = "", derive: Derive = _as_is) -> DataFrame:
+    """The features of all rows, one row per non-null key."""
+    return window_features(df, key, spec, [Window(prefix)], derive)
 
 
-def joined_windows(df: DataFrame, key: str, spec: Spec, windows: Sequence[Window]) -> DataFrame:
+def joined_windows(
+    df: DataFrame, key: str, spec: Spec, windows: Sequence[Window], derive: Derive = _as_is
+) -> DataFrame:
     """The same features from one aggregate per window, left-joined to the first window."""
     tables = [
-        grouped_features(df if w.condition is None else df.where(w.condition), key, spec, w.prefix) for w in windows
+        grouped_features(df if w.condition is None else df.where(w.condition), key, spec, w.prefix, derive)
+        for w in windows
     ]
     result = tables[0]
     for table in tables[1:]:

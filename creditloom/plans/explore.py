@@ -58,15 +58,18 @@ def previous_stats(prev: DataFrame) -> DataFrame:
     return grouped_features(prev, KEY, PREVIOUS_STATS)
 
 
-def payment_stats(inst: DataFrame) -> DataFrame:
-    """Under- and over-payment and lateness per applicant."""
-    derived = inst.select(
+def derive_payments(inst: DataFrame) -> DataFrame:
+    return inst.select(
         KEY,
         C.diff("amt_payment", "amt_instalment").alias("payment_diff"),
         C.safe_ratio("amt_payment", "amt_instalment").alias("payment_ratio"),
         C.diff("days_entry_payment", "days_instalment").alias("days_late"),
     )
-    return grouped_features(derived, KEY, PAYMENT_STATS)
+
+
+def payment_stats(inst: DataFrame) -> DataFrame:
+    """Under- and over-payment and lateness per applicant."""
+    return grouped_features(inst, KEY, PAYMENT_STATS, derive=derive_payments)
 
 
 def approval_rate(prev: DataFrame) -> DataFrame:

@@ -260,7 +260,7 @@ def status_ratios(prev: DataFrame) -> DataFrame:
 
     Null for an applicant with neither kind, which is how joining the two counts would leave it.
     """
-    counted = prev.groupBy(KEY).agg(
+    counted = prev.where(F.col(KEY).isNotNull()).groupBy(KEY).agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(F.col("name_contract_status") == "Approved").alias("approved"),
         F.count_if(F.col("name_contract_status") == "Refused").alias("refused"),
@@ -278,14 +278,14 @@ def _status_share(approved: str, refused: str, total: str):
 
 def prev_features(prev: DataFrame) -> DataFrame:
     """Both windows and the two status ratios, from one scan."""
-    flagged = derive_prev(prev).withColumns(
-        {
-            "is_approved": C.flag(F.col("name_contract_status") == "Approved"),
-            "is_refused": C.flag(F.col("name_contract_status") == "Refused"),
-        }
-    )
+
+    def derive(rows: DataFrame) -> DataFrame:
+        status = F.col("name_contract_status")
+        flags = {"is_approved": C.flag(status == "Approved"), "is_refused": C.flag(status == "Refused")}
+        return derive_prev(rows).withColumns(flags)
+
     spec = {**PREV_SPEC, "is_approved": ["sum"], "is_refused": ["sum"]}
-    features = window_features(flagged, KEY, spec, prev_windows())
+    features = window_features(prev, KEY, spec, prev_windows(), derive)
     ratios = _status_share("prev_is_approved_sum", "prev_is_refused_sum", "prev_sk_id_curr_count")
     helpers = [f"{p}is_{s}_sum" for p in ("prev_", "prev_d365_") for s in ("approved", "refused")]
     return features.select("*", *ratios).drop(*helpers)
@@ -301,7 +301,7 @@ def active_overdue_ratios() -> dict:
 
 def bureau_window_features(bureau: DataFrame) -> DataFrame:
     """All, active and recent credits from one scan, with the active-overdue ratios."""
-    features = window_features(derive_bureau(bureau), KEY, BUREAU_SPEC, bureau_windows())
+    features = window_features(bureau, KEY, BUREAU_SPEC, bureau_windows(), derive_bureau)
     return features.withColumns(active_overdue_ratios())
 
 
@@ -358,15 +358,15 @@ def card_windows() -> list[Window]:
 
 
 def pos_features(pos: DataFrame) -> DataFrame:
-    return window_features(derive_pos(pos), KEY, POS_SPEC, pos_windows())
+    return window_features(pos, KEY, POS_SPEC, pos_windows(), derive_pos)
 
 
 def inst_features(inst: DataFrame) -> DataFrame:
-    return window_features(derive_inst(inst), KEY, INST_SPEC, inst_windows())
+    return window_features(inst, KEY, INST_SPEC, inst_windows(), derive_inst)
 
 
 def card_features(card: DataFrame) -> DataFrame:
-    return window_features(derive_card(card), KEY, CARD_SPEC, card_windows())
+    return window_features(card, KEY, CARD_SPEC, card_windows(), derive_card)
 
 
 def assemble(app: DataFrame, features: list[DataFrame]) -> DataFrame:
@@ -391,7 +391,7 @@ def feature_table(tables: Mapping[str, DataFrame]) -> DataFrame:
     )
 
 
-def single_window(df: DataFrame, spec: Spec, window: Window) -> DataFrame:
+def single_window(df: DataFrame, spec: Spec, window: Window, derive) -> DataFrame:
     """One window of a family on its own."""
     rows = df if window.condition is None else df.where(window.condition)
-    return grouped_features(rows, KEY, spec, window.prefix)
+    return grouped_features(rows, KEY, spec, window.prefix, derive)

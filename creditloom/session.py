@@ -7,11 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Wide feature families carry more than the default 100 fields through one aggregate.
 RECOMMENDED_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    "spark.sql.codegen.maxFields": "400",
     "spark.sql.session.timeZone": "UTC",
 }
 

@@ -26,10 +26,10 @@ Derive = Callable[[DataFrame], DataFrame]
 HOT_SHARE = 0.002
 # Above this many rows per key on average, combining before the exchange pays for every key.
 ROWS_PER_KEY = 256
-# Looked-at rows below which a key is never worth a route of its own.
-MIN_HOT_ROWS = 10_000
-# Share of the rows looked at to tell hot keys; the result does not depend on it, only the route.
-LOOK_SHARE = 0.1
+# Share of the rows looked at to choose a route. The result is the same on every route.
+LOOK_SHARE = 0.01
+# With fewer looked-at rows the table is small enough for any route.
+MIN_LOOKED_ROWS = 10_000
 
 # Which mergeable parts a function is computed from.
 _PARTS = {"count": ("n",), "sum": ("sum",), "mean": ("n", "sum"), "min": ("min",), "max": ("max",)}
@@ -63,17 +63,12 @@ def _as_is(df: DataFrame) -> DataFrame:
 def _routes(df: DataFrame, key: str) -> tuple[list, bool]:
     """Hot keys, and whether ordinary keys have few enough rows to be exchanged uncombined."""
     counts = df.select(key).sample(LOOK_SHARE, seed=11).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    sums = counts.agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("keys"))
-    total = sums.select(F.struct("rows", "keys")).scalar()
-    heavy = (
-        counts.where(F.col("n") > F.greatest(total.getField("rows") * F.lit(HOT_SHARE), F.lit(float(MIN_HOT_ROWS))))
-        .select(F.lit(0).alias("kind"), key)
-    )
-    few = sums.where(F.col("rows") <= F.col("keys") * F.lit(ROWS_PER_KEY * LOOK_SHARE)).select(
-        F.lit(1).alias("kind"), F.lit(None).alias(key)
-    )
-    found = heavy.union(few).collect()
-    return [row[key] for row in found if row["kind"] == 0], any(row["kind"] == 1 for row in found)
+    rows, keys, most = counts.agg(F.sum("n"), F.count(F.lit(1)), F.max("n")).first()
+    if not rows or rows < MIN_LOOKED_ROWS or rows > keys * ROWS_PER_KEY * LOOK_SHARE + keys:
+        return [], False
+    limit = rows * HOT_SHARE
+    hot = [row[0] for row in counts.where(F.col("n") > limit).select(key).collect()] if most > limit else []
+    return hot, True
 
 
 def window_features(

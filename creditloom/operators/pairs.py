@@ -25,6 +25,7 @@ from creditloom.functions import columns as C
 from creditloom.functions import vectors as V
 from creditloom.operators.joins import lookup_join
 from creditloom.operators.ordered import top_per_group
+from creditloom.session import checkpointed
 
 # The small array helpers below travel with the task, so workers need not have this package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -135,6 +136,7 @@ def similarity_pairs(
     if count <= block_rows:
         placed = nodes.select("*", F.lit(0).alias("cell"), F.lit(True).alias("at_home"))
     else:
+        nodes = checkpointed(nodes)
         pivots = _pivots(nodes, "key", "vector", min(MAX_PIVOTS, math.ceil(count / block_rows)))
         placed = _placements(nodes, pivots, math.acos(max(-1.0, min(1.0, threshold))))
 

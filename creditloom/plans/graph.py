@@ -38,13 +38,18 @@ def similarity_edges(
 
 
 def threshold_graph(nodes: DataFrame, threshold: float) -> DataFrame:
-    """Both directions of every similar pair, and a loop per node: (src, dst, weight, copies)."""
+    """Both directions of every similar pair, and a loop per node: (src, dst, weight, copies).
+
+    The edges are checkpointed: finding them costs far more than reading them back, and every use of
+    the graph reads them more than once.
+    """
     distinct = checkpointed(distinct_vectors(nodes, "sk_id", "embedding"))
     half = similarity_pairs(distinct, "sk_id", "embedding", threshold)
     both = half.unionByName(half.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
     loops = distinct.select(F.col("sk_id").alias("src"), F.col("sk_id").alias("dst"), F.lit(1.0).alias("weight"))
     copies = distinct.select(F.col("sk_id").alias("dst"), "copies")
-    return sized_join(both.unionByName(loops), copies, "dst").select("src", "dst", "weight", "copies")
+    edges = sized_join(both.unionByName(loops), copies, "dst").select("src", "dst", "weight", "copies")
+    return checkpointed(edges)
 
 
 def cluster_membership(nodes: DataFrame) -> DataFrame:

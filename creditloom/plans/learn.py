@@ -26,6 +26,7 @@ from creditloom.operators.ordered import positions
 from creditloom.operators.pairs import nearest_neighbours
 from creditloom.plans import evaluate
 from creditloom.plans.prepare import MinMaxScaler, fit_minmax, split
+from creditloom.session import checkpointed
 
 # Limits of the projection and the clustering, and the random seed.
 MAX_COMPONENTS, MAX_CLUSTERS, RESTARTS, SEED = 50, 100, 10, 42
@@ -118,9 +119,9 @@ def synthesise(
     wanted = max(0, round(ratio * sizes["major"]) - sizes["minor"])
     each, extra = divmod(wanted, sizes["minor"]) if sizes["minor"] else (0, 0)
 
-    minority = df.where(F.col(label) == 1).select(
-        F.col(key).alias("base"), group, *copied,
-        F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features]).alias("point"),
+    point = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features])
+    minority = checkpointed(
+        df.where(F.col(label) == 1).select(F.col(key).alias("base"), group, *copied, point.alias("point"))
     )
     near = (
         nearest_neighbours(minority, "base", "point", group, NEIGHBOURS)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
@@ -9,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from creditloom.functions import columns as C
-from creditloom.operators.joins import sized_join
+from creditloom.operators.joins import BROADCAST_BYTES, BROADCAST_ROWS, lookup_join
 from creditloom.operators.ordered import positions
 from creditloom.plans.profile import melt, numeric_columns
 
@@ -82,9 +83,14 @@ class CodeBook:
     columns: list[str]
     null_codes: Mapping[str, int]
     size: int
+    small: frozenset[str]
 
     def apply(self, df: DataFrame) -> DataFrame:
-        """Values replaced by their codes; a value the book lacks becomes null."""
+        """Values replaced by their codes; a value the book lacks becomes null.
+
+        Columns whose part of the book was measured as small use a broadcast, the others a join that
+        spreads frequent values.
+        """
         order, result = df.columns, df
         kinds = dict(df.dtypes)
         for c in self.columns:
@@ -93,7 +99,10 @@ class CodeBook:
                 F.col(source).alias("value__"), F.col("code").alias("code__")
             )
             keyed = result.withColumn("value__", F.col(c) if source == "label" else F.col(c).cast("double"))
-            coded = sized_join(keyed, codes, "value__", "left")
+            if c in self.small:
+                coded = keyed.join(F.broadcast(codes), "value__", "left")
+            else:
+                coded = lookup_join(keyed, codes, "value__", "left")
             null_code = F.lit(self.null_codes.get(c)).cast("int")
             result = coded.withColumn(
                 c, F.when(F.col(c).isNull(), null_code).otherwise(F.col("code__"))
@@ -101,6 +110,19 @@ class CodeBook:
         return result.select(*order)
 
 
+def _measured(ranked: DataFrame) -> dict:
+    """Per column: number of codes, whether null is one of them, and whether a broadcast is safe."""
+    rows = ranked.groupBy("column_name").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.max(F.col("missing").cast("int")).alias("has_null"),
+        F.sum(F.coalesce(F.octet_length("label"), F.lit(0)) + F.lit(32)).alias("bytes"),
+    )
+    return {
+        r["column_name"]: (r["n"], r["has_null"], r["n"] <= BROADCAST_ROWS and r["bytes"] <= BROADCAST_BYTES)
+        for r in rows.collect()
+    }
+
+
 def _distinct_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     kinds = dict(df.dtypes)
     entries = []
@@ -122,25 +144,25 @@ def factorise(df: DataFrame, columns: Sequence[str]) -> CodeBook:
     values = _distinct_values(df, columns).where(~F.col("missing"))
     ranked = positions(values, ["number", "label"], ["column_name"], "code")
     table = ranked.withColumn("code", F.col("code").cast("int"))
-    return CodeBook(table, list(columns), {c: -1 for c in columns}, 0)
+    measured = _measured(table)
+    small = frozenset(c for c in columns if measured.get(c, (0, 0, True))[2])
+    return CodeBook(table, list(columns), {c: -1 for c in columns}, sum(n for n, _, _ in measured.values()), small)
 
 
 def offset_codes(df: DataFrame, columns: Sequence[str]) -> CodeBook:
     """Codes that are unique across columns: ranks, null last, shifted by the sizes of earlier columns."""
     ranked = positions(_distinct_values(df, columns), ["missing", "number", "label"], ["column_name"], "rank")
-    per_column = ranked.groupBy("column_name").agg(
-        F.count(F.lit(1)).alias("n"), F.max(F.col("missing").cast("int")).alias("has_null")
-    )
-    sizes = {row["column_name"]: (row["n"], row["has_null"]) for row in per_column.collect()}
+    measured = _measured(ranked)
     offset, shift, null_codes = 0, F.lit(0), {}
     for c in columns:
-        n, has_null = sizes.get(c, (0, 0))
+        n, has_null, _ = measured.get(c, (0, 0, True))
         shift = F.when(F.col("column_name") == c, offset).otherwise(shift)
         if has_null:
             null_codes[c] = offset + n - 1
         offset += n
     table = ranked.withColumn("code", (F.col("rank") + shift).cast("int"))
-    return CodeBook(table, list(columns), null_codes, offset)
+    small = frozenset(c for c in columns if measured.get(c, (0, 0, True))[2])
+    return CodeBook(table, list(columns), null_codes, offset, small)
 
 
 # ---------------------------------------------------------------- scaling
@@ -199,9 +221,10 @@ def split(df: DataFrame, key: str, valid_share: float = VALID_SHARE, seed: int =
     return df.where(~is_valid), df.where(is_valid)
 
 
-# Draws above this count have probability below 1e-12 for the rates a weight can reach here.
-MAX_RATE = 8.0
-MAX_DRAWS = 40
+# A Poisson count is drawn as a sum of parts with at most this rate, and the part's tail beyond
+# MAX_DRAWS has less probability than the hash can resolve.
+PART_RATE = 4.0
+MAX_DRAWS = 28
 
 
 def up_sample(df: DataFrame, label: str, key: str, weight: float, seed: int = 42) -> DataFrame:
@@ -213,8 +236,6 @@ def up_sample(df: DataFrame, label: str, key: str, weight: float, seed: int = 42
     total_weight = F.sum(F.when(F.col(label) == 1, F.lit(float(weight))).otherwise(F.lit(1.0)))
     row = df.agg(F.count(F.lit(1)).alias("n"), total_weight.alias("w")).first()
     scale = row["n"] / row["w"] if row["w"] else 0.0
-    if weight * scale > MAX_RATE:
-        raise ValueError(f"a positive row would be drawn {weight * scale:.1f} times on average; at most {MAX_RATE}")
     draws = F.when(F.col(label) == 1, poisson_draws(key, f"up{seed}", weight * scale)).otherwise(
         poisson_draws(key, f"up{seed}", scale)
     )
@@ -223,12 +244,15 @@ def up_sample(df: DataFrame, label: str, key: str, weight: float, seed: int = 42
 
 
 def poisson_draws(key: str, seed: str, rate: float) -> Column:
-    """Poisson count with the given rate, by inverting its distribution at the hash of the key."""
-    import math
-
-    u, cumulative, term, draws = C.hash_unit(key, seed), 0.0, math.exp(-rate), F.lit(0)
-    for k in range(MAX_DRAWS):
-        cumulative += term
-        term *= rate / (k + 1)
-        draws = draws + F.when(u >= F.lit(cumulative), 1).otherwise(0)
+    """Poisson count with the given rate, by inverting the distribution at hashes of the key."""
+    parts = max(1, math.ceil(rate / PART_RATE))
+    draws = F.lit(0)
+    for part in range(parts):
+        u, cumulative, term = C.hash_unit(key, f"{seed}/{part}"), 0.0, math.exp(-rate / parts)
+        steps = []
+        for k in range(MAX_DRAWS):
+            cumulative += term
+            term *= rate / parts / (k + 1)
+            steps.append(F.lit(cumulative))
+        draws = draws + F.size(F.filter(F.array(*steps), lambda limit, u=u: limit <= u))
     return draws

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from creditloom.operators.joins import key_overlap, sized_join
-from creditloom.operators.ordered import head_and_tail, quantiles, value_counts
+from creditloom.operators.joins import sized_join
+from creditloom.operators.ordered import head_and_tail, quantiles, top_per_group, value_counts
 
 NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double")
 
@@ -91,22 +92,28 @@ def label_distribution(df: DataFrame, label: str) -> DataFrame:
 
 
 def integrity_report(parents: DataFrame, children: Mapping[str, DataFrame], key: str) -> DataFrame:
-    """Distinct keys, overlap with the parent table, and orphans on either side, per child table."""
-    reports = [
-        key_overlap(parents, child, key).select(
-            F.lit(name).alias("table_name"),
-            F.col("right_keys").alias("distinct_keys"),
-            "shared",
-            F.try_divide(F.col("shared") * F.lit(100.0), F.col("left_keys")).alias("shared_percent"),
-            F.col("left_only").alias("parents_without_rows"),
-            F.col("right_only").alias("orphan_keys"),
-        )
-        for name, child in children.items()
-    ]
-    result = reports[0]
-    for report in reports[1:]:
-        result = result.unionByName(report)
-    return result
+    """Distinct keys, overlap with the parent table, and orphans on either side, per child table.
+
+    Every table is read once: its keys carry one bit each, and one grouping by key tells which tables
+    know the key.
+    """
+    tables = [parents, *children.values()]
+    marked = [df.select(key, F.lit(1 << i).alias("known")) for i, df in enumerate(tables)]
+    keys = reduce(DataFrame.unionByName, marked).where(F.col(key).isNotNull()).groupBy(key)
+    known = keys.agg(F.bit_or("known").alias("known"))
+    parent = F.col("known").bitwiseAND(1) != 0
+    measures = [F.count_if(parent).alias("parents")]
+    for i, name in enumerate(children, start=1):
+        child = F.col("known").bitwiseAND(1 << i) != 0
+        measures += [F.count_if(child).alias(f"{name}__keys"), F.count_if(child & parent).alias(f"{name}__shared")]
+    row = known.agg(*measures)
+    reports = {}
+    for name in children:
+        own, shared = F.col(f"{name}__keys"), F.col(f"{name}__shared")
+        percent = F.try_divide(shared * F.lit(100.0), F.col("parents"))
+        reports[name] = (own, shared, percent, F.col("parents") - shared, own - shared)
+    names = ["distinct_keys", "shared", "shared_percent", "parents_without_rows", "orphan_keys"]
+    return melt(row, reports, names, "table_name")
 
 
 def _pearson(x: Column, y: Column) -> Column:
@@ -175,17 +182,7 @@ def time_ranges(df: DataFrame) -> DataFrame:
 
 
 def top_values(df: DataFrame, columns: Sequence[str], n: int = 10) -> DataFrame:
-    """The most frequent values of the first five text columns given."""
-    reports = [
-        df.groupBy(F.col(c).alias("value"))
-        .agg(F.count(F.lit(1)).alias("n"))
-        .where(F.col("value").isNotNull())
-        .orderBy(F.col("n").desc(), F.col("value"))
-        .limit(n)
-        .select(F.lit(c).alias("column_name"), "value", "n")
-        for c in list(columns)[:5]
-    ]
-    result = reports[0]
-    for report in reports[1:]:
-        result = result.unionByName(report)
-    return result
+    """The most frequent values of the first five text columns given, from one scan."""
+    counts = value_counts(df.select(*list(columns)[:5]).unpivot([], list(columns)[:5], "column_name", "value"),
+                          "value", ["column_name"])
+    return top_per_group(counts, ["column_name"], [F.col("n").desc(), F.col("value")], n).drop("rank")

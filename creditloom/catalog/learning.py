@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from creditloom.catalog.base import Catalog, rounded
 from creditloom.plans import evaluate as E
@@ -29,9 +30,7 @@ def written(v, view: str) -> str:
 
 
 def typed(v):
-    from pyspark.sql.types import StructType
-
-    return CSV.read_typed(v.spark, written(v, "inst"), StructType.fromDDL(INST_SCHEMA))
+    return CSV.read_typed(v.spark, written(v, "inst"), INST_SCHEMA)
 
 
 catalog.add("s1_read_typed", typed, "SELECT * FROM inst")
@@ -84,7 +83,7 @@ def seven_tables(v):
             df = df.toDF(*[c.upper() for c in df.columns]).select(
                 *[
                     (F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name)
-                    for f in schemas.DECLARED[name]
+                    for f in StructType.fromDDL(schemas.DECLARED[name])
                 ]
             )
         else:

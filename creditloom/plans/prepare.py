@@ -236,23 +236,27 @@ def up_sample(df: DataFrame, label: str, key: str, weight: float, seed: int = 42
     total_weight = F.sum(F.when(F.col(label) == 1, F.lit(float(weight))).otherwise(F.lit(1.0)))
     row = df.agg(F.count(F.lit(1)).alias("n"), total_weight.alias("w")).first()
     scale = row["n"] / row["w"] if row["w"] else 0.0
-    draws = F.when(F.col(label) == 1, poisson_draws(key, f"up{seed}", weight * scale)).otherwise(
-        poisson_draws(key, f"up{seed}", scale)
-    )
-    counted = df.withColumn("draws__", draws).where(F.col("draws__") > 0)
-    return counted.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("draws__")))).drop("draws__")
+    rates = (weight * scale, scale)
+    hashes = [f"u{part}__" for part in range(max(map(_poisson_parts, rates)))]
+    hashed = df.withColumns({name: C.hash_unit(key, f"up{seed}/{name}") for name in hashes})
+    draws = F.when(F.col(label) == 1, poisson_draws(hashes, rates[0])).otherwise(poisson_draws(hashes, rates[1]))
+    counted = hashed.withColumn("draws__", draws).where(F.col("draws__") > 0)
+    repeated = counted.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("draws__"))))
+    return repeated.drop("draws__", *hashes)
+
+
+def _poisson_parts(rate: float) -> int:
+    return max(1, math.ceil(rate / PART_RATE))
 
 
-def poisson_draws(key: str, seed: str, rate: float) -> Column:
-    """Poisson count with the given rate, by inverting the distribution at hashes of the key."""
-    parts = max(1, math.ceil(rate / PART_RATE))
+def poisson_draws(hashes: Sequence[str], rate: float) -> Column:
+    """Poisson count with the given rate, by inverting the distribution at uniform columns."""
+    parts = _poisson_parts(rate)
     draws = F.lit(0)
-    for part in range(parts):
-        u, cumulative, term = C.hash_unit(key, f"{seed}/{part}"), 0.0, math.exp(-rate / parts)
-        steps = []
+    for u in hashes[:parts]:
+        cumulative, term = 0.0, math.exp(-rate / parts)
         for k in range(MAX_DRAWS):
             cumulative += term
             term *= rate / parts / (k + 1)
-            steps.append(F.lit(cumulative))
-        draws = draws + F.size(F.filter(F.array(*steps), lambda limit, u=u: limit <= u))
+            draws = draws + F.when(F.col(u) >= F.lit(cumulative), 1).otherwise(0)
     return draws

@@ -13,7 +13,7 @@ from creditloom.sources.schemas import DECLARED, FILES, KNOWN_TYPES
 BYTE_ORDER_MARK = "﻿"
 
 
-def read_typed(spark: SparkSession, path: str, schema: T.StructType, strict: bool = True) -> DataFrame:
+def read_typed(spark: SparkSession, path: str, schema: T.StructType | str, strict: bool = True) -> DataFrame:
     """CSV with a header and declared types.
 
     Strict reading fails on a value that does not fit its type; otherwise the value becomes null.
@@ -36,9 +36,7 @@ def read_known(spark: SparkSession, path: str, known: Mapping[str, list[str]]) -
     rare values cannot change them.
     """
     kinds = {name.upper(): kind for kind, names in known.items() for name in names}
-    schema = T.StructType.fromDDL(
-        ", ".join(f"`{name}` {kinds.get(name.upper(), 'STRING')}" for name in header(spark, path))
-    )
+    schema = ", ".join(f"`{name}` {kinds.get(name.upper(), 'STRING')}" for name in header(spark, path))
     return read_typed(spark, path, schema)
 
 

@@ -2,13 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
-
-def _struct(spec: str) -> T.StructType:
-    return T.StructType.fromDDL(spec)
-
-
 # File names of the input set, by table.
 FILES = {
     "app": "application_train.csv",
@@ -23,15 +16,15 @@ FILES = {
 # Columns of the three tables whose types the input contract declares.
 # Unsigned 32-bit ids are longs, 16/32-bit integers are ints, 32-bit floats are doubles.
 DECLARED = {
-    "pos": _struct(
+    "pos": (
         "SK_ID_PREV BIGINT, SK_ID_CURR BIGINT, MONTHS_BALANCE INT, SK_DPD INT, SK_DPD_DEF INT, "
         "CNT_INSTALMENT DOUBLE, CNT_INSTALMENT_FUTURE DOUBLE"
     ),
-    "inst": _struct(
+    "inst": (
         "SK_ID_PREV BIGINT, SK_ID_CURR BIGINT, NUM_INSTALMENT_NUMBER INT, NUM_INSTALMENT_VERSION DOUBLE, "
         "DAYS_INSTALMENT DOUBLE, DAYS_ENTRY_PAYMENT DOUBLE, AMT_INSTALMENT DOUBLE, AMT_PAYMENT DOUBLE"
     ),
-    "card": _struct(
+    "card": (
         "SK_ID_PREV BIGINT, SK_ID_CURR BIGINT, MONTHS_BALANCE SMALLINT, AMT_CREDIT_LIMIT_ACTUAL INT, "
         "CNT_DRAWINGS_CURRENT INT, SK_DPD INT, SK_DPD_DEF INT, AMT_BALANCE DOUBLE, "
         "AMT_DRAWINGS_ATM_CURRENT DOUBLE, AMT_DRAWINGS_CURRENT DOUBLE, AMT_DRAWINGS_OTHER_CURRENT DOUBLE, "

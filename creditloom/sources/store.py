@@ -9,6 +9,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 # Parts of a run. Only the embeddings must be there.
 PARTS = {
@@ -28,9 +29,7 @@ def save_run(parts: Mapping[str, DataFrame], folder: str, run: str, epoch: int)
         df.select(*columns).write.mode("overwrite").parquet(f"{folder}/{name}/run={run}/epoch={epoch}")
 
 
-def _schema(name: str):
-    from pyspark.sql.types import StructType
-
+def _schema(name: str) -> StructType:
     return StructType.fromDDL(PARTS[name])
 
 

@@ -254,12 +254,13 @@ ORDER = ["days_instalment", "sk_id_prev", "num_instalment_number", "amt_instalme
 
 
 def histories(v):
-    found = S.sequences(v.inst, "sk_id_curr", ORDER, ["days_instalment", "amt_payment"], 32)
+    labels = v.app.select("sk_id_curr", "target")
+    found = S.sequences(v.inst, "sk_id_curr", ORDER, ["days_instalment", "amt_payment"], 32, labels)
     days = F.concat_ws(",", F.transform("steps", lambda s: s["days_instalment"].cast("string")))
     paid = F.aggregate(
         "steps", F.lit(0.0), lambda acc, s: acc + F.coalesce(s["amt_payment"], F.lit(0.0))
     )
-    return found.join(v.app.select("sk_id_curr", "target"), "sk_id_curr").select(
+    return found.select(
         "sk_id_curr", "target", "chunk", "n_steps", "length", "padding", days.alias("days"), paid.alias("paid")
     )
 

@@ -24,17 +24,20 @@ def hot_keys(df: DataFrame, keys: Sequence[str], share: float = HOT_SHARE) -> Da
     return counts.where(F.col("n__") > total * F.lit(share)).select(*keys).dropna()
 
 
-def lookup_join(rows: DataFrame, lookup: DataFrame, keys: str | Sequence[str], how: str = "inner") -> DataFrame:
+def lookup_join(
+    rows: DataFrame, lookup: DataFrame, keys: str | Sequence[str], how: str = "inner", hot: DataFrame | None = None
+) -> DataFrame:
     """Equi-join of ``rows`` with a ``lookup`` that has one row per key.
 
     Rows of a hot key are spread over salts and only the lookup rows of hot keys are repeated per
     salt, so no task receives all rows of such a key. The hot keys themselves are few by definition
-    (at most ``1 / HOT_SHARE``), hence the broadcast.
+    (at most ``1 / HOT_SHARE``), hence the broadcast. ``hot`` names them where the caller can find
+    them more cheaply than by counting ``rows``.
     """
     if how not in ("inner", "left"):
         raise ValueError(f"unsupported join type {how}")
     on = [keys] if isinstance(keys, str) else list(keys)
-    hot = F.broadcast(hot_keys(rows, on).withColumn("hot__", F.lit(True)))
+    hot = F.broadcast((hot_keys(rows, on) if hot is None else hot).withColumn("hot__", F.lit(True)))
     # Rows with a null key match nothing; they are spread like hot ones instead of meeting in one task.
     unmatched = reduce(or_, [F.col(k).isNull() for k in on])
     hashed = [F.col(c) for c in rows.columns if rows.schema[c].dataType.typeName() not in ("map", "variant")]

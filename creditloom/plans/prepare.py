@@ -34,8 +34,10 @@ def small_distinct_counts(df: DataFrame, columns: Sequence[str], limit: int) ->
     One sketch pass rules out the columns far above the limit. The rest have few values, and are
     counted exactly from their combined (column, value) pairs.
     """
-    sketches = df.agg(*[F.approx_count_distinct(c, 0.02).alias(c) for c in columns]).first()
-    near = [c for c in columns if sketches[c] <= 2 * limit]
+    # One binary buffer per column, where the built-in approximate count would need hundreds of fields.
+    sketch = {c: F.hll_sketch_estimate(F.hll_sketch_agg(F.col(c).cast("string"), 12)).alias(c) for c in columns}
+    sketches = df.agg(*sketch.values()).first()
+    near = [c for c in columns if (sketches[c] or 0) <= 2 * limit]
     counts: dict[str, int | None] = {c: None for c in columns if c not in near}
     if near:
         pairs = df.select(

@@ -7,7 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from creditloom.operators.joins import HOT_SHARE, lookup_join
 from creditloom.operators.ordered import positions
+from creditloom.session import checkpointed
 
 CHUNK = 256
 
@@ -17,23 +19,37 @@ def ordered_steps(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
     return positions(df, order, [key], "step")
 
 
-def sequences(df: DataFrame, key: str, order: Sequence[str], values: Sequence[str], chunk: int = CHUNK) -> DataFrame:
+def sequences(
+    df: DataFrame,
+    key: str,
+    order: Sequence[str],
+    values: Sequence[str],
+    chunk: int = CHUNK,
+    labels: DataFrame | None = None,
+) -> DataFrame:
     """Histories as arrays of at most ``chunk`` steps: (key, chunk, n_steps, steps, length, padding).
 
     ``length`` is that of the longest history. Padding to it is stated as the number of missing zero
     steps after the last chunk of a key instead of being stored, since one very long history would
-    otherwise blow up every other one. Chunks keep any single array small.
+    otherwise blow up every other one. Chunks keep any single array small. ``labels`` has one row per
+    key, whose columns are added; keys without one are left out.
     """
-    stepped = ordered_steps(df.where(F.col(key).isNotNull()), key, order)
+    known = df.where(F.col(key).isNotNull())
     pieces = (
-        stepped.groupBy(key, F.floor(F.col("step") / chunk).cast("int").alias("chunk"))
+        ordered_steps(known, key, order)
+        .groupBy(key, F.floor(F.col("step") / chunk).cast("int").alias("chunk"))
         .agg(F.array_sort(F.collect_list(F.struct("step", *values))).alias("steps"), F.count(F.lit(1)).alias("n_steps"))
     )
-    lengths = pieces.groupBy(key).agg(F.sum("n_steps").alias("total__"), F.max("chunk").alias("last__"))
+    # One small row per key; it also tells which keys are hot.
+    lengths = checkpointed(known.groupBy(key).agg(F.count(F.lit(1)).alias("total__")))
+    rows = lengths.agg(F.sum("total__")).scalar()
+    hot = lengths.where(F.col("total__") > rows * F.lit(HOT_SHARE)).select(key)
     longest = lengths.agg(F.max("total__")).scalar()
-    joined = pieces.join(lengths, key)
-    is_last = F.col("chunk") == F.col("last__")
+    extra = [] if labels is None else [c for c in labels.columns if c != key]
+    per_key = lengths if labels is None else lengths.join(labels, key)
+    joined = lookup_join(pieces, per_key, key, hot=hot)
+    is_last = F.col("chunk") == F.floor((F.col("total__") - 1) / chunk)
     return joined.select(
-        key, "chunk", "n_steps", "steps", longest.alias("length"),
+        key, *extra, "chunk", "n_steps", "steps", longest.alias("length"),
         F.when(is_last, longest - F.col("total__")).otherwise(0).alias("padding"),
     )

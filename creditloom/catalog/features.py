@@ -13,8 +13,9 @@ from creditloom.catalog.base import (
     spec_sql,
 )
 from creditloom.functions import columns as C
-from creditloom.operators.grouped import grouped_features, joined_windows, window_features
+from creditloom.operators.grouped import feature_names, grouped_features, joined_windows, window_features
 from creditloom.plans import families as fam
+from creditloom.plans import prepare
 
 catalog = Catalog()
 
@@ -464,7 +465,7 @@ CORE_ROUNDED = [
 ]
 
 
-def core_sql(app_table: str, keep: list[str]) -> str:
+def core_sql(app_table: str, keep: list[str], extra: list[str] = []) -> str:
     ctes = ",\n".join([APP_D, PREV_D, BUREAU_D, BUREAU_BAL_D, POS_D, INST_D, CARD_D])
     wanted = set(keep)
 
@@ -479,7 +480,7 @@ def core_sql(app_table: str, keep: list[str]) -> str:
 
     groups = [
         table("f_prev", [*windows(fam.PREV_SPEC, PREV_W), *STATUS_RATIOS], "prev_d"),
-        table("f_bureau", windows(fam.BUREAU_SPEC, BUREAU_W), "bureau_d"),
+        table("f_bureau", [*windows(fam.BUREAU_SPEC, BUREAU_W), *ACTIVE_RATIOS], "bureau_d"),
         table(
             "f_bal", spec_sql(fam.BUREAU_BAL_SPEC, "bureau_bal_"),
             "bureau_bal_d JOIN (SELECT sk_id_curr, sk_id_bureau FROM bureau) USING (sk_id_bureau)",
@@ -489,7 +490,7 @@ def core_sql(app_table: str, keep: list[str]) -> str:
         table("f_card", windows(fam.CARD_SPEC, [("card_", None), ("card_m3_", CARD_RECENT)]), "card_d"),
     ]
     # Balance features hang on the bureau features, which every bureau client has.
-    items = [r6(c) + f" AS {c}" if c in CORE_ROUNDED and c.startswith("apps_") else c for c in keep]
+    items = [*[r6(c) + f" AS {c}" if c.startswith("apps_") else c for c in keep], *extra]
     return (
         f"WITH {ctes},\n" + ",\n".join(groups)
         + f"\nSELECT {select_list(items)}\nFROM {app_table} LEFT JOIN f_prev USING (sk_id_curr) "
@@ -502,6 +503,37 @@ def loan_tables(v) -> dict:
     return {name: getattr(v, name) for name in ("app", "prev", "bureau", "bureau_bal", "pos", "inst", "card")}
 
 
+APP_COLUMNS = (
+    "sk_id_curr target ext_source_1 ext_source_2 ext_source_3 amt_income_total amt_credit amt_annuity "
+    "amt_goods_price cnt_fam_members own_car_age days_birth days_employed region"
+).split()
+FAMILY_PREFIXES = [
+    (fam.PREV_SPEC, ["prev_", "prev_d365_"]), (fam.BUREAU_SPEC, ["bureau_", "bureau_act_", "bureau_d750_"]),
+    (fam.BUREAU_BAL_SPEC, ["bureau_bal_"]), (fam.POS_SPEC, ["pos_", "pos_m20_"]),
+    (fam.INST_SPEC, ["ins_", "ins_d365_"]), (fam.CARD_SPEC, ["card_", "card_m3_"]),
+]
+DERIVED = ["apps_ext_source_mean", "apps_ext_source_std", *APP_RATIOS]
+RATIOS = ["prev_refused_ratio", "prev_approved_ratio"]
+FULL = [
+    *APP_COLUMNS, *DERIVED, *[n for s, ps in FAMILY_PREFIXES for p in ps for n in feature_names(s, p)],
+    *RATIOS, *ACTIVE_RATIO_NAMES,
+]
+FULL_ROUNDED = [
+    *DERIVED, *[n for s, ps in FAMILY_PREFIXES for p in ps for n in quotient_features(s, p)], *RATIOS, *ACTIVE_RATIO_NAMES,
+]
+
+
+def full_table(v):
+    """Every feature, with the text column as codes."""
+    features = fam.feature_table(loan_tables(v))
+    return prepare.factorise(v.app, ["name_income_type"]).apply(features)
+
+
+catalog.add(
+    "a18_feature_table_full",
+    lambda v: rounded(full_table(v), *FULL_ROUNDED),
+    core_sql("app_d", FULL, ["CAST(dense_rank() OVER (ORDER BY name_income_type) - 1 AS INTEGER) AS name_income_type"]),
+)
 catalog.add(
     "a18_feature_table_core",
     lambda v: rounded(fam.feature_table(loan_tables(v)).select(*CORE), *CORE_ROUNDED),

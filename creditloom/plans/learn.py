@@ -15,7 +15,7 @@ from pyspark.ml.classification import (
     RandomForestClassifier,
 )
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
+from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,8 +37,9 @@ NEIGHBOURS = 5
 
 def assemble_vector(df: DataFrame, features: Sequence[str], name: str = "features") -> DataFrame:
     """Numeric columns, nulls as 0, as one vector column."""
-    filled = df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features})
-    return VectorAssembler(inputCols=list(features), outputCol=name).transform(filled)
+    zero = F.lit(0.0)
+    filled = F.array(*[F.coalesce(F.col(c).cast("double"), zero) for c in features])
+    return df.withColumn(name, array_to_vector(filled))
 
 
 # ---------------------------------------------------------------- projection
@@ -170,7 +171,7 @@ def rebalance(df: DataFrame, key: str, label: str, features: Sequence[str], grou
 # ---------------------------------------------------------------- classifiers
 def classifier(name: str, width: int, seed: int = SEED):
     """An unfitted two-class model by short name."""
-    columns = {"featuresCol": "features", "labelCol": "label"}
+    columns = {"featuresCol": "features", "labelCol": "label__"}
     if name == "logistic":
         return LogisticRegression(maxIter=50, regParam=0.001, **columns)
     if name == "tree":
@@ -193,9 +194,12 @@ class Fitted:
     label: str
 
     def prepare(self, df: DataFrame) -> DataFrame:
-        scaled = self.scaler.apply(df)
-        labelled = scaled.withColumn("label", F.col(self.label).cast("double"))
-        return assemble_vector(labelled, self.features).select(self.key, self.label, "label", "features", *self.features)
+        """(key, label, label__, features): scaled features as one vector."""
+        scaled = F.array(*[self.scaler.expression(c) for c in self.features])
+        return df.select(
+            self.key, self.label, F.col(self.label).cast("double").alias("label__"),
+            array_to_vector(scaled).alias("features"),
+        )
 
     def score(self, df: DataFrame) -> DataFrame:
         """(key, label, score): probability of label 1."""

@@ -6,6 +6,8 @@ import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -176,7 +178,7 @@ class MinMaxScaler:
         low, high = self.limits[column]
         value = F.coalesce(F.col(column).cast("double"), F.lit(0.0))
         if high == low:
-            return F.when(F.lit(True), F.lit(0.0))
+            return F.lit(0.0)
         return (value - F.lit(low)) / F.lit(high - low)
 
     def apply(self, df: DataFrame) -> DataFrame:
@@ -185,10 +187,14 @@ class MinMaxScaler:
 
 
 def fit_minmax(train: DataFrame, columns: Sequence[str]) -> MinMaxScaler:
-    """Limits over the training rows, nulls taken as 0. One aggregate, one row to the driver."""
-    filled = {c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns}
-    row = train.agg(*[f(v).alias(f"{c}__{n}") for c, v in filled.items() for n, f in (("lo", F.min), ("hi", F.max))]).first()
-    return MinMaxScaler({c: (row[f"{c}__lo"] or 0.0, row[f"{c}__hi"] or 0.0) for c in columns})
+    """Limits over the training rows, nulls taken as 0: one vector summary, one row to the driver."""
+    zero = F.lit(0.0)
+    filled = F.array(*[F.coalesce(F.col(c).cast("double"), zero) for c in columns])
+    summary = Summarizer.metrics("count", "min", "max").summary(array_to_vector(filled))
+    found = train.select(summary.alias("s")).first()["s"]
+    if not found["count"]:
+        return MinMaxScaler({c: (0.0, 0.0) for c in columns})
+    return MinMaxScaler({c: (float(lo), float(hi)) for c, lo, hi in zip(columns, found["min"], found["max"])})
 
 
 # ---------------------------------------------------------------- clustering columns

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from creditloom.functions import columns as C
 from creditloom.functions import vectors as V
-from creditloom.operators.joins import lookup_join
+from creditloom.operators.joins import lookup_join, sized_join
 from creditloom.operators.ordered import top_per_group
 from creditloom.session import checkpointed
 
@@ -93,16 +93,13 @@ def _tasks(placed: DataFrame, block_rows: int) -> DataFrame:
     Block numbers per cell: home blocks first, then guest blocks. Pairs are (home, home) with
     left <= right, and (home, guest).
     """
-    sizes = placed.groupBy("cell").agg(
-        F.count_if("at_home").alias("homes"), F.count_if(~F.col("at_home")).alias("guests")
+    sizes = checkpointed(
+        placed.groupBy("cell").agg(
+            F.ceil(F.count_if("at_home") / F.lit(block_rows)).cast("int").alias("h"),
+            F.ceil(F.count_if(~F.col("at_home")) / F.lit(block_rows)).cast("int").alias("g"),
+        ).where("h > 0")
     )
-    limits = {r["cell"]: (max(1, math.ceil(r["homes"] / block_rows)), math.ceil(r["guests"] / block_rows))
-              for r in sizes.where("homes > 0").collect()}
-    if not limits:
-        limits = {0: (1, 0)}
-    cells = F.map_from_arrays(F.array(*[F.lit(c) for c in limits]), F.array(*[F.lit(h) for h, _ in limits.values()]))
-    guests = F.map_from_arrays(F.array(*[F.lit(c) for c in limits]), F.array(*[F.lit(g) for _, g in limits.values()]))
-    numbered = placed.withColumns({"h": cells[F.col("cell")], "g": guests[F.col("cell")]}).where(F.col("h").isNotNull())
+    numbered = sized_join(placed, sizes, "cell")
     spread = C.key_hash("key", "block")
     home_block = F.pmod(spread, F.col("h")).cast("int")
     guest_block = (F.col("h") + F.pmod(spread, F.greatest(F.col("g"), F.lit(1)))).cast("int")
@@ -113,7 +110,7 @@ def _tasks(placed: DataFrame, block_rows: int) -> DataFrame:
         return F.struct(left.alias("left"), right.alias("right"))
 
     as_left = F.transform(F.sequence(F.col("block"), last), lambda other: pair(F.col("block"), other))
-    earlier = F.when(F.col("block") > 0, F.sequence(F.lit(0), F.least(F.col("block"), F.col("h").cast("int")) - 1))
+    earlier = F.when(F.col("block") > 0, F.sequence(F.lit(0), F.least(F.col("block"), F.col("h")) - 1))
     as_right = F.transform(F.coalesce(earlier, F.array().cast("array<int>")), lambda other: pair(other, F.col("block")))
     pairs = F.when(F.col("at_home"), F.concat(as_left, as_right)).otherwise(as_right)
     return numbered.select("key", "vector", "cell", "block", F.explode(pairs).alias("task")).select(
@@ -165,8 +162,7 @@ def nearest_neighbours(
     """The ``k`` nearest other rows of the same group, as (key, neighbour, distance, rank).
 
     Each block pair keeps only its ``k`` best per row, so at most ``k`` rows per vector and block
-    leave a task; the final ranking picks among those. The group column must have few values
-    (clusters, say): their sizes are read to lay out the blocks.
+    leave a task; the final ranking picks among those.
     """
     nodes = df.select(
         F.col(key).cast("bigint").alias("key"),

@@ -12,10 +12,12 @@ document. Columns beyond doc_id, text and the host are neither read nor changed,
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from creditloom.llm.base import same, table, text_key
+from creditloom.llm.base import same, settled, table, text_key
 from creditloom.llm.words import SEPARATORS, word_array
 
 SYMBOLS = "[#*$%&|<>]"
@@ -33,28 +35,37 @@ def _lines(text: Column) -> Column:
     return F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^ \t-\r]"))
 
 
-def _repeated_words(words: Column, n_words: Column, window: int) -> Column:
-    """Words in windows that occur twice or more in the text; ``words`` are hashes, so a window's hash is cheap."""
-    last = F.col("n_words").cast("int") - window
-    windows = F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.slice(words, i + 1, window)))
-    return F.when(n_words > window, windows).otherwise(F.array().cast("array<bigint>"))
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _covered(windows: Column) -> Column:
+    """Number of words under the windows whose hash occurs again; linear but for two sorts."""
+    pair = lambda a, b: F.coalesce(F.when(a["h"] == b["h"], F.array(a["i"], b["i"])), F.array().cast("array<int>"))
+    gap = lambda a, b: F.least(F.coalesce(b, F.lit(1 << 30)) - a, F.lit(WINDOW))
+    placed = F.array_sort(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    spots = _let(placed, lambda p: F.array_sort(F.array_distinct(F.flatten(F.zip_with(p, F.slice(p, 2, F.size(p)), pair)))))
+    total = lambda q: F.aggregate(F.zip_with(q, F.slice(q, 2, F.size(q)), gap), F.lit(0).cast("long"), lambda x, g: x + g)
+    return _let(spots, total)
+
+
+def _repeated_words(words: Column) -> Column:
+    """Words in windows of WINDOW words that occur twice or more in the text, first included.
+
+    A window's hash is the exclusive or of its words' hashes, each shifted by its place, made by doubling.
+    """
+    def joined(h: Column, width: int) -> Column:
+        return F.zip_with(h, F.slice(h, width + 1, F.size(h)), lambda a, b: a.bitwiseXOR(F.shiftleft(b, width)))
 
+    def of_hashes(h: Column) -> Column:
+        windows = _let(_let(joined(h, 1), lambda x: joined(x, 2)), lambda x: joined(x, 4))
+        return F.slice(windows, 1, F.size(h) - WINDOW + 1)
 
-def _covered(hashes: Column, window: int) -> Column:
-    """Number of words under the windows whose hash occurs again; linear but for one sort."""
-    size = F.size(hashes)
-    placed = F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    last = F.struct(F.lit(0).cast("long").alias("h"), F.lit(-1).alias("i"))
-    before = F.concat(F.array(last), F.slice(placed, 1, size - 1))
-    after = F.concat(F.slice(placed, 2, size - 1), F.array(last))
-    # The sentinel may share a hash with a window but never stands for one: its position is -1.
-    equal = lambda a, b: (a["h"] == b["h"]) & (a["i"] >= 0) & (b["i"] >= 0)
-    back = F.zip_with(placed, before, lambda a, b: F.struct(a["h"].alias("h"), a["i"].alias("i"), equal(a, b).alias("eq")))
-    marked = F.zip_with(back, after, lambda a, b: F.when(a["eq"] | equal(a, b), a["i"]))
-    spots = F.array_sort(F.array_compact(marked))
-    following = F.concat(F.slice(spots, 2, F.greatest(F.size(spots) - 1, F.lit(0))), F.array(F.lit(1 << 30)))
-    gaps = F.zip_with(spots, following, lambda a, b: F.least(b - a, F.lit(window)))
-    return F.when(F.size(spots) > 0, F.aggregate(gaps, F.lit(0).cast("long"), lambda s, g: s + g)).otherwise(F.lit(0).cast("long"))
+    none = F.lit(0).cast("long")
+    again = lambda w: F.when(F.size(F.array_distinct(w)) < F.size(w), _covered(w)).otherwise(none)
+    counted = _let(F.transform(words, lambda w: F.xxhash64(w)), lambda h: _let(of_hashes(h), again))
+    return F.when(F.size(words) > WINDOW, counted).otherwise(none)
 
 
 def text_rules(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -68,12 +79,8 @@ def text_rules(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         F.regexp_count("text", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"),
+        _repeated_words(F.col("words")).alias("n_repeat_words"),
     )
-    base = base.withColumn("windows", _repeated_words(F.col("hashes"), F.col("n_words"), WINDOW)).drop("hashes")
-    base = base.withColumn("repeats", F.size(F.array_distinct("windows")) < F.size("windows"))
-    covered = F.when(F.col("repeats"), _covered(F.col("windows"), WINDOW)).otherwise(F.lit(0).cast("long"))
-    base = base.withColumn("n_repeat_words", covered).drop("windows", "repeats")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
     return base.withColumn("base_failed", failed)
 
@@ -116,7 +123,7 @@ def verdicts(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOCS, ma
 
 def keep_good(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOCS, max_lost: float = MAX_LOST) -> DataFrame:
     """The rows of ``docs`` whose document is kept, with the columns they came with."""
-    good = verdicts(docs, host, max_docs, max_lost).where("kept").select(
+    good = settled(verdicts(docs, host, max_docs, max_lost)).where("kept").select(
         F.col("doc_id").alias("kept_id"), F.col("text_key").alias("kept_key")
     ).distinct()
     match = same(docs["doc_id"], F.col("kept_id")) & (text_key(docs["text"]) == F.col("kept_key"))

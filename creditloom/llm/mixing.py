@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from creditloom.llm.base import same, settled, table, text_key
+from creditloom.llm.base import packed, same, settled, table, text_key, unpacked
 from creditloom.llm.words import word_array
 from creditloom.operators.ordered import running_totals
 
@@ -101,7 +101,7 @@ def mixed(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: int = MAX_P
     plan = sources(base, weights, most)
     if not plan:
         return base.select("doc_id", "text_key", "source", "size", F.col("size").alias("source_size"),
-                           F.lit(0.0).alias("target"), F.col("size").alias("taken"))
+                           F.lit(0.0).alias("target"), F.col("size").alias("taken"))  # no rows
     block = block_size(plan)
     known = spark.createDataFrame(plan, "place int, name string, source_size long, target double")
     base = base.join(F.broadcast(known), same(base["source"], F.col("name"))).drop("name")
@@ -131,16 +131,13 @@ def mix_documents(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: int
     plan = mixed(docs, weights, most).groupBy(F.col("doc_id").alias("mix_id"), F.col("text_key").alias("mix_key")).agg(
         F.max("size").alias("mix_size"), F.max("taken").alias("mix_taken")
     ).where(F.col("mix_taken") > 0)
-    match = same(docs["doc_id"], F.col("mix_id")) & (text_key(docs["text"]) == F.col("mix_key"))
+    rows = packed(docs)
+    match = same(rows["doc_id"], plan["mix_id"]) & (text_key(rows["text"]) == plan["mix_key"])
     passes = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("mix_taken") - 1) / F.col("mix_size"))))
-    each = docs.join(plan, match).withColumn("mix_pass", passes)
+    each = rows.join(plan, match).withColumn("mix_pass", passes)
     rest = F.col("mix_taken") - F.col("mix_pass") * F.col("mix_size")
     cut = F.array_join(F.slice(word_array(F.col("text")), 1, rest.cast("int")), " ")
-    text = F.when(rest >= F.col("mix_size"), F.col("text")).otherwise(cut)
-    out = each.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return unpacked(each, docs, F.when(rest >= F.col("mix_size"), F.col("text")).otherwise(cut))
 
 
 def op8_source_mixing(spark: SparkSession, folder: str) -> DataFrame:

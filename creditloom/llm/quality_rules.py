@@ -12,12 +12,10 @@ document. Columns beyond doc_id, text and the host are neither read nor changed,
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from creditloom.llm.base import same, settled, table, text_key
+from creditloom.llm.base import bound, packed, same, settled, table, text_key, unpacked
 from creditloom.llm.words import SEPARATORS, word_array
 
 SYMBOLS = "[#*$%&|<>]"
@@ -35,19 +33,14 @@ def _lines(text: Column) -> Column:
     return F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^ \t-\r]"))
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once, however often the body names it."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def _covered(windows: Column) -> Column:
     """Number of words under the windows whose hash occurs again; linear but for two sorts."""
     pair = lambda a, b: F.coalesce(F.when(a["h"] == b["h"], F.array(a["i"], b["i"])), F.array().cast("array<int>"))
     gap = lambda a, b: F.least(F.coalesce(b, F.lit(1 << 30)) - a, F.lit(WINDOW))
     placed = F.array_sort(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    spots = _let(placed, lambda p: F.array_sort(F.array_distinct(F.flatten(F.zip_with(p, F.slice(p, 2, F.size(p)), pair)))))
+    spots = bound(placed, lambda p: F.array_sort(F.array_distinct(F.flatten(F.zip_with(p, F.slice(p, 2, F.size(p)), pair)))))
     total = lambda q: F.aggregate(F.zip_with(q, F.slice(q, 2, F.size(q)), gap), F.lit(0).cast("long"), lambda x, g: x + g)
-    return _let(spots, total)
+    return bound(spots, total)
 
 
 def _repeated_words(words: Column) -> Column:
@@ -59,12 +52,12 @@ def _repeated_words(words: Column) -> Column:
         return F.zip_with(h, F.slice(h, width + 1, F.size(h)), lambda a, b: a.bitwiseXOR(F.shiftleft(b, width)))
 
     def of_hashes(h: Column) -> Column:
-        windows = _let(_let(joined(h, 1), lambda x: joined(x, 2)), lambda x: joined(x, 4))
+        windows = bound(bound(joined(h, 1), lambda x: joined(x, 2)), lambda x: joined(x, 4))
         return F.slice(windows, 1, F.size(h) - WINDOW + 1)
 
     none = F.lit(0).cast("long")
     again = lambda w: F.when(F.size(F.array_distinct(w)) < F.size(w), _covered(w)).otherwise(none)
-    counted = _let(F.transform(words, lambda w: F.xxhash64(w)), lambda h: _let(of_hashes(h), again))
+    counted = bound(F.transform(words, lambda w: F.xxhash64(w)), lambda h: bound(of_hashes(h), again))
     return F.when(F.size(words) > WINDOW, counted).otherwise(none)
 
 
@@ -126,8 +119,9 @@ def keep_good(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOCS, m
     good = settled(verdicts(docs, host, max_docs, max_lost)).where("kept").select(
         F.col("doc_id").alias("kept_id"), F.col("text_key").alias("kept_key")
     ).distinct()
-    match = same(docs["doc_id"], F.col("kept_id")) & (text_key(docs["text"]) == F.col("kept_key"))
-    return docs.join(good, match, "left_semi")
+    rows = packed(docs)
+    match = same(rows["doc_id"], good["kept_id"]) & (text_key(rows["text"]) == good["kept_key"])
+    return unpacked(rows.join(good, match, "left_semi"), docs)
 
 
 def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:

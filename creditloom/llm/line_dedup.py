@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from creditloom.llm.base import same, settled, table, text_key
+from creditloom.llm.base import bound, packed, same, settled, table, text_key, unpacked
 
 MIN_LINE, MIN_EDIT = 10, 20
 TRIMMED = " \t\r\x0b\x0c"
@@ -72,14 +72,16 @@ def _block_keys(line: Column, longer: Column, own: Column, deleted: bool) -> Col
     def of_block(b: Column) -> Column:
         start = (b * size).cast("int")
         width = F.least(size, longer - start) - (0 if deleted else 1)
-        before = F.xxhash64(F.substring(line, F.lit(1), start))
-        piece = F.substring(line, start + 1, width)
-        after = F.xxhash64(F.substring(line, start + width + 1, own))
+        parts = F.struct(
+            F.xxhash64(F.substring(line, F.lit(1), start)).alias("before"), F.substring(line, start + 1, width).alias("piece"),
+            F.xxhash64(F.substring(line, start + width + 1, own)).alias("after"),
+        )
+        key = lambda v, piece: F.xxhash64(longer, b, v["before"], v["after"], piece)
         if not deleted:
-            return F.array(F.struct(F.lit(0).alias("place"), F.xxhash64(longer, b, before, after, piece).alias("key")))
-        cut = lambda i: F.concat(F.substring(piece, F.lit(1), i - 1), F.substring(piece, i + 1, width))
-        return F.transform(F.sequence(F.lit(1), width), lambda i: F.struct(
-            (start + i).alias("place"), F.xxhash64(longer, b, before, after, cut(i)).alias("key")))
+            return F.array(bound(parts, lambda v: F.struct(F.lit(0).alias("place"), key(v, v["piece"]).alias("key"))))
+        cut = lambda v, i: F.concat(F.substring(v["piece"], F.lit(1), i - 1), F.substring(v["piece"], i + 1, width))
+        return bound(parts, lambda v: F.transform(F.sequence(F.lit(1), width), lambda i: F.struct(
+            (start + i).alias("place"), key(v, cut(v, i)).alias("key"))))
 
     blocks = F.sequence(F.lit(0), F.ceil(longer / size).cast("int") - 1)
     return F.flatten(F.transform(blocks, of_block))
@@ -88,13 +90,12 @@ def _block_keys(line: Column, longer: Column, own: Column, deleted: bool) -> Col
 def variants(lines: DataFrame) -> DataFrame:
     """key, role and the columns of ``lines``: 'change' (one letter replaced), 'long' or 'short' (one letter more or less)."""
     line, n = F.col("line"), F.col("n")
-    gone = lines.withColumn("v", F.explode(_block_keys(line, n, n, True)))
-    change = gone.withColumn("role", F.lit("change")).withColumn("key", F.xxhash64(F.lit("change"), "v.place", "v.key"))
-    longer = gone.withColumn("role", F.lit("long")).withColumn("key", F.col("v.key"))
-    itself = lines.withColumn("v", F.explode(_block_keys(line, n + 1, n, False)))
-    shorter = itself.withColumn("role", F.lit("short")).withColumn("key", F.col("v.key"))
+    role = lambda name, key: F.struct(F.lit(name).alias("role"), key.alias("key"))
+    gone = lines.withColumn("v", F.explode(_block_keys(line, n, n, True))).withColumn("r", F.explode(F.array(
+        role("change", F.xxhash64(F.lit("change"), "v.place", "v.key")), role("long", F.col("v.key")))))
+    itself = lines.withColumn("v", F.explode(_block_keys(line, n + 1, n, False))).withColumn("r", role("short", F.col("v.key")))
     keep = [c for c in lines.columns if c != "line"]
-    return change.unionByName(longer).unionByName(shorter).select("key", "role", *keep)
+    return gone.unionByName(itself).select("r.key", "r.role", *keep)
 
 
 def near_lines(docs: DataFrame, lines: DataFrame) -> DataFrame:
@@ -104,6 +105,7 @@ def near_lines(docs: DataFrame, lines: DataFrame) -> DataFrame:
     each = distinct.select("key", F.explode("halves").alias("half"))
     shared = each.groupBy("half").agg(F.min("key").alias("low"), F.max("key").alias("high")).where(F.col("low") < F.col("high"))
     going = settled(each.join(shared.select("half"), "half").select("key").distinct().join(distinct.select("key", "at", "n"), "key"))
+    del distinct, each, shared
     raw = _raw_lines(docs).where(F.col("n") >= MIN_EDIT).select(F.xxhash64("line").alias("key"), "line")
     texts = settled(raw.join(going.select("key"), "key").groupBy("key").agg(F.first("line").alias("line")).join(going, "key"))
     every = variants(texts.select(F.col("key").alias("line_key"), "line", "n", "at"))
@@ -156,16 +158,13 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     """
     gone = removed_lines(docs).groupBy(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key")).agg(
         F.collect_set("line_no").alias("gone_lines"))
-    match = same(docs["doc_id"], F.col("gone_id")) & (text_key(docs["text"]) == F.col("gone_key"))
-    joined = docs.join(gone, match, "left")
+    rows = packed(docs)
+    match = same(rows["doc_id"], gone["gone_id"]) & (text_key(rows["text"]) == gone["gone_key"])
     numbered = F.transform(F.split("text", "\n"), lambda x, i: F.struct(x.alias("line"), i.alias("i")))
     left = F.transform(F.filter(numbered, lambda x: ~F.array_contains("gone_lines", x["i"])), lambda x: x["line"])
-    text = F.when(F.col("gone_lines").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
-    out = joined.withColumn("text", text).where(F.col("gone_lines").isNull() | F.col("text").rlike(r"[^ \t-\r]"))
-    if "n_chars" in docs.columns:
-        length = F.length("text").cast(docs.schema["n_chars"].dataType)
-        out = out.withColumn("n_chars", F.when(F.col("gone_lines").isNull(), F.col("n_chars")).otherwise(length))
-    return out.select(*docs.columns)
+    cut = F.when(F.col("gone_lines").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
+    joined = rows.join(gone, match, "left").withColumn("cut", cut)
+    return unpacked(joined.where(F.col("gone_lines").isNull() | F.col("cut").rlike(r"[^ \t-\r]")), docs, F.col("cut"))
 
 
 def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:

@@ -2,11 +2,17 @@
 
 Suffixes are kept at minimisers alone: positions whose 8-word window is the least, by hash, of some run of 50 words,
 so equal passages of 50 words hold an equal kept position at the same place. Kept positions whose window
-occurs under one id only are dropped. The other suffixes are range-partitioned and sorted by their first 50 words, and each is
-compared with its neighbours in that order: the nearest suffix above and below that belongs to a smaller id, and
-the first document's suffix with the same window. A match is extended to the right and to the left, up to 50 words
-each way; of 50 words or more, it is a span to remove. Overlapping spans of a longer passage, one per kept position,
-join up. A run of equal suffixes, however long, is range-partitioned by id as well, so it fills no single task.
+occurs under one id only are dropped. The other suffixes are range-partitioned and sorted by their first 50 words,
+and once more by the 50 words before them, read backwards. In either order each is compared with its neighbours: the
+nearest suffix above and below that belongs to a smaller id, and the first document's suffix with the same window.
+A match is extended to the right and to the left, up to 50 words each way; of 50 words or more, it is a span to
+remove. Overlapping spans of a longer passage, one per kept position, join up. A run of equal suffixes, however
+long, is range-partitioned by id as well, so it fills no single task.
+
+Every span also stands under a smaller id. A passage is found if one of the neighbours shares it: always where one
+side of a kept position decides, as with a passage set into otherwise different texts. Where a text overlaps
+several earlier ones, and the one that shares most to the right and the one that shares most to the left both share
+less than 50 words in all, a third may be missed; substring_dedup decides those cases as well.
 
 Defined results: a null or empty text has no words and no spans. Ids are compared as longs, null after all others.
 Documents with the same words are looked at once; of more than one, the later ones are removed whole if they have
@@ -136,8 +142,9 @@ def removed_spans(docs: DataFrame, window: int = WINDOW, least: int = LEAST) ->
         "mark", "doc", "text_key", "at", "right", "left",
         F.when(low, F.col("low.right")).alias("low_right"), F.when(low, F.col("low.left")).alias("low_left"),
     )
-    order = ["mark", "right", "doc", "at"]
-    spans = matches(joined.repartitionByRange(*order).sortWithinPartitions(*order), least).distinct()
+    orders = (["mark", "right", "left", "doc", "at"], ["mark", "left", "right", "doc", "at"])
+    ahead, behind = (matches(joined.repartitionByRange(*o).sortWithinPartitions(*o), least) for o in orders)
+    spans = ahead.union(behind).distinct()
     per_doc = spans.groupBy("doc", "text_key").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
     start = F.array().cast("array<struct<start:int,end:int>>")
     merged = F.aggregate("spans", start, lambda s, x: F.when(

@@ -9,10 +9,12 @@ document's registers. Two documents agree in a register with the probability Jac
 Registers are cut in ``BANDS`` bands; at 0.8 a pair shares none with a chance of 5e-8. Candidates of a band are
 verified on the exact similarity of their bags, and classes are the components of the verified links:
 
-1. every document with the band's centre (the least of a hash);
-2. where a band still holds several classes, all pairs across classes if it has at most ``SMALL`` documents, else
-   every document with another centre, ``STARS`` times over;
-3. what is left across classes in larger bands, pair by pair, spread over blocks.
+1. Every document is compared with the least, by hash, of its bands' centres: one pair for each.
+2. Of the bands that still hold several classes, every document gets the share m of its bag that no other document
+   left holds. With r = m / (1 - m), a pair's similarity is at most 1 / (1 + r + r'), so documents with r above
+   1 / similarity - 1 have no link, and the centre is now the document with the least r, often the original.
+3. Pairs left across classes are compared, spread over blocks, but for those that a bound rules out: the one above,
+   and, for two documents with one centre, the triangle inequality (one minus the chance of equal registers is a metric).
 
 No pairs are made within a class, so a group of copies costs a link for each. Documents with the same words are one
 node from the start. Labels, links and classes stay in tables.
@@ -28,10 +30,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from creditloom.llm.base import same, settled, table, text_key
+from creditloom.llm.base import packed, same, settled, table, text_key, unpacked
 from creditloom.llm.components import components
 from creditloom.llm.passages import NO_ID, _list, keyed, texts_of, whole_hashes
 from creditloom.llm.words import Texts, mix, slices
@@ -39,7 +41,7 @@ from creditloom.llm.words import Texts, mix, slices
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 4
 COMPONENTS = BANDS * ROWS
-SMALL, STARS = 64, 3
+BLOCK, SLACK = 64, 1e-9
 ROUND = np.uint64(0xA0761D6478BD642F)  # fixed value: an odd constant that tells the rounds' random numbers apart
 
 
@@ -150,45 +152,72 @@ def bags(docs: DataFrame, chosen: DataFrame) -> DataFrame:
     return texts_of(docs, chosen).select("node", "text").mapInArrow(work, "node long, bag binary")
 
 
-def verified(pairs: DataFrame, bag: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """The pairs (a, b) whose bags are similar enough."""
+def compared(pairs: DataFrame, bag: DataFrame) -> DataFrame:
+    """The pairs (a, b) with their similarity."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = [similarity(a.as_py(), b.as_py()) >= least for a, b in zip(batch.column("bag_a"), batch.column("bag_b"))]
-            if any(good):
-                yield batch.select(["a", "b"]).filter(pa.array(good))
+            found = [similarity(a.as_py(), b.as_py()) for a, b in zip(batch.column("bag_a"), batch.column("bag_b"))]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(found, pa.float64())], ["a", "b", "s"])
 
     left = bag.select(F.col("node").alias("a"), F.col("bag").alias("bag_a"))
     right = bag.select(F.col("node").alias("b"), F.col("bag").alias("bag_b"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "bag_a", "bag_b").mapInArrow(work, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "bag_a", "bag_b").mapInArrow(work, "a long, b long, s double")
 
 
-def _centred(rows: DataFrame, turn: int) -> DataFrame:
-    """Pairs of each band's documents with its centre of this turn, across classes."""
-    ranked = F.struct(F.xxhash64(F.lit(turn), "node").alias("h"), F.col("node").alias("node"), F.col("label").alias("label"))
+def own_shares(bag: DataFrame) -> DataFrame:
+    """node and r = m / (1 - m), with m the share of its bag that no other of the bags holds (null for m = 1)."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                value, count = np.unique(np.frombuffer(batch.column("bag")[row].as_py(), np.uint32), return_counts=True)
+                node = np.full(len(value), batch.column("node")[row].as_py())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(node), pa.array(value.astype(np.int64)), pa.array(count / count.sum())], ["node", "shingle", "share"])
+
+    each = bag.select("node", "bag").mapInArrow(work, "node long, shingle long, share double")
+    alone = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node"), F.min("share").alias("share")).where("n = 1")
+    mass = alone.groupBy("node").agg(F.sum("share").alias("m"))
+    r = F.when(F.col("m").isNull(), 0.0).when(F.col("m") < 1 - SLACK, F.col("m") / (1 - F.col("m")))
+    return bag.select("node").join(mass, "node", "left").select("node", r.alias("r"))
+
+
+def _centred(rows: DataFrame, order: Column) -> DataFrame:
+    """node and centre: of the first documents, by ``order``, of a document's bands, the first that is of another class."""
+    ranked = F.struct(order.alias("order"), F.col("node").alias("node"), F.col("label").alias("label"))
     centre = rows.groupBy("band").agg(F.min(ranked).alias("c"))
     far = rows.join(centre, "band").where(F.col("label") != F.col("c.label"))
-    return far.select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b"))
+    return far.groupBy("node").agg(F.min("c").alias("c")).select("node", F.col("c.node").alias("centre"))
+
 
+def _pairs(centred: DataFrame) -> DataFrame:
+    return centred.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
 
-def _all_pairs(rows: DataFrame) -> DataFrame:
-    """All pairs across classes in bands of at most SMALL documents."""
-    lists = rows.groupBy("band").agg(F.sort_array(F.collect_set(F.struct("node", "label"))).alias("m"))
-    each = lists.select("m", F.explode("m").alias("x"))
-    others = F.filter("m", lambda y: (y["node"] > F.col("x.node")) & (y["label"] != F.col("x.label")))
-    return each.select(F.col("x.node").alias("a"), F.explode(others).alias("y")).select("a", F.col("y.node").alias("b"))
 
+def _block_pairs(rows: DataFrame, least: float) -> DataFrame:
+    """Pairs across classes that no bound rules out: members of a band meet block by block, so no task holds a band.
 
-def _block_pairs(rows: DataFrame) -> DataFrame:
-    """All pairs across classes in any band: members meet block by block, so no task holds a band."""
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("members") / SMALL)).cast("int")
+    rows: band, node, label, members, r, centre and s (similarity to the centre; both null without one).
+    """
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("members") / BLOCK)).cast("int")
     placed = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    left = placed.select("band", F.col("node").alias("a"), F.col("label").alias("la"), F.col("block").alias("i"),
-                         F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"))
-    right = placed.select("band", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("block").alias("j"),
-                          F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"))
-    return left.join(right, ["band", "i", "j"]).where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb"))).select("a", "b")
+    others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    left = placed.select("band", F.col("block").alias("i"), others.alias("j"), *[F.col(c).alias(f"{c}_a") for c in ("node", "label", "r", "centre", "s")])
+    right = placed.select("band", F.col("block").alias("j"), others.alias("i"), *[F.col(c).alias(f"{c}_b") for c in ("node", "label", "r", "centre", "s")])
+    near = F.coalesce((F.col("centre_a") != F.col("centre_b")) | (F.abs(F.col("s_a") - F.col("s_b")) <= 1 - least + SLACK), F.lit(True))
+    match = (
+        (left["band"] == right["band"]) & (left["i"] == right["i"]) & (left["j"] == right["j"]) & (F.col("node_a") < F.col("node_b"))
+        & (F.col("label_a") != F.col("label_b")) & (F.col("r_a") + F.col("r_b") <= 1 / least - 1 + SLACK) & near
+    )
+    return left.join(right, match).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+
+
+def _mixed(bands: DataFrame, labels: DataFrame) -> DataFrame:
+    """band, node, label, members of the bands with several classes, in which members are counted anew."""
+    rows = bands.select("band", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    several = rows.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("members"))
+    return rows.join(several.where("lo <> hi").select("band", "members"), "band")
 
 
 def near_classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
@@ -201,26 +230,22 @@ def near_classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     bands = settled(each.join(members, "band"))
     chosen = nodes.select("node", "at.doc", "at.text_key").join(bands.select("node").distinct(), "node", "left_semi")
     bag = settled(bags(docs, chosen))
-    links, labels = None, None
-    for turn in range(STARS + 2):
-        rows = bands.withColumn("label", F.col("node"))
-        if labels is not None:
-            rows = bands.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-            mixed = rows.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("band")
-            rows = settled(rows.join(mixed, "band", "left_semi"))
-            sizes = rows.agg(F.max("members")).first()[0]
-            if sizes is None or (turn > 1 and sizes <= SMALL):  # smaller bands were compared whole in the second turn
-                break
-        if turn == 0:
-            pairs = _centred(rows, turn)
-        elif turn == STARS + 1:
-            pairs = _block_pairs(rows.where(F.col("members") > SMALL))
-        else:
-            pairs = _centred(rows.where(F.col("members") > SMALL), turn)
-            pairs = pairs.union(_all_pairs(rows.where(F.col("members") <= SMALL))) if turn == 1 else pairs
-        fresh = settled(verified(pairs.distinct(), bag, least))
-        links = fresh if links is None else links.union(fresh)
-        labels = settled(components(links))
+    start = bands.withColumn("label", F.col("node"))
+    links = settled(compared(_pairs(_centred(start, F.xxhash64("node"))), bag).where(F.col("s") >= least).select("a", "b"))
+    labels = settled(components(links))
+    rows = settled(_mixed(bands, labels))
+    left = rows.select("node").distinct()
+    shares = settled(own_shares(bag.join(left, "node", "left_semi")).where(F.col("r") <= 1 / least - 1 + SLACK))
+    rows = settled(_mixed(rows.join(shares, "node", "left_semi"), labels).join(shares, "node"))
+    centred = settled(_centred(rows, F.struct("r", F.xxhash64("node"))))
+    scores = settled(compared(_pairs(centred), bag))
+    links = links.union(scores.where(F.col("s") >= least).select("a", "b"))
+    labels = settled(components(links))
+    known = centred.select("node", "centre", F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).join(
+        scores, ["a", "b"]).select("node", "centre", "s")
+    rows = _mixed(rows, labels).join(shares, "node").join(known, "node", "left")
+    rest = settled(compared(_block_pairs(settled(rows), least), bag).where(F.col("s") >= least).select("a", "b"))
+    labels = settled(components(links.union(rest)))
     lowest = nodes.select("node", "at").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     names = lowest.groupBy("label").agg(F.min("at").alias("first"))
     named = settled(lowest.join(names, "label").select("node", "first"))
@@ -234,10 +259,11 @@ def one_of_each(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     classes = near_classes(docs, least)
     kept = classes.where((F.col("doc") == F.col("class_doc")) & (F.col("text_key") == F.col("class_key"))).groupBy(
         F.col("doc_id").alias("kept_id"), F.col("text_key").alias("kept_key")).agg(F.count(F.lit(1)).alias("kept_times"))
-    match = same(docs["doc_id"], F.col("kept_id")) & (text_key(docs["text"]) == F.col("kept_key"))
-    rows = settled(docs.join(kept, match))
+    rows = packed(docs)
+    match = same(rows["doc_id"], kept["kept_id"]) & (text_key(rows["text"]) == kept["kept_key"])
+    rows = settled(rows.join(kept, match))
     again = rows.where(F.col("kept_times") > 1).dropDuplicates(["kept_id", "kept_key"])
-    return rows.where(F.col("kept_times") == 1).unionByName(again).select(*docs.columns)
+    return unpacked(rows.where(F.col("kept_times") == 1).unionByName(again), docs)
 
 
 def op6_minhash_dedup(spark: SparkSession, folder: str) -> DataFrame:

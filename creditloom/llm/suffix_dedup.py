@@ -87,6 +87,40 @@ def _equal_words(a: bytes, b: bytes) -> int:
     return (8 * n - differing.bit_length()) // 32
 
 
+SPAN = "doc long, text_key long, start int, end int"
+
+
+def _spans(found: list[tuple]) -> pa.RecordBatch:
+    doc, key, start, end = zip(*found)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(doc, pa.int64()), pa.array(key, pa.int64()), pa.array(start, pa.int32()), pa.array(end, pa.int32())],
+        ["doc", "text_key", "start", "end"],
+    )
+
+
+def _extended(row: tuple, other: tuple, least: int) -> list[tuple]:
+    """The span of a row (doc, text_key, at, right, left) that another shares, if it is long enough."""
+    right, left = _equal_words(row[3], other[3]), _equal_words(row[4], other[4])
+    return [(row[0], row[1], row[2] - left, row[2] + right)] if left + right >= least else []
+
+
+def first_matches(suffixes: DataFrame, least: int = LEAST) -> DataFrame:
+    """Spans that the first document's suffix of the same mark shares: all that have a passage meet it."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("doc", "text_key", "at", "right", "left", "low_right", "low_left")]
+            out = [s for *row, right, left in zip(*columns) for s in _extended(row, (None, None, None, right, left), least)]
+            if out:
+                yield _spans(out)
+
+    # Stored, so that the join reads two plain exchanges and a mark with very many suffixes can be split.
+    low = settled(suffixes.groupBy("mark").agg(F.min(F.struct("doc", "at", "text_key", "right", "left")).alias("low")))
+    later = suffixes.join(low, "mark").where(F.col("low.doc") < F.col("doc"))
+    return later.select("doc", "text_key", "at", "right", "left", F.col("low.right").alias("low_right"),
+                        F.col("low.left").alias("low_left")).mapInArrow(work, SPAN)
+
+
 def matches(sorted_suffixes: DataFrame, least: int = LEAST) -> DataFrame:
     """doc, text_key, start, end: spans that a neighbour of a smaller id shares, from rows sorted within partitions."""
 
@@ -95,23 +129,16 @@ def matches(sorted_suffixes: DataFrame, least: int = LEAST) -> DataFrame:
         stack: list = []
         mark = None
 
-        def span(row, other):
-            right, left = _equal_words(row[3], other[3]), _equal_words(row[4], other[4])
-            if left + right >= least:
-                out.append((row[0], row[1], row[2] - left, row[2] + right))
-
         for batch in batches:
             out: list = []
-            columns = [batch.column(c).to_pylist() for c in ("mark", "doc", "text_key", "at", "right", "left", "low_right", "low_left")]
-            for m, doc, key, at, right, left, low_right, low_left in zip(*columns):
+            columns = [batch.column(c).to_pylist() for c in ("mark", "doc", "text_key", "at", "right", "left")]
+            for m, doc, key, at, right, left in zip(*columns):
                 row = (doc, key, at, right, left)
                 if m != mark:
                     stack, mark = [], m
                 while stack and stack[-1][0] > doc:
                     for waiting in stack.pop()[1]:
-                        span(waiting, row)
-                if low_right is not None:
-                    span(row, (None, None, None, low_right, low_left))
+                        out += _extended(waiting, row, least)
                 if stack and stack[-1][0] == doc:
                     stack[-1][1].append(row)
                     above = stack[-2:-1]
@@ -119,15 +146,11 @@ def matches(sorted_suffixes: DataFrame, least: int = LEAST) -> DataFrame:
                     above = stack[-1:]
                     stack.append([doc, [row]])
                 if above:
-                    span(row, above[0][1][-1])
+                    out += _extended(row, above[0][1][-1], least)
             if out:
-                doc, key, start, end = zip(*out)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(doc, pa.int64()), pa.array(key, pa.int64()), pa.array(start, pa.int32()), pa.array(end, pa.int32())],
-                    ["doc", "text_key", "start", "end"],
-                )
+                yield _spans(out)
 
-    return sorted_suffixes.mapInArrow(work, "doc long, text_key long, start int, end int")
+    return sorted_suffixes.mapInArrow(work, SPAN)
 
 
 def removed_spans(docs: DataFrame, window: int = WINDOW, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
@@ -135,16 +158,11 @@ def removed_spans(docs: DataFrame, window: int = WINDOW, least: int = LEAST) ->
     scan, firsts = first_documents(docs, window, least)
     chosen = settled(repeated_marks(firsts))
     rows = settled(suffixes(docs, chosen, window, least))
-    # The first document's suffix of each mark: all that share a passage with it meet it, wherever they were sorted.
-    earliest = rows.groupBy("mark").agg(F.min(F.struct("doc", "at", "text_key", "right", "left")).alias("low"))
-    low = F.col("low.doc") < F.col("doc")
-    joined = rows.join(earliest, "mark").select(
-        "mark", "doc", "text_key", "at", "right", "left",
-        F.when(low, F.col("low.right")).alias("low_right"), F.when(low, F.col("low.left")).alias("low_left"),
-    )
     orders = (["mark", "right", "left", "doc", "at"], ["mark", "left", "right", "doc", "at"])
-    ahead, behind = (matches(joined.repartitionByRange(*o).sortWithinPartitions(*o), least) for o in orders)
-    spans = ahead.union(behind).distinct()
+    spans = settled(first_matches(rows, least).distinct())
+    for order in orders:
+        spans = spans.union(settled(matches(rows.repartitionByRange(*order).sortWithinPartitions(*order), least).distinct()))
+    spans = spans.distinct()
     per_doc = spans.groupBy("doc", "text_key").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
     start = F.array().cast("array<struct<start:int,end:int>>")
     merged = F.aggregate("spans", start, lambda s, x: F.when(

@@ -88,7 +88,7 @@ def with_first_copy(scan: DataFrame) -> DataFrame:
 def repeated_marks(firsts: DataFrame) -> DataFrame:
     """doc, text_key, marks: of the documents given, those marks that two or more ids hold."""
     each = firsts.select("doc", "text_key", F.explode("marks").alias("mark"))
-    shared = (
+    shared = settled(  # stored, so that the join can split a mark in very many documents
         each.groupBy("mark").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where(F.col("low") < F.col("high"))
         .select("mark")
     )

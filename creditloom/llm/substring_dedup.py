@@ -82,7 +82,8 @@ def _repeats(windows: DataFrame, only_later: bool) -> DataFrame:
     each = windows.select("doc", "text_key", F.explode(F.arrays_zip("at", "window")).alias("w")).select(
         "doc", "text_key", F.col("w.at").alias("at"), F.col("w.window").alias("window")
     )
-    shared = (
+    # Stored, so that the join reads two plain exchanges and a window in very many documents can be split.
+    shared = settled(
         each.groupBy("window").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where(F.col("low") < F.col("high"))
         .select("window", "low")
     )

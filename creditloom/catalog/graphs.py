@@ -17,6 +17,8 @@ catalog = Catalog()
 DIM = 64
 # The default threshold 0.85 has no edges on these embeddings; 0.3 has many.
 LIMIT = 0.3
+# The view of twins has near neighbours and copies, so the default has edges there.
+STRICT = 0.85
 
 # ---------------------------------------------------------------- F: functions
 catalog.add(
@@ -41,7 +43,8 @@ catalog.add(
   {r6('cos(ext_source_1)')} AS cosine, {r6('exp(-ext_source_3)')} AS decay,
   {r6('1 / (1 + exp(-(ext_source_2 * 5)))')} AS logistic,
   CAST(sign(amt_goods_price - amt_credit) AS DOUBLE) AS side,
-  least(greatest(amt_credit, CAST(1000 AS DOUBLE)), CAST(5000 AS DOUBLE)) AS clamped FROM app""",
+  CASE WHEN amt_credit IS NOT NULL THEN least(greatest(amt_credit, CAST(1000 AS DOUBLE)), CAST(5000 AS DOUBLE)) END AS clamped
+FROM app""",
 )
 catalog.add(
     "f2_conditionals",
@@ -72,8 +75,21 @@ PAIRS = """WITH n AS (SELECT sk_id, CAST(embedding AS DOUBLE[]) AS e FROM nodes)
 u AS (SELECT min(sk_id) AS sk_id, e, count(*) AS copies FROM n GROUP BY e),
 p AS (SELECT a.sk_id AS src, b.sk_id AS dst, list_cosine_similarity(a.e, b.e) AS w FROM u a JOIN u b ON a.sk_id < b.sk_id
   WHERE list_cosine_similarity(a.e, b.e) >= 0.3)"""
-# Both directions and loops, with the multiplicity of the far node.
-GRAPH = PAIRS + """, g0 AS (SELECT src, dst, w FROM p UNION ALL SELECT dst, src, w FROM p
+TWINS = """WITH n AS (SELECT sk_id, CAST(embedding AS DOUBLE[]) AS e FROM twins),
+u AS (SELECT min(sk_id) AS sk_id, e, count(*) AS copies FROM n GROUP BY e),
+v AS (SELECT * FROM u WHERE list_dot_product(e, e) > 0),
+p AS (SELECT a.sk_id AS src, b.sk_id AS dst, list_cosine_similarity(a.e, b.e) AS w FROM v a JOIN v b ON a.sk_id < b.sk_id
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.85)"""
+# By brute force over all nodes, copies and all: both directions and loops.
+EVERY = """WITH n AS (SELECT sk_id, CAST(embedding AS DOUBLE[]) AS e FROM twins),
+v AS (SELECT * FROM n WHERE list_dot_product(e, e) > 0),
+g AS (SELECT a.sk_id AS src, b.sk_id AS dst FROM v a JOIN v b ON a.sk_id <> b.sk_id WHERE list_cosine_similarity(a.e, b.e) >= 0.85
+  UNION ALL SELECT sk_id, sk_id FROM n),
+d AS (SELECT src, CAST(count(*) AS DOUBLE) AS degree FROM g GROUP BY src),
+nw AS (SELECT g.src, g.dst, 1 / sqrt(a.degree * b.degree) AS w FROM g JOIN d a ON a.src = g.src JOIN d b ON b.src = g.dst),
+x0 AS (SELECT sk_id, CAST(i - 1 AS INTEGER) AS dim, e[i] AS value FROM (SELECT *, unnest(generate_series(1, 64)) AS i FROM n))"""
+# The factored form: edges between representatives, with the multiplicity of the far node.
+GRAPH = TWINS + """, g0 AS (SELECT src, dst, w FROM p UNION ALL SELECT dst, src, w FROM p
   UNION ALL SELECT sk_id, sk_id, CAST(1 AS DOUBLE) FROM u),
 g AS (SELECT src, dst, w, copies FROM g0 JOIN u ON u.sk_id = dst)"""
 DEGREE = GRAPH + ", d AS (SELECT src, CAST(sum(copies) AS DOUBLE) AS degree FROM g GROUP BY src)"
@@ -169,8 +185,40 @@ FROM nodes JOIN (SELECT cluster, count(*) AS degree FROM nodes GROUP BY cluster)
 )
 
 
+catalog.add(
+    "j7_pairs_of_representatives",
+    lambda v: rounded(
+        P.similarity_pairs(P.distinct_vectors(v.twins, "sk_id", "embedding"), "sk_id", "embedding", STRICT), "weight"
+    ),
+    TWINS + f" SELECT src, dst, {r6('w')} AS weight FROM p",
+)
+catalog.add(
+    "j7_pairs_in_cells",
+    lambda v: rounded(
+        P.similarity_pairs(P.distinct_vectors(v.twins, "sk_id", "embedding"), "sk_id", "embedding", STRICT, 32), "weight"
+    ),
+    TWINS + f" SELECT src, dst, {r6('w')} AS weight FROM p",
+)
+catalog.add(
+    "j7_copy_members", lambda v: members(v),
+    "SELECT sk_id, min(sk_id) OVER (PARTITION BY embedding) AS representative FROM twins",
+)
+catalog.add(
+    "j7_links_per_node", lambda v: G.node_links(graph(v), members(v)),
+    EVERY + " SELECT src AS sk_id, count(*) - 1 AS links FROM g GROUP BY src",
+)
+
+
 def graph(v):
-    return G.threshold_graph(v.nodes, LIMIT)
+    return G.threshold_graph(v.twins, STRICT)
+
+
+def members(v):
+    return P.copy_members(v.twins, "sk_id", "embedding")
+
+
+def vectors(v):
+    return v.twins.select("sk_id", "embedding")
 
 
 catalog.add(
@@ -182,7 +230,9 @@ catalog.add(
     NORMAL + f" SELECT src, dst, {r6('w')} AS weight, copies FROM nw",
 )
 catalog.add(
-    "k4_degrees", lambda v: G.degrees(graph(v)), DEGREE + " SELECT src, degree FROM d",
+    "k4_degrees",
+    lambda v: G.for_every_node(G.degrees(graph(v)).withColumnRenamed("src", "sk_id"), members(v)),
+    EVERY + " SELECT src AS sk_id, degree FROM d",
 )
 catalog.add(
     "k5_edge_features",
@@ -196,20 +246,18 @@ def long_vectors(df, name="value"):
     return rounded(df.select("sk_id", F.posexplode("embedding").alias("dim", name)), name)
 
 
-HOP = """, x{out} AS (SELECT nw.src AS sk_id, dim, sum(nw.w * copies * x{of}.value) AS value FROM nw
+HOP = """, x{out} AS (SELECT nw.src AS sk_id, dim, sum(nw.w * x{of}.value) AS value FROM nw
   JOIN x{of} ON x{of}.sk_id = nw.dst GROUP BY 1, 2)"""
-START = """, x0 AS (SELECT sk_id, CAST(i - 1 AS INTEGER) AS dim, e[i] AS value
-  FROM (SELECT *, unnest(generate_series(1, 64)) AS i FROM u))"""
 catalog.add(
     "k6_neighbour_mean",
-    lambda v: long_vectors(G.neighbour_mean(graph(v), v.nodes.select("sk_id", "embedding"), DIM)),
-    GRAPH + START + f""" SELECT src AS sk_id, dim, {r6('sum(value * copies) / sum(copies)')} AS value
+    lambda v: long_vectors(G.for_every_node(G.neighbour_mean(graph(v), vectors(v), DIM), members(v))),
+    EVERY + f""" SELECT src AS sk_id, dim, {r6('avg(value)')} AS value
 FROM g JOIN x0 ON x0.sk_id = dst GROUP BY src, dim""",
 )
 catalog.add(
     "k6_two_hops",
-    lambda v: long_vectors(G.propagate(graph(v), v.nodes.select("sk_id", "embedding"), DIM, 2)),
-    NORMAL + START + HOP.format(out=1, of=0) + HOP.format(out=2, of=1)
+    lambda v: long_vectors(G.for_every_node(G.propagate(graph(v), vectors(v), DIM, 2), members(v))),
+    EVERY + HOP.format(out=1, of=0) + HOP.format(out=2, of=1)
     + f" SELECT sk_id, dim, {r6('value')} AS value FROM x2",
 )
 catalog.add(
@@ -227,24 +275,25 @@ z AS (SELECT src, sum(exp(score - top) * copies) AS total FROM s JOIN t USING (s
 aw AS (SELECT src, dst, exp(score - top) / total AS attention, copies FROM s JOIN t USING (src) JOIN z USING (src))"""
 catalog.add(
     "k7_attention_weights",
-    lambda v: rounded(G.attention(graph(v), v.nodes.select("sk_id", "embedding"), DIM), "attention"),
+    lambda v: rounded(G.attention(graph(v), vectors(v), DIM), "attention"),
     ATTENTION + f" SELECT src, dst, {r6('attention')} AS attention, copies FROM aw",
 )
 catalog.add(
     "k7_attention_sum",
-    lambda v: long_vectors(G.attend(graph(v), v.nodes.select("sk_id", "embedding"), DIM)),
-    ATTENTION + START + f""" SELECT src AS sk_id, dim, {r6('sum(attention * copies * value)')} AS value
-FROM aw JOIN x0 ON x0.sk_id = dst GROUP BY src, dim""",
+    lambda v: long_vectors(G.for_every_node(G.attend(graph(v), vectors(v), DIM), members(v))),
+    EVERY + f""", s AS (SELECT g.src, g.dst, list_dot_product(a.e, b.e) / 8 AS score FROM g
+  JOIN n a ON a.sk_id = g.src JOIN n b ON b.sk_id = g.dst),
+t AS (SELECT src, max(score) AS top FROM s GROUP BY src),
+z AS (SELECT src, sum(exp(score - top)) AS total FROM s JOIN t USING (src) GROUP BY src)
+SELECT src AS sk_id, dim, {r6('sum(exp(score - top) / total * value)')} AS value
+FROM s JOIN t USING (src) JOIN z USING (src) JOIN x0 ON x0.sk_id = dst GROUP BY src, dim""",
 )
 catalog.add(
     "k8_fusion",
     lambda v: long_vectors(
-        G.fuse(
-            v.nodes.select("sk_id", "embedding"),
-            G.neighbour_mean(graph(v), v.nodes.select("sk_id", "embedding"), DIM), 0.5,
-        )
+        G.fuse(vectors(v), G.for_every_node(G.neighbour_mean(graph(v), vectors(v), DIM), members(v)), 0.5)
     ),
-    GRAPH + START + f""", m AS (SELECT src AS sk_id, dim, sum(value * copies) / sum(copies) AS value
+    EVERY + f""", m AS (SELECT src AS sk_id, dim, avg(value) AS value
 FROM g JOIN x0 ON x0.sk_id = dst GROUP BY src, dim)
 SELECT sk_id, dim, {r6('0.5 * x0.value + 0.5 * m.value')} AS value FROM x0 JOIN m USING (sk_id, dim)""",
 )
@@ -317,7 +366,8 @@ SELECT {r6('abs(sum(a * b) / (sqrt(sum(a * a)) * sqrt(sum(b * b))))')} AS simila
 catalog.add(
     "e7_log_loss",
     lambda v: rounded(E.log_loss(v.scores, "score", "target"), "log_loss"),
-    f"""WITH s AS (SELECT target, least(greatest(score, CAST(1e-7 AS DOUBLE)), CAST(1 AS DOUBLE) - CAST(1e-7 AS DOUBLE)) AS p FROM scores)
+    f"""WITH s AS (SELECT target, least(greatest(score, CAST(1e-7 AS DOUBLE)), CAST(1 AS DOUBLE) - CAST(1e-7 AS DOUBLE)) AS p FROM scores
+  WHERE score IS NOT NULL AND target IS NOT NULL)
 SELECT {r6('avg(CASE WHEN target = 1 THEN -ln(p) ELSE -ln(1 - p) END)')} AS log_loss FROM s""",
 )
 

@@ -70,6 +70,8 @@ def class_separation(df: DataFrame, vector: str, label: str, dim: int) -> DataFr
 
 
 def log_loss(df: DataFrame, score: str, label: str, clip: float = LOG_CLIP) -> DataFrame:
+    """Mean log loss over the rows that have a score and a label, as in :func:`roc_auc`."""
+    present = df.where(F.col(score).isNotNull() & F.col(label).isNotNull())
     p: Column = C.clamp(F.col(score), clip, 1.0 - clip)
     loss = F.when(F.col(label) == 1, -F.log(p)).otherwise(-F.log(F.lit(1.0) - p))
-    return df.agg(F.avg(loss).alias("log_loss"))
+    return present.agg(F.avg(loss).alias("log_loss"))

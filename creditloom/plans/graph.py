@@ -52,6 +52,21 @@ def threshold_graph(nodes: DataFrame, threshold: float) -> DataFrame:
     return checkpointed(edges)
 
 
+def for_every_node(results: DataFrame, members: DataFrame) -> DataFrame:
+    """Results on distinct vectors (sk_id, ...) as rows for every node: copies have what their representative has.
+
+    ``members`` is the (sk_id, representative) table of :func:`pairs.copy_members`.
+    """
+    at = results.withColumnRenamed("sk_id", "representative")
+    return sized_join(members, at, "representative").select("sk_id", *[c for c in results.columns if c != "sk_id"])
+
+
+def node_links(edges: DataFrame, members: DataFrame) -> DataFrame:
+    """Number of other nodes that each node is linked to, copies included."""
+    links = (F.sum("copies") - 1).cast("bigint").alias("links")
+    return for_every_node(edges.groupBy(F.col("src").alias("sk_id")).agg(links), members)
+
+
 def cluster_membership(nodes: DataFrame) -> DataFrame:
     """The same-cluster graph, factored: every node points at its cluster.
 

@@ -182,7 +182,7 @@ def time_ranges(df: DataFrame) -> DataFrame:
 
 
 def top_values(df: DataFrame, columns: Sequence[str], n: int = 10) -> DataFrame:
-    """The most frequent values of the first five text columns given, from one scan."""
-    counts = value_counts(df.select(*list(columns)[:5]).unpivot([], list(columns)[:5], "column_name", "value"),
+    """The most frequent values of each of the text columns given, from one scan."""
+    counts = value_counts(df.select(*columns).unpivot([], list(columns), "column_name", "value"),
                           "value", ["column_name"])
     return top_per_group(counts, ["column_name"], [F.col("n").desc(), F.col("value")], n).drop("rank")

@@ -42,6 +42,13 @@ FROM (SELECT *, unnest(generate_series(1, len(embedding))) AS i FROM embeddings)
 def view_sql(dialect: str) -> dict[str, str]:
     """View name -> SELECT text in the given dialect (``spark`` or ``duckdb``)."""
     order_day, ship_day, prop_k = _days(dialect, "o_orderdate"), _days(dialect, "l_shipdate"), _prop_k(dialect)
+    moved = "CAST(x + CAST(0.0625 AS FLOAT) AS FLOAT)"  # a power of two, so the sum is the same everywhere
+    if dialect == "spark":
+        nudged = f"transform(embedding, (x, i) -> CASE WHEN i < 4 THEN {moved} ELSE x END)"
+        zeroed = "transform(embedding, x -> CAST(0 AS FLOAT))"
+    else:
+        nudged = f"list_transform(embedding, lambda x, i: CASE WHEN i <= 4 THEN {moved} ELSE x END)"
+        zeroed = "list_transform(embedding, lambda x: CAST(0 AS FLOAT))"
     return {
         "app": """
 SELECT c_custkey AS sk_id_curr, CASE WHEN c_acctbal < 0 THEN 1 ELSE 0 END AS target,
@@ -134,6 +141,13 @@ FROM customer""",
         "attr": _attributions(dialect),
         # Node table of the similarity graph.
         "nodes": "\nSELECT vec_id AS sk_id, embedding, label AS cluster FROM embeddings",
+        # The same with exact copies (of some, two), near neighbours and a zero vector.
+        "twins": f"""
+SELECT vec_id AS sk_id, embedding, label AS cluster FROM embeddings
+UNION ALL SELECT 1000000 + vec_id, embedding, label FROM embeddings WHERE vec_id % 7 = 0
+UNION ALL SELECT 2000000 + vec_id, embedding, label FROM embeddings WHERE vec_id % 49 = 0
+UNION ALL SELECT 3000000 + vec_id, {nudged}, label FROM embeddings WHERE vec_id % 5 = 0
+UNION ALL SELECT 4000000 + vec_id, {zeroed}, label FROM embeddings WHERE vec_id = 1""",
     }
 
 

@@ -4,13 +4,13 @@ A line, trimmed and in lower case, takes part if it has at least ``MIN_LINE`` ch
 earlier line, by document id and line number, is equal, or within one edit where both have ``MIN_EDIT`` characters
 or more. Verdicts look at the input, not at what is left, so the earliest of a chain stays.
 
-Equal lines are first counted as one. Two lines one edit apart share the front or the back half of the longer one's
-length, so only lines whose half occurs again go on (a hashed key each; nothing is lost by it). Those emit their
-deletion variants as hashed keys: with the place of the deletion, which lines of one length share exactly if one
-letter differs, and without it, which a line shares with the longer line it comes from by a deletion. Each key's
-earliest line is found by a combining aggregate, never by pairs, and the line and its earlier one are compared
-again by edit distance. A variant's key is built from the hashes of what stands before and after a block of about
-the root of the length, so a line of n letters costs n * sqrt(n).
+Equal lines are first counted as one. Two filters, of which neither loses a pair, tell which letters need be
+deleted: two lines one edit apart share the front or the back half of the longer one's length, and, cut in blocks of
+about the root of that length, everything around one block. The blocks that meet another line's emit their deletion
+variants as hashed keys: with the place of the deletion, which lines of one length share exactly if one letter
+differs, and without it, which a line shares with the longer line it comes from by a deletion. Each key's earliest
+line is found by a combining aggregate, never by pairs, and the line and its earlier one are compared again by
+edit distance.
 
 Defined results: a null or empty text has no lines that take part. Ids are ordered with null last. Rows that repeat
 an id are one document: of lines with one number, both stay or go. Extra columns are not read.
@@ -62,40 +62,60 @@ def hashed_lines(docs: DataFrame) -> DataFrame:
     return _raw_lines(docs).select("doc_id", "text_key", "line_no", F.xxhash64("line").alias("key"), "n", halves.alias("halves"))
 
 
-def _block_keys(line: Column, longer: Column, own: Column, deleted: bool) -> Column:
-    """Keys of the line in the class of lines up to ``longer``: (place, key), place 0 for the line itself.
+def _block_size(longer: Column) -> Column:
+    return F.ceil(F.sqrt(longer.cast("double"))).cast("int")
 
-    ``deleted``: the variants with one letter gone (own = longer); else the line as it is, one letter shorter.
+
+def _around(line: Column, longer: Column, own: Column, short: int, b: Column) -> tuple[Column, Column]:
+    """Block ``b`` of the line in the class of lines up to ``longer``: a struct of what stands around and in it, and its width.
+
+    ``short``: 1 for the line as one that lacks a letter of that block, else 0 (own = longer).
     """
-    size = F.ceil(F.sqrt(longer.cast("double"))).cast("int")
-
-    def of_block(b: Column) -> Column:
-        start = (b * size).cast("int")
-        width = F.least(size, longer - start) - (0 if deleted else 1)
-        parts = F.struct(
-            F.xxhash64(F.substring(line, F.lit(1), start)).alias("before"), F.substring(line, start + 1, width).alias("piece"),
-            F.xxhash64(F.substring(line, start + width + 1, own)).alias("after"),
-        )
-        key = lambda v, piece: F.xxhash64(longer, b, v["before"], v["after"], piece)
-        if not deleted:
-            return F.array(bound(parts, lambda v: F.struct(F.lit(0).alias("place"), key(v, v["piece"]).alias("key"))))
-        cut = lambda v, i: F.concat(F.substring(v["piece"], F.lit(1), i - 1), F.substring(v["piece"], i + 1, width))
-        return bound(parts, lambda v: F.transform(F.sequence(F.lit(1), width), lambda i: F.struct(
-            (start + i).alias("place"), key(v, cut(v, i)).alias("key"))))
+    size = _block_size(longer)
+    start = (b * size).cast("int")
+    width = F.least(size, longer - start) - short
+    parts = F.struct(
+        F.xxhash64(longer, b, F.xxhash64(F.substring(line, F.lit(1), start)),
+                   F.xxhash64(F.substring(line, start + width + 1, own))).alias("around"),
+        F.substring(line, start + 1, width).alias("piece"), start.alias("start"),
+    )
+    return parts, width
 
-    blocks = F.sequence(F.lit(0), F.ceil(longer / size).cast("int") - 1)
-    return F.flatten(F.transform(blocks, of_block))
+
+def block_contexts(lines: DataFrame) -> DataFrame:
+    """around, line_key, short, b: what stands around each block; lines one edit apart share it for one block."""
+    def of(more: int) -> DataFrame:
+        longer = F.col("n") + more
+        blocks = F.sequence(F.lit(0), F.ceil(longer / _block_size(longer)).cast("int") - 1)
+        each = F.transform(blocks, lambda b: F.struct(
+            _around(F.col("line"), longer, F.col("n"), more, b)[0]["around"].alias("around"), F.lit(more).alias("short"), b.alias("b")))
+        return lines.select("line_key", F.explode(each).alias("v")).select("v.around", "line_key", "v.short", "v.b")
+
+    return of(0).unionByName(of(1))
 
 
 def variants(lines: DataFrame) -> DataFrame:
-    """key, role and the columns of ``lines``: 'change' (one letter replaced), 'long' or 'short' (one letter more or less)."""
+    """key, role and the columns of ``lines``: 'change' (one letter replaced), 'long' or 'short' (one letter more or less).
+
+    Of the blocks in ``whole`` every deletion of a letter, and of those in ``lacking`` the line as it is.
+    """
     line, n = F.col("line"), F.col("n")
     role = lambda name, key: F.struct(F.lit(name).alias("role"), key.alias("key"))
-    gone = lines.withColumn("v", F.explode(_block_keys(line, n, n, True))).withColumn("r", F.explode(F.array(
+
+    def deletions(b: Column) -> Column:
+        parts, width = _around(line, n, n, 0, b)
+        cut = lambda v, i: F.concat(F.substring(v["piece"], F.lit(1), i - 1), F.substring(v["piece"], i + 1, width))
+        return bound(parts, lambda v: F.transform(F.sequence(F.lit(1), width), lambda i: F.struct(
+            (v["start"] + i).alias("place"), F.xxhash64(v["around"], cut(v, i)).alias("key"))))
+
+    def itself(b: Column) -> Column:
+        return bound(_around(line, n + 1, n, 1, b)[0], lambda v: F.xxhash64(v["around"], v["piece"]))
+
+    gone = lines.withColumn("v", F.explode(F.flatten(F.transform("whole", deletions)))).withColumn("r", F.explode(F.array(
         role("change", F.xxhash64(F.lit("change"), "v.place", "v.key")), role("long", F.col("v.key")))))
-    itself = lines.withColumn("v", F.explode(_block_keys(line, n + 1, n, False))).withColumn("r", role("short", F.col("v.key")))
-    keep = [c for c in lines.columns if c != "line"]
-    return gone.unionByName(itself).select("r.key", "r.role", *keep)
+    short = lines.withColumn("v", F.explode(F.transform("lacking", itself))).withColumn("r", role("short", F.col("v")))
+    keep = [c for c in lines.columns if c not in ("line", "whole", "lacking")]
+    return gone.drop("v").unionByName(short.drop("v")).select("r.key", "r.role", *keep)
 
 
 def near_lines(docs: DataFrame, lines: DataFrame) -> DataFrame:
@@ -108,7 +128,13 @@ def near_lines(docs: DataFrame, lines: DataFrame) -> DataFrame:
     del distinct, each, shared
     raw = _raw_lines(docs).where(F.col("n") >= MIN_EDIT).select(F.xxhash64("line").alias("key"), "line")
     texts = settled(raw.join(going.select("key"), "key").groupBy("key").agg(F.first("line").alias("line")).join(going, "key"))
-    every = variants(texts.select(F.col("key").alias("line_key"), "line", "n", "at"))
+    named_lines = texts.select(F.col("key").alias("line_key"), "line", "n", "at")
+    contexts = block_contexts(named_lines)
+    met = settled(contexts.groupBy("around").agg(F.min("line_key").alias("low"), F.max("line_key").alias("high")).where(
+        F.col("low") < F.col("high")).select("around"))
+    blocks = lambda short: F.collect_set(F.when(F.col("short") == short, F.col("b")))
+    chosen = contexts.join(met, "around").groupBy("line_key").agg(blocks(0).alias("whole"), blocks(1).alias("lacking"))
+    every = variants(settled(named_lines.join(chosen, "line_key")))
     named = F.struct("at", "line_key")
     earliest = every.groupBy("key").agg(
         F.min(F.when(F.col("role") == "change", named)).alias("change"),

@@ -10,6 +10,7 @@ from creditloom.plans import evaluate as E
 from creditloom.plans import explain as X
 from creditloom.plans import families as fam
 from creditloom.plans import learn as L
+from creditloom.plans import prepare as PR
 from creditloom.session import fresh_path
 from creditloom.sources import csv_tables as CSV
 from creditloom.sources import schemas, store
@@ -52,7 +53,50 @@ KNOWN_BUREAU = {
     "DOUBLE": ["AMT_CREDIT_MAX_OVERDUE", "AMT_CREDIT_SUM", "AMT_CREDIT_SUM_DEBT", "AMT_CREDIT_SUM_OVERDUE",
                "AMT_ANNUITY"],
 }
-catalog.add("s2_read_known", lambda v: CSV.read_known(v.spark, written(v, "bureau"), KNOWN_BUREAU), "SELECT * FROM bureau")
+catalog.add(
+    "s2_read_known", lambda v: CSV.read_known(v.spark, written(v, "bureau"), KNOWN_BUREAU, other="STRING"), "SELECT * FROM bureau"
+)
+
+
+def wide_application(v):
+    """An applicant file with columns that no job names, read back by the declared types and rules."""
+    path = fresh_path(v.spark, "wide")
+    key = F.col("sk_id_curr")
+    v.app.select(
+        "sk_id_curr", "target", "amt_credit", (key % 13).alias("cnt_children"), (key % 2).alias("flag_document_3"),
+        F.when(key % 5 != 0, (key % 97) / F.lit(128.0)).alias("apartments_avg"), (key % 7).alias("amt_req_credit_bureau_year"),
+        F.when(key % 3 != 0, F.concat(F.lit("kind "), (key % 4).cast("string"))).alias("housetype_mode"),
+        (key % 9 / F.lit(2.0)).alias("obs_30_cnt_social_circle"),
+    ).write.option("header", True).csv(path)
+    return CSV.read_known(v.spark, path, schemas.KNOWN_TYPES["app"], schemas.NAME_RULES)
+
+
+catalog.add(
+    "s2_wide_application", wide_application,
+    """SELECT sk_id_curr, CAST(target AS INTEGER) AS target, amt_credit, CAST(sk_id_curr % 13 AS INTEGER) AS cnt_children,
+  CAST(sk_id_curr % 2 AS INTEGER) AS flag_document_3,
+  CASE WHEN sk_id_curr % 5 <> 0 THEN CAST(sk_id_curr % 97 AS DOUBLE) / 128 END AS apartments_avg,
+  CAST(sk_id_curr % 7 AS DOUBLE) AS amt_req_credit_bureau_year,
+  CASE WHEN sk_id_curr % 3 <> 0 THEN 'kind ' || (sk_id_curr % 4) END AS housetype_mode,
+  CAST(sk_id_curr % 9 AS DOUBLE) / 2 AS obs_30_cnt_social_circle FROM app""",
+)
+
+
+def wide_codes(v):
+    """Codes of the text columns of that file, as the training job makes them; numeric columns stay as they are."""
+    table = wide_application(v)
+    texts = [name for name, kind in table.dtypes if kind == "string"]
+    return PR.factorise(table, texts).apply(table).select("sk_id_curr", "cnt_children", "apartments_avg", "housetype_mode")
+
+
+catalog.add(
+    "s2_wide_codes", wide_codes,
+    """WITH w AS (SELECT sk_id_curr, CASE WHEN sk_id_curr % 3 <> 0 THEN 'kind ' || (sk_id_curr % 4) END AS h FROM app),
+c AS (SELECT h, CAST(row_number() OVER (ORDER BY h) - 1 AS INTEGER) AS code FROM (SELECT DISTINCT h FROM w WHERE h IS NOT NULL))
+SELECT sk_id_curr, CAST(sk_id_curr % 13 AS INTEGER) AS cnt_children,
+  CASE WHEN sk_id_curr % 5 <> 0 THEN CAST(sk_id_curr % 97 AS DOUBLE) / 128 END AS apartments_avg,
+  coalesce(code, -1) AS housetype_mode FROM w LEFT JOIN c USING (h)""",
+)
 
 
 def marked_header(v):
@@ -62,7 +106,7 @@ def marked_header(v):
     v.bureau_bal.withColumnRenamed(first, CSV.BYTE_ORDER_MARK + first).select(
         CSV.BYTE_ORDER_MARK + first, *rest
     ).write.option("header", True).csv(path)
-    return CSV.read_known(v.spark, path, {"BIGINT": ["SK_ID_BUREAU"], "INT": ["MONTHS_BALANCE"]})
+    return CSV.read_known(v.spark, path, schemas.KNOWN_TYPES["bureau_bal"])
 
 
 catalog.add("s3_marked_header", marked_header, "SELECT sk_id_bureau, months_balance, status FROM bureau_bal")
@@ -148,6 +192,11 @@ def stored_assignment(v):
 
 
 catalog.add("s7_stored_clusters", stored_assignment)
+catalog.add(
+    "s7_reused_clusters",
+    lambda v: stored_assignment(v).select("sk_id_curr", (F.col("cluster") == F.col("reused")).alias("same")),
+    "SELECT sk_id_curr, true AS same FROM app",
+)
 
 # ---------------------------------------------------------------- T6 - T8
 ROW_FEATURES = [*APP_FEATURES, "own_car_age", "cnt_fam_members"]
@@ -206,6 +255,26 @@ def batch_scores(v):
 
 
 catalog.add("m2_batch_scores", batch_scores)
+catalog.add(
+    "m2_scores_of_all",
+    lambda v: batch_scores(v).join(v.app.select(F.col("sk_id_curr").alias("key"), F.col("target").alias("label")), F.expr("key = sk_id_curr")).select(
+        "sk_id_curr", "label", F.col("score").between(0.0, 1.0).alias("in_range")),
+    "SELECT sk_id_curr, target AS label, true AS in_range FROM app",
+)
+
+
+def leaked(v):
+    """The logistic model on features one of which gives the label away."""
+    rows = model_rows(v).withColumn("leak", F.col("target") * F.lit(1000.0))
+    found = L.train_and_evaluate("logistic", rows, "sk_id_curr", "target", [*MODEL_FEATURES, "leak"])
+    return rounded(found.select("n_valid", "auc"), "auc")
+
+
+catalog.add(
+    "m1_leaked_label", leaked,
+    f"""SELECT count(*) AS n_valid, CAST(1 AS DOUBLE) AS auc FROM app
+WHERE ('0x' || substr(md5(sk_id_curr || ':split{L.SEED}'), 1, 8))::BIGINT < {int(PR.VALID_SHARE * (1 << 32))}""",
+)
 catalog.add(
     "e6_reconstruction_error", lambda v: L.reconstruction_error(projected(v)).agg(F.avg("error").alias("mean_error"),
                                                                                   F.count("error").alias("n"))

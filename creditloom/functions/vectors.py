@@ -49,7 +49,3 @@ def pad_to(values: Column, length: Column | int, fill: Column) -> Column:
     missing = F.greatest(F.lit(length) - F.size(values) if isinstance(length, int) else length - F.size(values), F.lit(0))
     return F.concat(values, F.array_repeat(fill, missing))
 
-
-def joined(values: Column | str, digits: int = 6) -> Column:
-    """Array as text, for reports and checks that need scalar columns."""
-    return F.concat_ws(",", F.transform(_vec(values), lambda x: F.format_number(x, digits)))

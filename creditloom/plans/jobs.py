@@ -27,27 +27,31 @@ class Options:
     seed: int = learn.SEED
 
 
-def encoded_features(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """The feature table with text columns as codes, checkpointed: everything below reads it often."""
+def encoded_features(tables: Mapping[str, DataFrame], options: Options = Options()) -> DataFrame:
+    """The feature table with text columns as codes, checkpointed: everything below reads it often.
+
+    Codes come from the training part; a value that only the validation part has becomes null.
+    """
     features = checkpointed(families.feature_table(tables))
     texts = [name for name, kind in features.dtypes if kind == "string"]
-    return prepare.factorise(features, texts).apply(features) if texts else features
+    training, _ = prepare.split(features, KEY, options.valid_share, options.seed)
+    return checkpointed(prepare.factorise(training, texts).apply(features)) if texts else features
 
 
 def train_run(tables: Mapping[str, DataFrame], folder: str, run: str, epoch: int = 1, options: Options = Options()):
     """Features, roles, clusters, training, validation scores, tiers and attributions; stores the run.
 
-    Returns one row with AUC and log loss on the validation part. Limits and codes are fitted on the
-    training part; every stored row carries its key.
+    Returns one row with AUC and log loss on the validation part. Codes, roles, limits and the projection
+    are fitted on the training part; every stored row carries its key.
     """
-    features = encoded_features(tables)
+    features = encoded_features(tables, options)
     training, validation = prepare.split(features, KEY, options.valid_share, options.seed)
     if options.up_sample:
         training = prepare.up_sample(training, LABEL, KEY, options.up_sample, options.seed)
     elif options.down_sample:
         training = prepare.down_sample(training, LABEL, KEY, options.down_sample, options.seed)
 
-    roles = prepare.choose_roles(features, (KEY, LABEL))
+    roles = prepare.choose_roles(training, (KEY, LABEL))
     columns = [*roles.numeric, *roles.categorical]
     fitted = learn.train(options.model, training, KEY, LABEL, columns, options.seed)
 
@@ -62,8 +66,9 @@ def train_run(tables: Mapping[str, DataFrame], folder: str, run: str, epoch: int
     scores = checkpointed(fitted.score(validation))
     tiers = evaluate.risk_tiers(scores, "score").select(F.col(KEY).alias("sk_id"), "risk_level")
 
-    vectors = learn.assemble_vector(scaled.join(validation.select(KEY), KEY), columns).select(KEY, "features")
-    placed = learn.fit_projection(vectors, "features", len(columns)).apply(vectors)
+    vectors = checkpointed(learn.assemble_vector(scaled, columns).select(KEY, "features"))
+    training_vectors, validation_vectors = prepare.split(vectors, KEY, options.valid_share, options.seed)
+    placed = learn.fit_projection(training_vectors, "features", len(columns)).apply(validation_vectors)
     embeddings = placed.select(
         F.col(KEY).alias("sk_id"), vector_to_array("projected").cast("array<float>").alias("embedding")
     ).join(clustered.select(F.col(KEY).alias("sk_id"), "cluster"), "sk_id")

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import re
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from creditloom.sources.schemas import DECLARED, FILES, KNOWN_TYPES
+from creditloom.sources.schemas import DECLARED, FILES, KNOWN_TYPES, NAME_RULES
 
 BYTE_ORDER_MARK = "﻿"
 
@@ -29,15 +30,36 @@ def header(spark: SparkSession, path: str) -> list[str]:
     return [name.removeprefix(BYTE_ORDER_MARK) for name in names]
 
 
-def read_known(spark: SparkSession, path: str, known: Mapping[str, list[str]]) -> DataFrame:
-    """CSV whose types are looked up by column name; columns not listed stay text.
+def declared_types(
+    names: Sequence[str], known: Mapping[str, list[str]], rules: Sequence[tuple[str, str]] = (), other: str | None = None
+) -> dict[str, str]:
+    """Type of every column: as listed in ``known``, else by the first of the ``rules`` (pattern, type), else ``other``.
+
+    A column that nothing declares is an error unless ``other`` is given: a number taken for text would
+    be coded as a category later on.
+    """
+    listed = {name.upper(): kind for kind, columns in known.items() for name in columns}
+
+    def kind(name: str) -> str | None:
+        by_rule = (kind for pattern, kind in rules if re.fullmatch(pattern, name.upper()))
+        return listed.get(name.upper()) or next(by_rule, other)
+
+    types = {name: kind(name) for name in names}
+    if missing := [name for name, found in types.items() if found is None]:
+        raise ValueError(f"no type is declared for the columns {missing}")
+    return types
+
+
+def read_known(
+    spark: SparkSession, path: str, known: Mapping[str, list[str]], rules: Sequence[tuple[str, str]] = (), other: str | None = None
+) -> DataFrame:
+    """CSV whose types are looked up by column name, see :func:`declared_types`.
 
     The types come from a declaration, not from the data, so no extra pass is needed and a file of
     rare values cannot change them.
     """
-    kinds = {name.upper(): kind for kind, names in known.items() for name in names}
-    schema = ", ".join(f"`{name}` {kinds.get(name.upper(), 'STRING')}" for name in header(spark, path))
-    return read_typed(spark, path, schema)
+    types = declared_types(header(spark, path), known, rules, other)
+    return read_typed(spark, path, ", ".join(f"`{name}` {kind}" for name, kind in types.items()))
 
 
 def infer(spark: SparkSession, path: str) -> DataFrame:
@@ -58,7 +80,10 @@ def load_tables(spark: SparkSession, folder: str, views: bool = False) -> dict[s
     tables = {}
     for name, file in FILES.items():
         path = f"{folder}/{file}"
-        raw = read_typed(spark, path, DECLARED[name]) if name in DECLARED else read_known(spark, path, KNOWN_TYPES[name])
+        if name in DECLARED:
+            raw = read_typed(spark, path, DECLARED[name])
+        else:
+            raw = read_known(spark, path, KNOWN_TYPES[name], NAME_RULES)
         tables[name] = raw.toDF(*[c.lower() for c in raw.columns])
         if views:
             tables[name].createOrReplaceTempView(name)

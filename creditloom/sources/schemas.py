@@ -35,11 +35,17 @@ DECLARED = {
     ),
 }
 
-# Types of the columns the jobs use from the four tables read with inferred types. A file has more
-# columns than these; they are read as text unless listed here.
+# Types of the four tables whose types the input contract leaves open: keys, text columns and the columns the jobs
+# use by name. The other columns, all numeric, follow NAME_RULES.
 KNOWN_TYPES = {
     "app": {
         "BIGINT": ["SK_ID_CURR"],
+        # The text columns.
+        "STRING": [
+            "NAME_CONTRACT_TYPE", "CODE_GENDER", "FLAG_OWN_CAR", "FLAG_OWN_REALTY", "NAME_TYPE_SUITE", "NAME_INCOME_TYPE",
+            "NAME_EDUCATION_TYPE", "NAME_FAMILY_STATUS", "NAME_HOUSING_TYPE", "OCCUPATION_TYPE", "WEEKDAY_APPR_PROCESS_START",
+            "ORGANIZATION_TYPE", "FONDKAPREMONT_MODE", "HOUSETYPE_MODE", "WALLSMATERIAL_MODE", "EMERGENCYSTATE_MODE",
+        ],
         "INT": [
             "TARGET", "DAYS_BIRTH", "DAYS_EMPLOYED", "DAYS_ID_PUBLISH",
         ],
@@ -51,6 +57,13 @@ KNOWN_TYPES = {
     },
     "prev": {
         "BIGINT": ["SK_ID_CURR", "SK_ID_PREV"],
+        # The text columns.
+        "STRING": [
+            "NAME_CONTRACT_TYPE", "WEEKDAY_APPR_PROCESS_START", "FLAG_LAST_APPL_PER_CONTRACT", "NAME_CASH_LOAN_PURPOSE",
+            "NAME_CONTRACT_STATUS", "NAME_PAYMENT_TYPE", "CODE_REJECT_REASON", "NAME_TYPE_SUITE", "NAME_CLIENT_TYPE",
+            "NAME_GOODS_CATEGORY", "NAME_PORTFOLIO", "NAME_PRODUCT_TYPE", "CHANNEL_TYPE", "NAME_SELLER_INDUSTRY",
+            "NAME_YIELD_GROUP", "PRODUCT_COMBINATION",
+        ],
         "INT": ["DAYS_DECISION"],
         "DOUBLE": [
             "AMT_APPLICATION", "AMT_CREDIT", "AMT_ANNUITY", "AMT_DOWN_PAYMENT", "AMT_GOODS_PRICE",
@@ -60,15 +73,23 @@ KNOWN_TYPES = {
     },
     "bureau": {
         "BIGINT": ["SK_ID_CURR", "SK_ID_BUREAU"],
+        "STRING": ["CREDIT_ACTIVE", "CREDIT_CURRENCY", "CREDIT_TYPE"],
         "INT": ["DAYS_CREDIT", "CREDIT_DAY_OVERDUE"],
         "DOUBLE": [
             "DAYS_CREDIT_ENDDATE", "DAYS_ENDDATE_FACT", "AMT_CREDIT_MAX_OVERDUE", "AMT_CREDIT_SUM",
             "AMT_CREDIT_SUM_DEBT", "AMT_CREDIT_SUM_OVERDUE", "AMT_ANNUITY",
         ],
     },
-    "bureau_bal": {"BIGINT": ["SK_ID_BUREAU"], "INT": ["MONTHS_BALANCE"]},
+    "bureau_bal": {"BIGINT": ["SK_ID_BUREAU"], "STRING": ["STATUS"], "INT": ["MONTHS_BALANCE"]},
 }
 
+# Numeric columns by name; the first pattern that matches the whole name counts.
+NAME_RULES = [
+    (r"FLAG_.*|NFLAG_.*|REG_.*|LIVE_.*|HOUR_.*|REGION_RATING_.*|CNT_CHILDREN", "INT"),
+    (r".*_(AVG|MODE|MEDI)", "DOUBLE"),
+    (r"(AMT|CNT|DAYS|DEF|EXT|OBS|RATE|REGION|SELLERPLACE|OWN|CREDIT)_.*", "DOUBLE"),
+]
+
 # Inclusive bounds of the declared machine types, for the range check.
 UINT32 = (0, 4294967295)
 INT16 = (-32768, 32767)

@@ -71,3 +71,13 @@ def test_feature_table_width(views):
     wide = fam.feature_table(tables)
     assert len(wide.columns) - len(views.app.columns) == 13 + 398
     assert len(set(wide.columns)) == len(wide.columns)
+
+
+def test_nulls_stay_null_under_limits_and_out_of_the_loss(spark):
+    from creditloom.plans import evaluate as E
+
+    df = spark.createDataFrame([(1, 0.25), (0, 0.5), (None, 0.5), (1, None)], "target int, score double")
+    clamped = df.select(C.clamp(F.col("score"), 0.3, 0.4).alias("x"))
+    assert sorted(r.x for r in clamped.collect() if r.x is not None) == [0.3, 0.4, 0.4]
+    loss = E.log_loss(df, "score", "target").first()[0]
+    assert abs(loss - (-math.log(0.25) - math.log(0.5)) / 2) < 1e-9

@@ -122,3 +122,14 @@ def test_cluster_graph_factored(spark):
         assert r.degree == len(by_cluster[r.cluster]) and r.edge_weight == pytest.approx(1 / r.degree)
     edges = {r.cluster: r.n_edges for r in G.cluster_adjacency(df).collect()}
     assert edges == {c: len(m) * (len(m) - 1) // 2 for c, m in by_cluster.items()}
+
+
+def test_every_copy_has_its_row(spark):
+    df, points = vectors(spark, n=60, copies=20)
+    edges, members = G.threshold_graph(df, 0.85), P.copy_members(df, "sk_id", "embedding")
+    unit = points / np.maximum(np.linalg.norm(points, axis=1, keepdims=True), 1e-12)
+    want = {i: int((unit @ unit[i] >= 0.85).sum()) - 1 for i in range(len(points)) if np.linalg.norm(points[i]) > 0}
+    got = {r.sk_id: r.links for r in G.node_links(edges, members).collect()}
+    assert set(got) == set(range(len(points) + 1)) and {i: got[i] for i in want} == want
+    means = G.for_every_node(G.neighbour_mean(edges, df.select("sk_id", "embedding"), DIM), members)
+    assert means.count() == len(points) + 1

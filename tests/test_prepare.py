@@ -173,7 +173,9 @@ def test_clusters_are_computed_once(spark, views):
 def test_csv_sources(spark, tmp_path):
     path = tmp_path / "POS.csv"
     path.write_text("﻿SK_ID_PREV,SK_ID_CURR,NAME\n1,2,x\n3,-4,y\n", encoding="utf-8")
-    df = CSV.read_known(spark, str(path), {"BIGINT": ["SK_ID_PREV", "SK_ID_CURR"]})
+    with pytest.raises(ValueError, match="NAME"):
+        CSV.read_known(spark, str(path), {"BIGINT": ["SK_ID_PREV", "SK_ID_CURR"]})
+    df = CSV.read_known(spark, str(path), {"BIGINT": ["SK_ID_PREV", "SK_ID_CURR"]}, other="STRING")
     assert df.dtypes == [("SK_ID_PREV", "bigint"), ("SK_ID_CURR", "bigint"), ("NAME", "string")]
     assert CSV.infer(spark, str(path)).columns == df.columns
     assert rows(CSV.range_report(df, {"SK_ID_PREV": schemas.UINT32, "SK_ID_CURR": schemas.UINT32})) == [

@@ -13,7 +13,7 @@ from creditloom.catalog.base import (
     spec_sql,
 )
 from creditloom.functions import columns as C
-from creditloom.operators.grouped import feature_names, grouped_features, joined_windows, window_features
+from creditloom.operators.grouped import Look, feature_names, grouped_features, joined_windows, window_features
 from creditloom.plans import families as fam
 from creditloom.plans import prepare
 
@@ -429,6 +429,12 @@ add_windows(
     "a12_inst_agg", lambda v: fam.inst_features(v.inst), INST_D, "inst_d", fam.INST_SPEC,
     [("ins_", None), ("ins_d365_", INST_RECENT)],
 )
+# The routes that only tables of millions of rows take on their own.
+for _name, _look in (("narrow", Look(share=1.0, min_rows=1, hot_share=1.0)), ("hot_apart", Look(share=1.0, min_rows=1, hot_share=0.003))):
+    add_windows(
+        f"a12_inst_agg_{_name}", lambda v, look=_look: fam.inst_features(v.inst, look), INST_D, "inst_d", fam.INST_SPEC,
+        [("ins_", None), ("ins_d365_", INST_RECENT)],
+    )
 add_windows(
     "a13_card_agg", lambda v: fam.card_features(v.card), CARD_D, "card_d", fam.CARD_SPEC,
     [("card_", None), ("card_m3_", CARD_RECENT)],

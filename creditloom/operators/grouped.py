@@ -19,17 +19,28 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from creditloom.operators.joins import hot_share
+
 Spec = Mapping[str, Sequence[str]]
 Derive = Callable[[DataFrame], DataFrame]
 
-# A key is hot when it owns more than this share of the rows, so at most 1/share keys are.
-HOT_SHARE = 0.002
-# Above this many rows per key on average, combining before the exchange pays for every key.
-ROWS_PER_KEY = 256
-# Share of the rows looked at to choose a route. The result is the same on every route.
-LOOK_SHARE = 0.01
-# With fewer looked-at rows the table is small enough for any route.
-MIN_LOOKED_ROWS = 10_000
+
+@dataclass(frozen=True)
+class Look:
+    """How a table is looked at to choose a route. The result is the same on every route.
+
+    share: of the rows looked at. min_rows: with fewer looked-at rows the table is small enough for any route.
+    rows_per_key: above this many on average, combining before the exchange pays for every key. hot_share: a key
+    is hot when it owns more of the rows; None: as in :func:`joins.hot_share`, by the number of shuffle partitions.
+    """
+
+    share: float = 0.01
+    min_rows: int = 10_000
+    rows_per_key: int = 256
+    hot_share: float | None = None
+
+
+LOOK = Look()
 
 # Which mergeable parts a function is computed from.
 _PARTS = {"count": ("n",), "sum": ("sum",), "mean": ("n", "sum"), "min": ("min",), "max": ("max",)}
@@ -60,19 +71,19 @@ def _as_is(df: DataFrame) -> DataFrame:
     return df
 
 
-def _routes(df: DataFrame, key: str) -> tuple[list, bool]:
+def _routes(df: DataFrame, key: str, look: Look) -> tuple[list, bool]:
     """Hot keys, and whether ordinary keys have few enough rows to be exchanged uncombined."""
-    counts = df.select(key).sample(LOOK_SHARE, seed=11).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    counts = df.select(key).sample(look.share, seed=11).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
     rows, keys, most = counts.agg(F.sum("n"), F.count(F.lit(1)), F.max("n")).first()
-    if not rows or rows < MIN_LOOKED_ROWS or rows > keys * ROWS_PER_KEY * LOOK_SHARE + keys:
+    if not rows or rows < look.min_rows or rows > keys * look.rows_per_key * look.share + keys:
         return [], False
-    limit = rows * HOT_SHARE
+    limit = rows * (hot_share(df) if look.hot_share is None else look.hot_share)
     hot = [row[0] for row in counts.where(F.col("n") > limit).select(key).collect()] if most > limit else []
     return hot, True
 
 
 def window_features(
-    df: DataFrame, key: str, spec: Spec, windows: Sequence[Window], derive: Derive = _as_is
+    df: DataFrame, key: str, spec: Spec, windows: Sequence[Window], derive: Derive = _as_is, look: Look | None = None
 ) -> DataFrame:
     """Features of several windows of ``derive(df)``, one row per non-null key.
 
@@ -81,7 +92,7 @@ def window_features(
     ``nunique`` ignores nulls, ``sum`` of an all-null group is 0.
     """
     present = df.where(F.col(key).isNotNull())
-    hot, uncombined = _routes(present, key)
+    hot, uncombined = _routes(present, key, look or LOOK)
     if not uncombined:
         return _aggregate(derive(present), key, spec, windows)
     if not hot:

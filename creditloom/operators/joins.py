@@ -9,14 +9,34 @@ from operator import add, or_
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A key is hot when it owns more than this share of the rows; at most 1/share keys can be.
+# A key is hot when it owns more than this share of the rows, or than a quarter of a shuffle partition's part if that
+# is less; at most 1/share keys can be.
 HOT_SHARE = 0.002
+PART_OF_PARTITION = 0.25
+# Salts of a hot key whose share isn't known, and of rows without a key.
 SALTS = 64
 # Largest lookup that is broadcast.
 BROADCAST_ROWS = 100_000
 BROADCAST_BYTES = 64 << 20
 
 
+def partitions(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def hot_share(df: DataFrame) -> float:
+    """Share of the rows above which a key would fill a good part of a shuffle partition."""
+    return min(HOT_SHARE, PART_OF_PARTITION / partitions(df))
+
+
+def salted_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Hot keys with ``salts__``: enough that a salt's rows are about PART_OF_PARTITION of a partition's part."""
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n__"))
+    share = F.col("n__") / counts.agg(F.sum("n__")).scalar()
+    salts = F.ceil(share * F.lit(partitions(df) / PART_OF_PARTITION)).cast("int") + 1
+    return counts.where(share > F.lit(hot_share(df))).withColumn("salts__", salts).drop("n__").dropna()
+
+
 def hot_keys(df: DataFrame, keys: Sequence[str], share: float = HOT_SHARE) -> DataFrame:
     """Keys owning more than ``share`` of the rows: never more than ``1 / share`` of them."""
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n__"))
@@ -30,24 +50,24 @@ def lookup_join(
     """Equi-join of ``rows`` with a ``lookup`` that has one row per key.
 
     Rows of a hot key are spread over salts and only the lookup rows of hot keys are repeated per
-    salt, so no task receives all rows of such a key. The hot keys themselves are few by definition
-    (at most ``1 / HOT_SHARE``), hence the broadcast. ``hot`` names them where the caller can find
-    them more cheaply than by counting ``rows``.
+    salt, so no task receives all rows of such a key. Threshold and salts follow the number of shuffle
+    partitions, so a salt holds less than a partition's even part at any size. The hot keys themselves
+    are few by definition (at most ``1 / hot_share``), hence the broadcast. ``hot`` names them, with
+    ``salts__`` if known, where the caller can find them more cheaply than by counting ``rows``.
     """
     if how not in ("inner", "left"):
         raise ValueError(f"unsupported join type {how}")
     on = [keys] if isinstance(keys, str) else list(keys)
-    hot = F.broadcast((hot_keys(rows, on) if hot is None else hot).withColumn("hot__", F.lit(True)))
+    hot = salted_keys(rows, on) if hot is None else hot
+    hot = F.broadcast(hot if "salts__" in hot.columns else hot.withColumn("salts__", F.lit(max(SALTS, partitions(rows)))))
     # Rows with a null key match nothing; they are spread like hot ones instead of meeting in one task.
     unmatched = reduce(or_, [F.col(k).isNull() for k in on])
     hashed = [F.col(c) for c in rows.columns if rows.schema[c].dataType.typeName() not in ("map", "variant")]
-    spread = F.pmod(F.xxhash64(*hashed), F.lit(SALTS)).cast("int")
-    salted_rows = rows.join(hot, on, "left").withColumn(
-        "salt__", F.when(F.col("hot__") | unmatched, spread).otherwise(0)
-    )
-    copies = F.when(F.col("hot__"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    salted_lookup = lookup.join(hot, on, "left").withColumn("salt__", F.explode(copies)).drop("hot__")
-    return salted_rows.drop("hot__").join(salted_lookup, [*on, "salt__"], how).drop("salt__")
+    salts = F.coalesce("salts__", F.when(unmatched, F.lit(max(SALTS, partitions(rows)))), F.lit(1))
+    salted_rows = rows.join(hot, on, "left").withColumn("salt__", F.pmod(F.xxhash64(*hashed), salts).cast("int"))
+    copies = F.sequence(F.lit(0), F.coalesce("salts__", F.lit(1)) - 1)
+    salted_lookup = lookup.join(hot, on, "left").withColumn("salt__", F.explode(copies)).drop("salts__")
+    return salted_rows.drop("salts__").join(salted_lookup, [*on, "salt__"], how).drop("salt__")
 
 
 def _is_small(lookup: DataFrame) -> bool:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from creditloom.functions import columns as C
-from creditloom.operators.grouped import Spec, Window, grouped_features, window_features
+from creditloom.operators.grouped import Look, Spec, Window, grouped_features, window_features
 
 KEY = "sk_id_curr"
 
@@ -361,8 +361,8 @@ def pos_features(pos: DataFrame) -> DataFrame:
     return window_features(pos, KEY, POS_SPEC, pos_windows(), derive_pos)
 
 
-def inst_features(inst: DataFrame) -> DataFrame:
-    return window_features(inst, KEY, INST_SPEC, inst_windows(), derive_inst)
+def inst_features(inst: DataFrame, look: Look | None = None) -> DataFrame:
+    return window_features(inst, KEY, INST_SPEC, inst_windows(), derive_inst, look)
 
 
 def card_features(card: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from creditloom.operators.joins import HOT_SHARE, lookup_join
+from creditloom.operators.joins import hot_share, lookup_join
 from creditloom.operators.ordered import positions
 from creditloom.session import checkpointed
 
@@ -43,7 +43,7 @@ def sequences(
     # One small row per key; it also tells which keys are hot.
     lengths = checkpointed(known.groupBy(key).agg(F.count(F.lit(1)).alias("total__")))
     rows = lengths.agg(F.sum("total__")).scalar()
-    hot = lengths.where(F.col("total__") > rows * F.lit(HOT_SHARE)).select(key)
+    hot = lengths.where(F.col("total__") > rows * F.lit(hot_share(df))).select(key)
     longest = lengths.agg(F.max("total__")).scalar()
     extra = [] if labels is None else [c for c in labels.columns if c != key]
     per_key = lengths if labels is None else lengths.join(labels, key)

@@ -11,6 +11,8 @@ RECOMMENDED_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
+    # Checkpoint files go once nothing on the driver names them any more.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 

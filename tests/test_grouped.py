@@ -37,9 +37,7 @@ def sample(spark):
 @pytest.fixture
 def every_route(monkeypatch):
     """Makes small tables take the uncombined route with a split for hot keys."""
-    monkeypatch.setattr(G, "LOOK_SHARE", 1.0)
-    monkeypatch.setattr(G, "MIN_LOOKED_ROWS", 1)
-    monkeypatch.setattr(G, "HOT_SHARE", 0.1)
+    monkeypatch.setattr(G, "LOOK", G.Look(share=1.0, min_rows=1, hot_share=0.1))
 
 
 def test_windows_equal_joined_windows(spark):
@@ -49,7 +47,7 @@ def test_windows_equal_joined_windows(spark):
 
 def test_hot_route_equals_plain_route(spark, every_route):
     df = sample(spark)
-    hot, uncombined = G._routes(df.where("k is not null"), "k")
+    hot, uncombined = G._routes(df.where("k is not null"), "k", G.LOOK)
     assert hot == [0] and uncombined
     routed = as_dicts(G.window_features(df, "k", SPEC, windows()))
     assert routed == as_dicts(G._aggregate(df.where("k is not null"), "k", SPEC, windows()))

@@ -217,6 +217,22 @@ catalog.add(
         "sk_id_curr", F.posexplode(L.vector_to_array("projected")).alias("component", "value")
     ),
 )
+
+
+def full_projection(v):
+    """With as many components as features nothing is lost."""
+    table = app_vectors(v)
+    whole = L.fit_projection(table, "features", len(ROW_FEATURES), len(ROW_FEATURES)).apply(table)
+    return L.reconstruction_error(whole).select("sk_id_curr", (F.round("error", 2) + F.lit(0.0)).alias("error"))
+
+
+catalog.add("e6_nothing_lost", full_projection, "SELECT sk_id_curr, CAST(0 AS DOUBLE) AS error FROM app")
+catalog.add(
+    "t7_every_key_has_a_cluster",
+    lambda v: L.cluster_rows(v.app, "sk_id_curr", ROW_FEATURES, clusters=20, restarts=2).select(
+        "sk_id_curr", F.col("cluster").between(0, 19).alias("in_range")),
+    "SELECT sk_id_curr, true AS in_range FROM app",
+)
 catalog.add("t7_clusters", lambda v: L.cluster_rows(v.app, "sk_id_curr", ROW_FEATURES, clusters=100, restarts=10))
 SMOTE_FEATURES = ["amt_income_total", "amt_credit", "amt_annuity", "days_birth"]
 
@@ -290,9 +306,32 @@ def linear(v):
 catalog.add("x1_linear_attributions", linear)
 
 
+def additivity(v):
+    """A row's contributions and its logit differ by the same amount everywhere: the mean row's logit."""
+    fitted, _, validation = logistic(v)
+    sums = linear(v).groupBy("sk_id").agg(F.sum("value").alias("total"))
+    scores = fitted.score(validation).select("sk_id_curr", (F.log("score") - F.log(1 - F.col("score"))).alias("logit"))
+    gaps = scores.join(sums, F.col("sk_id_curr") == F.col("sk_id")).select("sk_id_curr", (F.col("logit") - F.col("total")).alias("gap"))
+    middle = gaps.agg(F.avg("gap")).scalar()
+    return gaps.select("sk_id_curr", (F.round(F.col("gap") - middle, 4) + F.lit(0.0)).alias("gap"))
+
+
+catalog.add(
+    "x1_additivity", additivity,
+    f"""SELECT sk_id_curr, CAST(0 AS DOUBLE) AS gap FROM app
+WHERE ('0x' || substr(md5(sk_id_curr || ':split{L.SEED}'), 1, 8))::BIGINT < {int(PR.VALID_SHARE * (1 << 32))}""",
+)
+
+
 def node_plane(v):
     tiers = E.risk_tiers(v.nodes.withColumn("score", F.col("sk_id") * 7919 % 1000 / F.lit(1000.0)), "score")
     return L.plane(v.nodes, "sk_id", "embedding", DIM).join(tiers.select("sk_id", "risk_level"), "sk_id")
 
 
 catalog.add("x6_plane_with_tiers", node_plane)
+catalog.add(
+    "x6_tiers_of_the_plane", lambda v: node_plane(v).select("sk_id", "risk_level"),
+    """WITH s AS (SELECT sk_id, CAST(sk_id * 7919 % 1000 AS DOUBLE) / 1000 AS score FROM nodes),
+q AS (SELECT quantile_cont(score, 0.4) AS lo, quantile_cont(score, 0.8) AS hi FROM s)
+SELECT sk_id, CASE WHEN score > hi THEN 2 WHEN score > lo THEN 1 ELSE 0 END AS risk_level FROM s, q""",
+)

@@ -468,6 +468,17 @@ catalog.add(
     "t9_up_sample",
     lambda v: P.up_sample(v.app.select("sk_id_curr", "target"), "target", "sk_id_curr", 3.0),
 )
+catalog.add(
+    "t9_draws_per_key",
+    lambda v: P.up_sample(v.app.select("sk_id_curr", "target"), "target", "sk_id_curr", 3.0).groupBy("sk_id_curr").agg(
+        F.count(F.lit(1)).alias("draws")),
+    """WITH t AS (SELECT sk_id_curr, target, ('0x' || substr(md5(sk_id_curr || ':up42/u0__'), 1, 8))::BIGINT / CAST(4294967296 AS DOUBLE) AS u,
+  (SELECT count(*) / sum(CASE WHEN target = 1 THEN CAST(3 AS DOUBLE) ELSE 1 END) FROM app) AS scale FROM app),
+r AS (SELECT *, CASE WHEN target = 1 THEN 3 * scale ELSE scale END AS rate FROM t),
+d AS (SELECT sk_id_curr, CAST(len(list_filter(range(0, 28), lambda k:
+  u >= list_sum(list_transform(range(0, k + 1), lambda i: exp(-rate) * pow(rate, i) / gamma(i + 1))))) AS BIGINT) AS draws FROM r)
+SELECT * FROM d WHERE draws > 0""",
+)
 catalog.add(
     "t10_down_sample",
     lambda v: P.down_sample(v.app, "target", "sk_id_curr", 0.3).select("sk_id_curr", "target"),

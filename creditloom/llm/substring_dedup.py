@@ -108,8 +108,8 @@ def deduped(docs: DataFrame, lengths: Sequence[int] = LENGTHS) -> DataFrame:
     length = lengths[-1]
     copy = F.col("first") < F.col("doc")
     gone = copy & (F.col("n_words") >= length)  # the whole text also stands in a smaller id
-    plain = scan.join(found.select("doc", "text_key"), ["doc", "text_key"], "left_anti") if found is not None else scan
-    plain = scan.where(copy).unionByName(plain.where(~copy)).select(
+    untouched = scan.where(~copy).join(found.select("doc", "text_key"), ["doc", "text_key"], "left_anti")
+    plain = scan.where(copy).select(untouched.columns).unionByName(untouched).select(
         "doc_id", "n_words", F.when(gone, F.col("n_words")).otherwise(F.lit(0)).cast("long").alias("n_removed"),
         F.when(gone, F.sha2(F.lit(""), 256)).otherwise(F.col("all_sha")).alias("kept_sha256"),
         F.when(gone, F.lit("")).alias("text"),

@@ -147,7 +147,7 @@ SECRETS = [
 
 def test_secret_scan(spark):
     rows = SECRETS + odd_rows()
-    got = secret_scan.op7_secret_scan.__globals__["scan"](documents(spark, rows))
+    got = secret_scan.scan(documents(spark, rows))
     want = []
     for d, t, _ in rows:
         spans = sorted((m.start(), place, m.end(), r.kind) for place, r in enumerate(secret_scan.RULES)

@@ -13,8 +13,10 @@ verified on the exact similarity of their bags, and classes are the components o
 2. Of the bands that still hold several classes, every document gets the share m of its bag that no other document
    left holds. With r = m / (1 - m), a pair's similarity is at most 1 / (1 + r + r'), so documents with r above
    1 / similarity - 1 have no link, and the centre is now the document with the least r, often the original.
-3. Pairs left across classes are compared, spread over blocks, but for those that a bound rules out: the one above,
-   and, for two documents with one centre, the triangle inequality (one minus the chance of equal registers is a metric).
+3. Pairs left across classes are compared, spread over blocks, but for those that a bound rules out: the one above;
+   for two documents with one centre, the triangle inequality (one minus the chance of equal registers is a metric);
+   and for two of them without repeated shingles, that they can only share what each shares with the centre, and
+   shingles outside of it that are not one document's own.
 
 No pairs are made within a class, so a group of copies costs a link for each. Documents with the same words are one
 node from the start. Labels, links and classes stay in tables.
@@ -95,13 +97,13 @@ def band_keys(registers: np.ndarray, bands: int = BANDS) -> np.ndarray:
     return mix(out)
 
 
-def similarity(a: bytes, b: bytes) -> float:
-    """Probability Jaccard similarity of two bags (sorted 32-bit shingles with repeats)."""
+def similarity(a: bytes, b: bytes) -> tuple[float, int]:
+    """Probability Jaccard similarity of two bags (sorted 32-bit shingles with repeats), and the number of shared shingles."""
     x, p = np.unique(np.frombuffer(a, np.uint32), return_counts=True)
     y, q = np.unique(np.frombuffer(b, np.uint32), return_counts=True)
     _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
     if not len(i):
-        return 0.0
+        return 0.0, 0
     p_both, q_both = p[i].astype(float), q[j].astype(float)
     order = np.argsort(q_both / p_both, kind="stable")
     p_both, q_both = p_both[order], q_both[order]
@@ -110,7 +112,7 @@ def similarity(a: bytes, b: bytes) -> float:
     # For shingle d the denominator sums p(d') / p(d) where q(d') / p(d') is at most that of d, else q(d') / q(d).
     upto = np.searchsorted(ratio, ratio, side="right")
     p_sum, q_sum = np.concatenate([[0], np.cumsum(p_both)]), np.concatenate([[0], np.cumsum(q_both)])
-    return float((1 / ((only_p + p_sum[upto]) / p_both + (only_q + q_sum[-1] - q_sum[upto]) / q_both)).sum())
+    return float((1 / ((only_p + p_sum[upto]) / p_both + (only_q + q_sum[-1] - q_sum[upto]) / q_both)).sum()), len(i)
 
 
 def signed(docs: DataFrame) -> DataFrame:
@@ -153,20 +155,23 @@ def bags(docs: DataFrame, chosen: DataFrame) -> DataFrame:
 
 
 def compared(pairs: DataFrame, bag: DataFrame) -> DataFrame:
-    """The pairs (a, b) with their similarity."""
+    """The pairs (a, b) with their similarity s and the number of shingles they share."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [similarity(a.as_py(), b.as_py()) for a, b in zip(batch.column("bag_a"), batch.column("bag_b"))]
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(found, pa.float64())], ["a", "b", "s"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("a"), batch.column("b"), pa.array([s for s, _ in found], pa.float64()), pa.array([n for _, n in found], pa.int32())],
+                ["a", "b", "s", "both"])
 
     left = bag.select(F.col("node").alias("a"), F.col("bag").alias("bag_a"))
     right = bag.select(F.col("node").alias("b"), F.col("bag").alias("bag_b"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "bag_a", "bag_b").mapInArrow(work, "a long, b long, s double")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "bag_a", "bag_b").mapInArrow(work, "a long, b long, s double, both int")
 
 
 def own_shares(bag: DataFrame) -> DataFrame:
-    """node and r = m / (1 - m), with m the share of its bag that no other of the bags holds (null for m = 1)."""
+    """node, r = m / (1 - m) with m the share of its bag that no other of the bags holds (null for m = 1), n (distinct
+    shingles), own (those that no other holds) and plain (none is repeated)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -178,9 +183,11 @@ def own_shares(bag: DataFrame) -> DataFrame:
 
     each = bag.select("node", "bag").mapInArrow(work, "node long, shingle long, share double")
     alone = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node"), F.min("share").alias("share")).where("n = 1")
-    mass = alone.groupBy("node").agg(F.sum("share").alias("m"))
+    mass = alone.groupBy("node").agg(F.sum("share").alias("m"), F.count(F.lit(1)).alias("own"))
+    sizes = each.groupBy("node").agg(F.count(F.lit(1)).alias("n"))
     r = F.when(F.col("m").isNull(), 0.0).when(F.col("m") < 1 - SLACK, F.col("m") / (1 - F.col("m")))
-    return bag.select("node").join(mass, "node", "left").select("node", r.alias("r"))
+    return bag.select("node", (F.octet_length("bag") / 4).alias("length")).join(sizes, "node").join(mass, "node", "left").select(
+        "node", r.alias("r"), "n", F.coalesce("own", F.lit(0)).alias("own"), (F.col("n") == F.col("length")).alias("plain"))
 
 
 def _centred(rows: DataFrame, order: Column) -> DataFrame:
@@ -198,14 +205,20 @@ def _pairs(centred: DataFrame) -> DataFrame:
 def _block_pairs(rows: DataFrame, least: float) -> DataFrame:
     """Pairs across classes that no bound rules out: members of a band meet block by block, so no task holds a band.
 
-    rows: band, node, label, members, r, centre and s (similarity to the centre; both null without one).
+    rows: band, node, label, members, r, n, own and plain as in own_shares, centre, s and both (similarity to the centre
+    and shingles shared with it; the three are null without one).
     """
     blocks = F.greatest(F.lit(1), F.ceil(F.col("members") / BLOCK)).cast("int")
     placed = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    left = placed.select("band", F.col("block").alias("i"), others.alias("j"), *[F.col(c).alias(f"{c}_a") for c in ("node", "label", "r", "centre", "s")])
-    right = placed.select("band", F.col("block").alias("j"), others.alias("i"), *[F.col(c).alias(f"{c}_b") for c in ("node", "label", "r", "centre", "s")])
-    near = F.coalesce((F.col("centre_a") != F.col("centre_b")) | (F.abs(F.col("s_a") - F.col("s_b")) <= 1 - least + SLACK), F.lit(True))
+    placed = placed.withColumn("outside", F.col("n") - F.col("both") - F.col("own"))
+    columns = ("node", "label", "r", "n", "plain", "centre", "s", "both", "outside")
+    left = placed.select("band", F.col("block").alias("i"), others.alias("j"), *[F.col(c).alias(f"{c}_a") for c in columns])
+    right = placed.select("band", F.col("block").alias("j"), others.alias("i"), *[F.col(c).alias(f"{c}_b") for c in columns])
+    shared = F.least("both_a", "both_b") + F.least("outside_a", "outside_b")
+    enough = ~(F.col("plain_a") & F.col("plain_b")) | (shared * (1 + least) >= least * (F.col("n_a") + F.col("n_b")) - SLACK)
+    apart = F.abs(F.col("s_a") - F.col("s_b"))
+    near = F.coalesce((F.col("centre_a") != F.col("centre_b")) | (apart <= 1 - least + SLACK) & enough, F.lit(True))
     match = (
         (left["band"] == right["band"]) & (left["i"] == right["i"]) & (left["j"] == right["j"]) & (F.col("node_a") < F.col("node_b"))
         & (F.col("label_a") != F.col("label_b")) & (F.col("r_a") + F.col("r_b") <= 1 / least - 1 + SLACK) & near
@@ -242,7 +255,7 @@ def near_classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     links = links.union(scores.where(F.col("s") >= least).select("a", "b"))
     labels = settled(components(links))
     known = centred.select("node", "centre", F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).join(
-        scores, ["a", "b"]).select("node", "centre", "s")
+        scores, ["a", "b"]).select("node", "centre", "s", "both")
     rows = _mixed(rows, labels).join(shares, "node").join(known, "node", "left")
     rest = settled(compared(_block_pairs(settled(rows), least), bag).where(F.col("s") >= least).select("a", "b"))
     labels = settled(components(links.union(rest)))

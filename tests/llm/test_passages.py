@@ -124,14 +124,15 @@ def test_registers_estimate_similarity():
     got = minhash_dedup.signatures(owner, np.array([value[x] for x in [*a, *b]]), np.array([*a.values(), *b.values()], float), 2, 8192)
     assert abs((got[0] == got[1]).mean() - similarity(a, b)) < 0.03
     packed = [np.sort(np.concatenate([np.full(n, value[x] >> np.uint64(32), np.uint32) for x, n in s.items()])).tobytes() for s in (a, b)]
-    assert abs(minhash_dedup.similarity(*packed) - similarity(a, b)) < 1e-9
+    assert abs(minhash_dedup.similarity(*packed)[0] - similarity(a, b)) < 1e-9
 
 
 def test_bands_with_several_classes(spark):
     """The last pairs of a band with many classes, and the components of links."""
     rng = np.random.default_rng(4)
-    rows = spark.createDataFrame([(1, i, i, 90, 0.0, None, None) for i in range(90)],
-                                 "band long, node long, label long, members long, r double, centre long, s double")
+    rows = spark.createDataFrame([(1, i, i, 90, 0.0, 9, 0, True, None, None, None) for i in range(90)],
+                                 "band long, node long, label long, members long, r double, n long, own long, plain boolean, "
+                                 "centre long, s double, both int")
     got = {tuple(r) for r in minhash_dedup._block_pairs(rows, 0.8).collect()}
     assert got == {(i, j) for i in range(90) for j in range(i + 1, 90)}
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (200, 2))] + [(i, i + 1) for i in range(400, 460)]

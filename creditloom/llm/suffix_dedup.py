@@ -9,10 +9,12 @@ A match is extended to the right and to the left, up to 50 words each way; of 50
 remove. Overlapping spans of a longer passage, one per kept position, join up. A run of equal suffixes, however
 long, is range-partitioned by id as well, so it fills no single task.
 
-Every span also stands under a smaller id. A passage is found if one of the neighbours shares it: always where one
-side of a kept position decides, as with a passage set into otherwise different texts. Where a text overlaps
-several earlier ones, and the one that shares most to the right and the one that shares most to the left both share
-less than 50 words in all, a third may be missed; substring_dedup decides those cases as well.
+Every span also stands under a smaller id. Neighbours alone would miss passages: where a partition ends between two
+of them, and where a text overlaps several earlier ones of which neither the one that shares most to the right nor the
+one that shares most to the left holds the passage. So the passes also say how far a suffix agrees with any other id
+on their side, as far as it goes where a partition's end hides the neighbour. Passages of 50 words within both reaches
+that no span covers are open; of equal open ones all but those of the least id are removed as well. The first document
+that holds a passage has it open always, so the result is exact and doesn't depend on the partitions.
 
 Defined results: a null or empty text has no words and no spans. Ids are compared as longs, null after all others.
 Documents with the same words are looked at once; of more than one, the later ones are removed whole if they have
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 
 from creditloom.llm.base import settled, table
 from creditloom.llm.passages import _list, first_documents, keyed, repeated_marks, texts_of
-from creditloom.llm.substring_dedup import REMOVED_CTES
+from creditloom.llm.substring_dedup import REMOVED_CTES, _repeats, _windows
 from creditloom.llm.words import Texts, selected, slices
 
 WINDOW, LEAST = 8, 50
@@ -121,19 +123,72 @@ def first_matches(suffixes: DataFrame, least: int = LEAST) -> DataFrame:
                         F.col("low.left").alias("low_left")).mapInArrow(work, SPAN)
 
 
-def matches(sorted_suffixes: DataFrame, least: int = LEAST) -> DataFrame:
-    """doc, text_key, start, end: spans that a neighbour of a smaller id shares, from rows sorted within partitions."""
+FOUND = "doc long, text_key long, at int, start int, end int"
+
+
+def _found(spans: list[tuple], reaches: list[tuple]) -> pa.RecordBatch:
+    rows = [(doc, key, None, start, end) for doc, key, start, end in spans] + reaches
+    names = ["doc", "text_key", "at", "start", "end"]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+
+
+class _Reaches:
+    """How far each suffix agrees on one side with the nearest suffixes of other ids, above and below in the order.
+
+    ``run`` holds the latest suffixes of one id and mark: doc, text_key, at, words of both sides, what is shared above,
+    and what is shared with the suffix before it. What lies beyond the partition may share all.
+    """
+
+    def __init__(self, side: int, least: int):
+        self.side, self.least, self.run, self.last, self.mark = side, least, [], None, None
+
+    def closed(self, below: int | None) -> list[tuple]:
+        """The run's rows for the result; ``below`` is shared by its last suffix and the next id's, None if unknown."""
+        out = []
+        for doc, key, at, right, left, above, step in reversed(self.run):
+            own, other = (right, left) if self.side == 3 else (left, right)
+            reach = own if above is None or below is None else max(above, below)
+            if reach + other >= self.least:
+                out.append((doc, key, at, None, at + reach) if self.side == 3 else (doc, key, at, at - reach, None))
+            below = None if below is None else min(below, step)
+        self.run = []
+        return out
+
+    def add(self, mark: int, row: tuple) -> list[tuple]:
+        out, step = [], 0
+        if mark != self.mark:
+            out = self.closed(0)
+            above = 0 if self.last else None
+        else:
+            step = _equal_words(self.last[self.side], row[self.side])
+            if self.run[-1][0] != row[0]:
+                out, above = self.closed(step), step
+            else:
+                above = self.run[-1][5]
+                above = None if above is None else min(above, step)
+        self.run.append((*row[:3], len(row[3]) // 4, len(row[4]) // 4, above, step))
+        self.last, self.mark = row, mark
+        return out
+
+
+def matches(sorted_suffixes: DataFrame, side: str = "right", least: int = LEAST) -> DataFrame:
+    """Of rows sorted within partitions, by mark and ``side`` first: spans that a neighbour of a smaller id shares, with
+    null as ``at``; and for each suffix the end (right) or the start (left) of what other ids can share with it.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # The stack has one entry for each id that is smaller than all ids after it: [id, suffixes that came with it].
         stack: list = []
-        mark = None
+        mark, reaches = None, _Reaches(3 if side == "right" else 4, least)
 
         for batch in batches:
             out: list = []
+            reached: list = []
             columns = [batch.column(c).to_pylist() for c in ("mark", "doc", "text_key", "at", "right", "left")]
             for m, doc, key, at, right, left in zip(*columns):
                 row = (doc, key, at, right, left)
+                reached += reaches.add(m, row)
                 if m != mark:
                     stack, mark = [], m
                 while stack and stack[-1][0] > doc:
@@ -147,10 +202,26 @@ def matches(sorted_suffixes: DataFrame, least: int = LEAST) -> DataFrame:
                     stack.append([doc, [row]])
                 if above:
                     out += _extended(row, above[0][1][-1], least)
-            if out:
-                yield _spans(out)
+            if out or reached:
+                yield _found(out, reached)
+        reached = reaches.closed(None)
+        if reached:
+            yield _found([], reached)
+
+    return sorted_suffixes.mapInArrow(work, FOUND)
+
 
-    return sorted_suffixes.mapInArrow(work, SPAN)
+def open_starts(spans: DataFrame, reaches: DataFrame, least: int = LEAST) -> DataFrame:
+    """doc, text_key, found: starts of the passages that lie within both reaches of a suffix, and in no single span."""
+    wide = reaches.groupBy("doc", "text_key", "at").agg(F.min("start").alias("start"), F.max("end").alias("end")).where(
+        F.col("end") - F.col("start") >= least).select("doc", "text_key", "start", "end", F.lit(True).alias("wide"))
+    each = wide.union(spans.select("doc", "text_key", "start", "end", F.lit(False)))
+    pair = F.struct("start", (F.col("end") - least).alias("end"))
+    per_doc = each.groupBy("doc", "text_key").agg(
+        F.collect_set(F.when(F.col("wide"), pair)).alias("wide"), F.collect_set(F.when(~F.col("wide"), pair)).alias("known"))
+    starts = lambda c: F.flatten(F.transform(c, lambda x: F.sequence(x["start"], x["end"])))
+    found = per_doc.where(F.size("wide") > 0).select("doc", "text_key", F.array_except(starts("wide"), starts("known")).alias("found"))
+    return found.where(F.size("found") > 0)
 
 
 def removed_spans(docs: DataFrame, window: int = WINDOW, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
@@ -158,11 +229,18 @@ def removed_spans(docs: DataFrame, window: int = WINDOW, least: int = LEAST) ->
     scan, firsts = first_documents(docs, window, least)
     chosen = settled(repeated_marks(firsts))
     rows = settled(suffixes(docs, chosen, window, least))
-    orders = (["mark", "right", "left", "doc", "at"], ["mark", "left", "right", "doc", "at"])
-    spans = settled(first_matches(rows, least).distinct())
-    for order in orders:
-        spans = spans.union(settled(matches(rows.repartitionByRange(*order).sortWithinPartitions(*order), least).distinct()))
-    spans = spans.distinct()
+    spans, passes = settled(first_matches(rows, least).distinct()), []
+    for side, other in (("right", "left"), ("left", "right")):
+        order = ["mark", side, other, "doc", "at"]
+        passes.append(settled(matches(rows.repartitionByRange(*order).sortWithinPartitions(*order), side, least)))
+    del rows
+    found = passes[0].union(passes[1])
+    spans = settled(spans.union(found.where(F.col("at").isNull()).select(spans.columns)).distinct())
+    still = settled(open_starts(spans, found.where(F.col("at").isNotNull()), least))
+    del found, passes
+    late = _repeats(settled(_windows(docs, still, least, least, False)), True)
+    late = late.select("doc", "text_key", F.explode("found").alias("start"))
+    spans = spans.union(late.select("doc", "text_key", "start", (F.col("start") + least).alias("end")))
     per_doc = spans.groupBy("doc", "text_key").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
     start = F.array().cast("array<struct<start:int,end:int>>")
     merged = F.aggregate("spans", start, lambda s, x: F.when(

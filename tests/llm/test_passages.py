@@ -72,6 +72,47 @@ def test_planted_passages(spark):
         assert got[d] == [(int(a), int(b)) for a, b in zip(edges[::2], edges[1::2])]
 
 
+def exact_spans(spark, rows):
+    got = {r.doc_id: [tuple(x) for x in r.spans] for r in suffix_dedup.deduped(documents(spark, rows)).collect()}
+    for (d, _, _), flags in zip(rows, removed_words(rows)):
+        edges = np.flatnonzero(np.diff([0, *map(int, flags), 0]))
+        assert got[d] == [(int(a), int(b)) for a, b in zip(edges[::2], edges[1::2])], d
+
+
+def test_passages_on_both_sides_of_a_partition_boundary(spark):
+    """Pairs of passages that end with one phrase; an earlier document has the phrase alone."""
+    rng, name = np.random.default_rng(14), "spark.sql.adaptive.enabled"
+    # A phrase whose hash lies below that of all other windows of its passages, so that it is their only kept position.
+    phrases = [" ".join(f"p{i}x{j}" for j in range(8)) for i in range(20000)]
+    value = Texts(pa.array(phrases)).windows(8)[1]
+    phrase = phrases[int(value.argmin())].split()
+    tail = lambda: [f"t{x}" for x in rng.integers(0, 1 << 40, 20)]
+    rows = [(0, " ".join(["alone"] + phrase + tail()), "s")]
+    for i in range(150):
+        passage = [f"q{i}x{j}" for j in range(42)] + phrase
+        rows += [(1 + i, " ".join(passage + tail()), "s"), (1000 + i, " ".join(passage + tail()), "s")]
+    spark.conf.set(name, "false")
+    try:
+        exact_spans(spark, rows)
+    finally:
+        spark.conf.set(name, "true")
+
+
+def test_passage_that_no_neighbour_shares(spark):
+    """One document shares more to the right, one more to the left, and a third one the passage; then many at random."""
+    rng = np.random.default_rng(15)
+    text = [f"c{j}" for j in range(100)]
+    rows = [(i, " ".join([f"a{i}"] + text[50 - low:50 + high] + [f"b{i}"]), "s")
+            for i, (low, high) in enumerate([(4, 44), (44, 4), (10, 39), (39, 10), (30, 30), (30, 28), (28, 30), (50, 50)])]
+    exact_spans(spark, rows)
+    texts = [[f"c{k}x{j}" for j in range(200)] for k in range(2)]
+    rows = []
+    for i in range(150):
+        at, n = int(rng.integers(0, 140)), int(rng.integers(40, 62))
+        rows.append((i, " ".join([f"a{i}"] + texts[i % 2][at:at + n] + [f"b{i}"]), "s"))
+    exact_spans(spark, rows)
+
+
 def test_levels_below_the_first_pair(spark):
     rows = corpus(5)
     docs, gone = documents(spark, rows), removed_words(rows, 48)

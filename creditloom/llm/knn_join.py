@@ -1,13 +1,14 @@
 """Exact top-k search by inner product (operator 10): a Voronoi kNN join.
 
-Vectors are whole numbers. Equal vectors are one point that carries its k + 1 smallest ids, which is all that any
-answer can show of them. Points and queries belong to the cell of their nearest pivot. With u = q - p_i for the
+Vectors are whole numbers. Equal vectors are one point that carries its ids, at most k rows of one id and 2 k in all,
+smallest first: whichever single id a query leaves out, k rows remain, so that is all that any answer can show of
+them. Lists of found rows are cut in the same way. Points and queries belong to the cell of their nearest pivot. With u = q - p_i for the
 queries of cell i and v = x - p_j for the points of cell j, the product q.x lies within
 
     |p_i| |v| + |u| |p_j| + |u| |v|     of     p_i . p_j,
 
 so the summaries of the cells (greatest |u|, greatest |v|, points) give a floor for the k-th score of each query
-cell, and a point is sent to a group of query cells only if it can reach the floor of one of them. Groups hold at
+cell, not counting as many points as hold a query's own id, and a point is sent to a group of query cells only if it can reach the floor of one of them. Groups hold at
 most ``group_queries`` query points, larger cells are split, and the points of a group are dealt over chunks, so no
 task grows with the hottest cell. Chunks are solved with dense products and their best rows are merged.
 
@@ -15,7 +16,8 @@ Pivots are drawn by hash, at most ``MAX_PIVOTS``; the driver holds their matrix
 
 Defined results: vectors that are null, or hold a null or non-finite component, take no part. A shorter vector
 counts as padded with zeros. Ties go to the smaller id. Rows that repeat an id are that many candidates; a query
-leaves out the rows with its own id. Extra columns are not read. Products must fit into 64 bits.
+leaves out the rows with its own id. Query rows that repeat an id have k results each from ``top_k``; the query op10
+ranks them together, as its SQL does. Extra columns are not read. Products must fit into 64 bits.
 """
 
 from __future__ import annotations
@@ -39,10 +41,12 @@ def whole_vectors(vectors: DataFrame, scale: int = 256) -> DataFrame:
 
 
 def points(rows: DataFrame, k: int) -> DataFrame:
-    """Distinct vectors with their k + 1 smallest ids; Spark cuts the groups before the exchange."""
+    """Distinct vectors with their ids: at most k rows of one id, and the 2 k smallest; rows of an id are counted first."""
     order = Window.partitionBy("vec").orderBy("vec_id")
-    few = rows.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= k + 1)
-    return few.groupBy("vec").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
+    times = rows.groupBy("vec", "vec_id").agg(F.least(F.count(F.lit(1)), F.lit(k)).cast("int").alias("times"))
+    few = times.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= 2 * k)
+    listed = F.flatten(F.collect_list(F.array_repeat("vec_id", F.col("times"))))
+    return few.groupBy("vec").agg(F.slice(F.sort_array(listed), 1, 2 * k).alias("ids"))
 
 
 def _matrix(vecs, width: int) -> np.ndarray:
@@ -92,13 +96,38 @@ def _best(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return at[np.lexsort((ids[at], -score[at]))][:k]
 
 
+def _listed(score: np.ndarray, points: list[np.ndarray], first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and scores of one query's 2 k best rows, of which at most k have one id."""
+    much = 2 * k
+    while True:
+        best = _best(score, first, much)
+        ids = np.concatenate([points[b] for b in best])
+        found = np.repeat(score[best], [len(points[b]) for b in best])
+        order = np.lexsort((ids, -found))
+        ids, found = ids[order], found[order]
+        by_id = np.argsort(ids, kind="stable")
+        run = np.concatenate([[0], np.flatnonzero(np.diff(ids[by_id])) + 1])
+        nth = np.empty(len(ids), dtype=np.int64)
+        nth[by_id] = np.arange(len(ids)) - np.repeat(run, np.diff(np.append(run, len(ids))))
+        ids, found = ids[nth < k], found[nth < k]
+        # Points not looked at come after the first row of the last one.
+        settled_rows = (found > score[best[-1]]) | ((found == score[best[-1]]) & (ids <= first[best[-1]]))
+        if len(best) == len(score) or settled_rows.sum() >= 2 * k:
+            return ids[:2 * k], found[:2 * k]
+        much *= 4
+
+
 def top_k(rows: DataFrame, queries: DataFrame, k: int = 5, max_pivots: int = MAX_PIVOTS,
           group_queries: int = GROUP_QUERIES, chunk_points: int = CHUNK_POINTS) -> DataFrame:
     """query_id, rank, vec_id, score: the k best other rows of each row of ``queries`` (vec_id, vec)."""
     spark = rows.sparkSession
     schema = "query_id long, rank int, vec_id long, score long"
     data = settled(points(rows, k))
-    asked = settled(queries.groupBy("vec").agg(F.count(F.lit(1)).alias("rows")).drop("rows"))
+    # Points that hold one id: a query's own ones give it no candidates.
+    several = data.select(F.explode(F.array_distinct("ids")).alias("vec_id")).groupBy("vec_id").agg(
+        F.count(F.lit(1)).alias("own")).where(F.col("own") > 1)
+    asked = settled(queries.select("vec_id", "vec").join(several, "vec_id", "left").groupBy("vec").agg(
+        F.max(F.coalesce("own", F.lit(1))).alias("own")))
     size = data.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("width")).first()
     n_asked = asked.count()
     if not size.n or not n_asked:
@@ -108,10 +137,10 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 5, max_pivots: int = MAX
     pivots = _matrix([r.vec for r in drawn], size.width or 1).astype(float)
     data, asked = settled(placed(data, pivots)), settled(placed(asked, pivots))
 
-    def summary(df):
-        return {r.cell: r for r in df.groupBy("cell").agg(F.max("far").alias("far"), F.count(F.lit(1)).alias("n")).collect()}
+    def summary(df, *more):
+        return {r.cell: r for r in df.groupBy("cell").agg(F.max("far").alias("far"), F.count(F.lit(1)).alias("n"), *more).collect()}
 
-    cells, homes = summary(data), summary(asked)  # at most one row per pivot
+    cells, homes = summary(data), summary(asked, F.max("own").alias("own"))  # at most one row per pivot
     norm = np.linalg.norm(pivots, axis=1)
     i, j = np.array(sorted(homes)), np.array(sorted(cells))
     u = np.array([homes[c].far for c in i])
@@ -125,7 +154,7 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 5, max_pivots: int = MAX
     for row in range(len(i)):
         order = np.argsort(-low[row])
         have = np.cumsum([cells[c].n for c in j[order]])
-        at = np.searchsorted(have, k + 1)  # one of them may be the query itself
+        at = np.searchsorted(have, k + homes[i[row]].own)  # so many may be the query itself
         floors[row] = low[row][order[at]] if at < len(order) else -np.inf
 
     # Query cells whose pivots are near in a chain share a group until it is full; a larger cell has groups of its own.
@@ -172,25 +201,25 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 5, max_pivots: int = MAX
 
     def solve(_, q, x):
         if not len(q) or not len(x):
-            return pd.DataFrame({"vec": [], "vec_id": [], "score": []})
+            return pd.DataFrame({"vec": [], "vec_id": [], "score": []}, dtype=object)
         qm, xm = _matrix(q["vec"], width), _matrix(x["vec"], width)
-        first = np.array([a[0] for a in x["ids"]])
+        points_ids = [np.asarray(a) for a in x["ids"]]
+        first = np.array([a[0] for a in points_ids])
         out_q, out_id, out_s = [], [], []
         for at in range(0, len(qm), 128):
             scores = _products(qm[at:at + 128], xm)
             for r, row in enumerate(scores):
-                best = _best(row, first, k + 1)
-                ids = np.concatenate([np.asarray(x["ids"].iat[b]) for b in best])
-                score = np.repeat(row[best], [len(x["ids"].iat[b]) for b in best])
-                order = np.lexsort((ids, -score))[:k + 1]
-                out_q += [q["vec"].iat[at + r]] * len(order)
-                out_id.append(ids[order])
-                out_s.append(score[order])
+                ids, score = _listed(row, points_ids, first, k)
+                out_q += [q["vec"].iat[at + r]] * len(ids)
+                out_id.append(ids)
+                out_s.append(score)
         return pd.DataFrame({"vec": out_q, "vec_id": np.concatenate(out_id), "score": np.concatenate(out_s)})
 
     solved = spread.groupBy("grp", "chunk").cogroup(sent.groupBy("grp", "chunk")).applyInPandas(solve, "vec array<long>, vec_id long, score long")
     best = Window.partitionBy("vec").orderBy(F.desc("score"), "vec_id")
-    merged = solved.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= k + 1)
+    of_id = Window.partitionBy("vec", "vec_id").orderBy(F.desc("score"))
+    capped = solved.repartition("vec").withColumn("of_id", F.row_number().over(of_id)).where(F.col("of_id") <= k).drop("of_id")
+    merged = capped.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= 2 * k)
     # Query rows with one vector share its answers; each leaves out its own id and takes k of the rest.
     lists = merged.groupBy("vec").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("minus"), "vec_id"))).alias("found"))
     own = queries.select(F.col("vec_id").alias("query_id"), "vec").join(lists, "vec")
@@ -202,7 +231,10 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 5, max_pivots: int = MAX
 
 def op10_voronoi_topk(spark: SparkSession, folder: str) -> DataFrame:
     rows = whole_vectors(table(spark, folder, "embeddings"))
-    return top_k(rows, rows.where(F.col("vec_id") % 50 == 0))
+    found = top_k(rows, rows.where(F.col("vec_id") % 50 == 0)).drop("rank")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= 5)
+    return ranked.select("query_id", "rank", "vec_id", "score")
 
 
 SQL = """WITH good AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v

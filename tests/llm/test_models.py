@@ -2,11 +2,13 @@
 
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
+from check import compare
 from creditloom.llm import knn_join, mixing, quality_model, sentencepiece_fst
 from tests.llm.common import corpus, documents, odd_rows, words
 
@@ -150,3 +152,24 @@ def test_top_k_of_few_rows(spark):
         data = knn_join.whole_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
         got = knn_join.top_k(data, data.where("vec_id % 50 = 0")).collect()
         assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got) == brute_top(rows, 5)
+
+
+def test_top_k_of_repeated_ids(spark, tmp_path):
+    """Ids that repeat one vector or several, among the queries and among the candidates."""
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(6, 4)) * 2
+    vector = lambda i, wide=0.1: [float(np.float32(x)) for x in centres[i % 6] + rng.normal(size=4) * wide]
+    rows = [(i, vector(i)) for i in range(400)]
+    rows += [(50, rows[50][1])] + [(100, [9.0 * x for x in rows[100][1]])] * 10 + [(7, rows[150][1])] * 8
+    rows += [(200, [x * (1 + i / 64) for x in rows[200][1]]) for i in range(40)]
+    rows += [(500 + i, rows[100][1]) for i in range(12)] + [(13, [20.0 * x for x in rows[13][1]])] * 7
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    data = knn_join.whole_vectors(table)
+    want = brute_top(rows, 5)
+    for sizes in ({}, {"group_queries": 3, "chunk_points": 20, "max_pivots": 30}):
+        got = knn_join.top_k(data, data.where("vec_id % 50 = 0"), **sizes).collect()
+        assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got) == want
+    table.write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    assert compare(knn_join.op10_voronoi_topk(spark, str(tmp_path)), con.execute(knn_join.SQL)) == ""

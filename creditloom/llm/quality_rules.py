@@ -2,12 +2,14 @@
 
 Lines are normalised (lower case, digit runs as 0, white space collapsed) and counted by the distinct documents
 (texts) of their host that hold them. A line held by more than ``max_docs`` is boilerplate everywhere but in the
-host's document with the smallest id, so of a group that shares it one stays whole. Boilerplate lines are removed;
-a document that loses more than ``max_lost`` of its words with them is depleted and rejected.
+host's document with the smallest id, so of a group that shares it one stays whole. A document that loses more than
+``max_lost`` of its words with its boilerplate lines is depleted and rejected; ``without_frequent_lines`` takes the lines
+out of texts, and ``keep_good`` does both if asked to.
 
 Defined results: a null or empty text has no words and fails the base rules. A null id is an id of its own and a
 null host a host of its own. Rows with one id and one text get one verdict; exact copies of a text count as one
-document. Columns beyond doc_id, text and the host are neither read nor changed, whatever their names.
+document. Columns beyond doc_id, text and the host are neither read nor changed, whatever their names, save that
+``n_chars``, if there, follows a text that loses lines.
 """
 
 from __future__ import annotations
@@ -78,6 +80,15 @@ def text_rules(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
     return base.withColumn("base_failed", failed)
 
 
+def _frequent(lines: DataFrame, max_docs: int) -> DataFrame:
+    """host, line_key, docs, owner: the boilerplate lines and the document of each host that keeps them."""
+    holders = lines.groupBy("host", "line_key", "text_key").agg(F.min("doc_id").alias("doc_id"))
+    return (
+        holders.groupBy("host", "line_key").agg(F.count(F.lit(1)).alias("docs"), F.min("doc_id").alias("owner"))
+        .where(F.col("docs") > max_docs)
+    )
+
+
 def depleted(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOCS, max_lost: float = MAX_LOST,
              id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Words and words lost of every document with a line: doc_id, text_key, line_words, lost_words, depleted."""
@@ -88,11 +99,7 @@ def depleted(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOCS, ma
         "doc_id", "text_key", "host", F.xxhash64(normalised_line(F.col("line"))).alias("line_key"),
         F.size(word_array(F.col("line"))).alias("words"),
     )
-    holders = lines.groupBy("host", "line_key", "text_key").agg(F.min("doc_id").alias("doc_id"))
-    frequent = (
-        holders.groupBy("host", "line_key").agg(F.count(F.lit(1)).alias("docs"), F.min("doc_id").alias("owner"))
-        .where(F.col("docs") > max_docs)
-    )
+    frequent = _frequent(lines, max_docs)
     hit = lines.alias("l").join(
         frequent.alias("f"), same(F.col("l.host"), F.col("f.host")) & (F.col("l.line_key") == F.col("f.line_key")), "left"
     )
@@ -114,14 +121,45 @@ def verdicts(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOCS, ma
     )
 
 
-def keep_good(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOCS, max_lost: float = MAX_LOST) -> DataFrame:
-    """The rows of ``docs`` whose document is kept, with the columns they came with."""
+def without_frequent_lines(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOCS, among: DataFrame | None = None) -> DataFrame:
+    """``docs`` with the boilerplate lines, other than their owner's, taken out of the texts.
+
+    Lines are counted over the documents ``among``, by default ``docs``.
+    """
+    def lines_of(df: DataFrame) -> DataFrame:
+        each = df.select("doc_id", text_key(F.col("text")).alias("text_key"), F.col(host).alias("host"),
+                         F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "line"))
+        return each.where(F.col("line").rlike(r"[^ \t-\r]")).select(
+            "doc_id", "text_key", "host", "line_no", F.xxhash64(normalised_line(F.col("line"))).alias("line_key"))
+
+    frequent = _frequent(lines_of(docs if among is None else among), max_docs).alias("f")
+    hit = lines_of(docs).alias("l").join(
+        frequent, same(F.col("l.host"), F.col("f.host")) & (F.col("l.line_key") == F.col("f.line_key"))
+    ).where(~same(F.col("l.doc_id"), F.col("f.owner")))
+    gone = hit.groupBy(F.col("l.doc_id").alias("gone_id"), F.col("l.text_key").alias("gone_key"), F.col("l.host").alias("gone_host")).agg(
+        F.collect_set("line_no").alias("gone_lines"))
+    rows = packed(docs)
+    match = (same(rows["doc_id"], gone["gone_id"]) & (text_key(rows["text"]) == gone["gone_key"])
+             & same(F.col(f"row.`{host}`"), gone["gone_host"]))
+    numbered = F.transform(F.split("text", "\n"), lambda x, i: F.struct(x.alias("line"), i.alias("i")))
+    left = F.transform(F.filter(numbered, lambda x: ~F.array_contains("gone_lines", x["i"])), lambda x: x["line"])
+    cut = F.when(F.col("gone_lines").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
+    return unpacked(rows.join(gone, match, "left").withColumn("cut", cut), docs, F.col("cut"))
+
+
+def keep_good(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOCS, max_lost: float = MAX_LOST,
+              remove_lines: bool = False) -> DataFrame:
+    """The rows of ``docs`` whose document is kept, with the columns they came with.
+
+    ``remove_lines``: without their boilerplate lines, as counted over all of ``docs``.
+    """
     good = settled(verdicts(docs, host, max_docs, max_lost)).where("kept").select(
         F.col("doc_id").alias("kept_id"), F.col("text_key").alias("kept_key")
     ).distinct()
     rows = packed(docs)
     match = same(rows["doc_id"], good["kept_id"]) & (text_key(rows["text"]) == good["kept_key"])
-    return unpacked(rows.join(good, match, "left_semi"), docs)
+    kept = unpacked(rows.join(good, match, "left_semi"), docs)
+    return without_frequent_lines(kept, host, max_docs, docs) if remove_lines else kept
 
 
 def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:

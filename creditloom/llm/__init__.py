@@ -1 +1 @@
-"""Training-data operators: deduplication, quality, secrets, mixing, tokens and nearest vectors."""
+"""Training-data operators: deduplication, quality, secrets, mixing, tokens, nearest vectors, URLs, runs and whitening."""

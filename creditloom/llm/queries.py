@@ -7,12 +7,15 @@ from creditloom.llm import (
     line_dedup,
     minhash_dedup,
     mixing,
+    periodic_runs,
     quality_model,
     quality_rules,
     secret_scan,
     sentencepiece_fst,
     substring_dedup,
     suffix_dedup,
+    url_filter,
+    whitening,
 )
 
 QUERIES = {
@@ -26,6 +29,9 @@ QUERIES = {
     "op8_source_mixing": mixing.op8_source_mixing,
     "op9_quality_model": quality_model.op9_quality_model,
     "op10_voronoi_topk": knn_join.op10_voronoi_topk,
+    "op11_url_filter": url_filter.op11_url_filter,
+    "op12_periodic_runs": periodic_runs.op12_periodic_runs,
+    "op13_whitening": whitening.op13_whitening,
 }
 CHECKS = {
     "op1_suffix_dedup": suffix_dedup.SQL,
@@ -35,4 +41,5 @@ CHECKS = {
     "op6_minhash_dedup": minhash_dedup.SQL,
     "op7_secret_scan": secret_scan.SQL,
     "op10_voronoi_topk": knn_join.SQL,
+    "op11_url_filter": url_filter.SQL,
 }

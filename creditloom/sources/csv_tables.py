@@ -75,15 +75,23 @@ def range_report(df: DataFrame, bounds: Mapping[str, tuple[int, int]]) -> DataFr
     return row.select(F.inline(F.array(*entries)))
 
 
-def load_tables(spark: SparkSession, folder: str, views: bool = False) -> dict[str, DataFrame]:
-    """The seven tables by name, columns in lower case; optionally also as temporary views."""
+def load_tables(
+    spark: SparkSession, folder: str, views: bool = False, more: Mapping[str, Mapping[str, list[str]]] | None = None
+) -> dict[str, DataFrame]:
+    """The seven tables by name, columns in lower case; optionally also as temporary views.
+
+    ``more`` declares columns that a user's files have besides the known ones: table -> type -> names.
+    """
     tables = {}
     for name, file in FILES.items():
         path = f"{folder}/{file}"
         if name in DECLARED:
             raw = read_typed(spark, path, DECLARED[name])
         else:
-            raw = read_known(spark, path, KNOWN_TYPES[name], NAME_RULES)
+            known = {kind: list(names) for kind, names in KNOWN_TYPES[name].items()}
+            for kind, names in (more or {}).get(name, {}).items():
+                known[kind] = [*known.get(kind, []), *names]
+            raw = read_known(spark, path, known, NAME_RULES)
         tables[name] = raw.toDF(*[c.lower() for c in raw.columns])
         if views:
             tables[name].createOrReplaceTempView(name)

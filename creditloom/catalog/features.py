@@ -16,6 +16,8 @@ from creditloom.functions import columns as C
 from creditloom.operators.grouped import Look, feature_names, grouped_features, joined_windows, window_features
 from creditloom.plans import families as fam
 from creditloom.plans import prepare
+from creditloom.session import fresh_path
+from creditloom.sources import layout
 
 catalog = Catalog()
 
@@ -529,9 +531,16 @@ FULL_ROUNDED = [
 ]
 
 
-def full_table(v):
+def stored_table(v):
+    """The feature table from families that are stored by applicant first."""
+    folder = fresh_path(v.spark, "families")
+    fam.store_features(loan_tables(v), folder)
+    return fam.stored_feature_table(v.spark, folder)
+
+
+def full_table(v, features=None):
     """Every feature, with the text column as codes."""
-    features = fam.feature_table(loan_tables(v))
+    features = fam.feature_table(loan_tables(v)) if features is None else features
     return prepare.factorise(v.app, ["name_income_type"]).apply(features)
 
 
@@ -546,17 +555,43 @@ catalog.add(
     core_sql("app_d", CORE),
 )
 catalog.add(
-    "j1_star_join",
-    lambda v: fam.assemble(
-        v.app.select("sk_id_curr", "target"),
-        [
-            grouped_features(v.prev, "sk_id_curr", {"amt_credit": ["sum"]}, "prev_"),
-            grouped_features(v.bureau, "sk_id_curr", {"sk_id_bureau": ["count"]}, "bureau_"),
-            grouped_features(v.pos, "sk_id_curr", {"sk_dpd": ["max"]}, "pos_"),
-            grouped_features(v.inst, "sk_id_curr", {"amt_payment": ["sum"]}, "ins_"),
-            grouped_features(v.card, "sk_id_curr", {"amt_balance": ["max"]}, "card_"),
-        ],
-    ),
+    "a18_stored_table_full",
+    lambda v: rounded(full_table(v, stored_table(v)), *FULL_ROUNDED),
+    core_sql("app_d", FULL, ["CAST(dense_rank() OVER (ORDER BY name_income_type) - 1 AS INTEGER) AS name_income_type"]),
+)
+catalog.add(
+    "a18_stored_table_core",
+    lambda v: rounded(stored_table(v).select(*CORE), *CORE_ROUNDED),
+    core_sql("app_d", CORE),
+)
+
+
+def star_families(v) -> dict:
+    return {
+        "app": v.app.select("sk_id_curr", "target"),
+        "prev": grouped_features(v.prev, "sk_id_curr", {"amt_credit": ["sum"]}, "prev_"),
+        "bureau": grouped_features(v.bureau, "sk_id_curr", {"sk_id_bureau": ["count"]}, "bureau_"),
+        "pos": grouped_features(v.pos, "sk_id_curr", {"sk_dpd": ["max"]}, "pos_"),
+        "inst": grouped_features(v.inst, "sk_id_curr", {"amt_payment": ["sum"]}, "ins_"),
+        "card": grouped_features(v.card, "sk_id_curr", {"amt_balance": ["max"]}, "card_"),
+    }
+
+
+def star_join(v):
+    app, *features = star_families(v).values()
+    return fam.assemble(app, features)
+
+
+def refreshed_star(v):
+    """The stored star, one family of which is computed again alone after its table has changed."""
+    folder, star = fresh_path(v.spark, "star"), star_families(v)
+    half = grouped_features(v.card.where("sk_id_prev % 2 = 0"), "sk_id_curr", {"amt_balance": ["max"]}, "card_")
+    layout.store_families({**star, "card": half}, folder, "sk_id_curr", 12)
+    layout.store_family(star["card"], folder, "card", "sk_id_curr")
+    return layout.merged(v.spark, folder, "app", "sk_id_curr")
+
+
+STAR = (
     """SELECT sk_id_curr, target, prev_amt_credit_sum, bureau_sk_id_bureau_count, pos_sk_dpd_max, ins_amt_payment_sum,
   card_amt_balance_max
 FROM app
@@ -567,5 +602,7 @@ LEFT JOIN (SELECT sk_id_curr, count(sk_id_bureau) AS bureau_sk_id_bureau_count F
 LEFT JOIN (SELECT sk_id_curr, max(sk_dpd) AS pos_sk_dpd_max FROM pos GROUP BY 1) c USING (sk_id_curr)
 LEFT JOIN (SELECT sk_id_curr, coalesce(sum(amt_payment), 0) AS ins_amt_payment_sum FROM inst GROUP BY 1) d
   USING (sk_id_curr)
-LEFT JOIN (SELECT sk_id_curr, max(amt_balance) AS card_amt_balance_max FROM card GROUP BY 1) e USING (sk_id_curr)""",
+LEFT JOIN (SELECT sk_id_curr, max(amt_balance) AS card_amt_balance_max FROM card GROUP BY 1) e USING (sk_id_curr)"""
 )
+catalog.add("j1_star_join", star_join, STAR)
+catalog.add("j1_stored_star_join", refreshed_star, STAR)

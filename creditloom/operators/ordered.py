@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 from creditloom.operators.joins import sized_join
 from creditloom.session import checkpointed
 
+# Relative error of the quantile summary is 1 / ACCURACY; a bracket reaches BRACKET times that to either side.
+ACCURACY, BRACKET = 10_000, 10
+
 
 def running_totals(df: DataFrame, order: Sequence[str], sums: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
     """Adds ``<column>_before``: the sum of ``column`` over the rows earlier in the order of the key.
@@ -56,26 +59,69 @@ def value_counts(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame
     return present.groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
 
 
-def quantiles(df: DataFrame, value: str, probs: dict[str, float], by: Sequence[str] = ()) -> DataFrame:
+def _brackets(df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str], accuracy: int) -> DataFrame:
+    """Per group the number of values, and for each probability two values (lo, hi) between which its rank lies.
+
+    They come from Spark's mergeable quantile summary, asked BRACKET times its error to either side. In a group
+    with too few values for that the bracket is the whole group, and at the ends it ends with it.
+    """
+    margin = BRACKET / accuracy
+    asked = sorted({min(max(p + side, 0.0), 1.0) for p in probs for side in (-margin, margin)})
+    summary = df.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("total__"), F.min(value).alias("least__"), F.max(value).alias("most__"),
+        F.percentile_approx(value, asked, accuracy).alias("asked__"),
+    )
+
+    def limit(p: float, side: float, end: str):
+        at = p + side
+        whole = F.col("total__") < BRACKET * accuracy
+        return F.col(end) if not 0.0 < at < 1.0 else F.when(whole, F.col(end)).otherwise(F.col("asked__")[asked.index(at)])
+
+    brackets = [F.struct(limit(p, -margin, "least__").alias("lo"), limit(p, margin, "most__").alias("hi")) for p in probs]
+    return summary.select(*by, "total__", F.array(*brackets).alias("brackets__"))
+
+
+def quantiles(
+    df: DataFrame, value: str, probs: dict[str, float], by: Sequence[str] = (), accuracy: int = ACCURACY
+) -> DataFrame:
     """Exact linearly interpolated quantiles as one row per group, one column per name in ``probs``.
 
-    Works on counted distinct values and their running totals, so no group is held in one buffer.
+    Two scans: a mergeable summary brackets each rank, then values below a bracket are counted and the ones inside
+    are ordered, after ties have become one row. What is ordered is a few parts in ``accuracy`` of the values at any
+    size; a group small enough to be its own bracket has fewer than BRACKET times ``accuracy`` of them.
     """
-    counted = running_totals(value_counts(df, value, by), [value], ["n"], by)
-    groups = counted.groupBy(*by).agg(F.sum("n").alias("total__"))
-    joined = sized_join(counted, groups, by) if by else counted.withColumn("total__", groups.scalar())
+    names, ps = list(probs), [float(p) for p in probs.values()]
+    present = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("value__"))
+    summary = checkpointed(_brackets(present, "value__", ps, by, accuracy))
+    if by:
+        joined = sized_join(present, summary, by)
+    else:
+        joined = present.withColumn("brackets__", summary.select("brackets__").scalar())
+    # A value is nothing to a bracket below it, a count (null) to one above it, and a member of one around it.
+    slots = []
+    for slot in range(len(ps)):
+        low, high = (F.col("brackets__")[slot][end] for end in ("lo", "hi"))
+        member = F.when(F.col("value__") >= low, F.col("value__"))
+        slots.append(F.when(F.col("value__") <= high, F.struct(F.lit(slot).alias("slot__"), member.alias("member__"))))
+    parts = joined.select(*by, F.explode(F.array(*slots)).alias("x")).where("x is not null")
+    members = parts.groupBy(*by, "x.slot__", "x.member__").agg(F.count(F.lit(1)).alias("n"))
+    ordered = running_totals(members, ["member__"], ["n"], [*by, "slot__"])  # the count, a null, comes first
+    totals = summary.select(*by, "total__")
+    ranked = sized_join(ordered, totals, by) if by else ordered.withColumn("total__", totals.scalar())
     picked = []
-    for name, p in probs.items():
-        rank = (F.col("total__") - 1) * F.lit(float(p))
+    for slot, (name, p) in enumerate(zip(names, ps)):
+        rank = (F.col("total__") - 1) * F.lit(p)
         for suffix, at in (("lo", F.floor(rank)), ("hi", F.ceil(rank))):
-            holds = (F.col("n_before") <= at) & (at < F.col("n_before") + F.col("n"))
-            picked.append(F.max(F.when(holds, F.col(value).cast("double"))).alias(f"{name}__{suffix}"))
-    ends = joined.groupBy(*by).agg(F.max("total__").alias("total__"), *picked)
+            holds = (F.col("slot__") == slot) & (F.col("n_before") <= at) & (at < F.col("n_before") + F.col("n"))
+            picked.append(F.max(F.when(holds, F.col("member__"))).alias(f"{name}__{suffix}"))
+    ends = ranked.groupBy(*by).agg(F.max("total__").alias("total__"), *picked)
     result = []
-    for name, p in probs.items():
-        rank = (F.col("total__") - 1) * F.lit(float(p))
+    for name, p in zip(names, ps):
+        rank = (F.col("total__") - 1) * F.lit(p)
         low, high = F.col(f"{name}__lo"), F.col(f"{name}__hi")
-        result.append((low + (high - low) * (rank - F.floor(rank))).alias(name))
+        missed = F.col("total__").isNotNull() & (low.isNull() | high.isNull())
+        error = F.raise_error(F.lit(f"the rank of {name} is outside its bracket")).cast("double")
+        result.append(F.when(missed, error).otherwise(low + (high - low) * (rank - F.floor(rank))).alias(name))
     return ends.select(*by, *result)
 
 

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from creditloom.functions import columns as C
 from creditloom.operators.grouped import Look, Spec, Window, grouped_features, window_features
+from creditloom.sources import layout
 
 KEY = "sk_id_curr"
 
@@ -377,18 +378,32 @@ def assemble(app: DataFrame, features: list[DataFrame]) -> DataFrame:
     return result
 
 
+def feature_families(tables: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
+    """The applicants and every family of features, one row per applicant each."""
+    return {
+        "app": derive_app(tables["app"]),
+        "prev": prev_features(tables["prev"]),
+        "bureau": bureau_features(tables["bureau"], tables["bureau_bal"]),
+        "pos": pos_features(tables["pos"]),
+        "inst": inst_features(tables["inst"]),
+        "card": card_features(tables["card"]),
+    }
+
+
 def feature_table(tables: Mapping[str, DataFrame]) -> DataFrame:
     """The whole applicant feature table before encoding."""
-    return assemble(
-        derive_app(tables["app"]),
-        [
-            prev_features(tables["prev"]),
-            bureau_features(tables["bureau"], tables["bureau_bal"]),
-            pos_features(tables["pos"]),
-            inst_features(tables["inst"]),
-            card_features(tables["card"]),
-        ],
-    )
+    app, *features = feature_families(tables).values()
+    return assemble(app, features)
+
+
+def store_features(tables: Mapping[str, DataFrame], folder: str, buckets: int | None = None) -> None:
+    """Compute every family once and store it by applicant."""
+    layout.store_families(feature_families(tables), folder, KEY, buckets)
+
+
+def stored_feature_table(spark: SparkSession, folder: str) -> DataFrame:
+    """The feature table from the stored families, in the order of :func:`feature_table`, without an exchange."""
+    return layout.merged(spark, folder, "app", KEY, ["prev", "bureau", "pos", "inst", "card"])
 
 
 def single_window(df: DataFrame, spec: Spec, window: Window, derive) -> DataFrame:

@@ -157,12 +157,11 @@ def label_box(df: DataFrame, label: str, column: str) -> DataFrame:
     boxes = quantiles(df, column, probs, [label])
     spread = F.lit(1.5) * (F.col("q75") - F.col("q25"))
     fenced = boxes.withColumns({"lower_fence": F.col("q25") - spread, "upper_fence": F.col("q75") + spread})
-    counted = value_counts(df, column, [label])
     beyond = (F.col(column) < F.col("lower_fence")) | (F.col(column) > F.col("upper_fence"))
     outside = (
-        sized_join(counted, fenced.select(label, "lower_fence", "upper_fence"), label)
+        sized_join(df.where(F.col(column).isNotNull()).select(label, column), fenced.select(label, "lower_fence", "upper_fence"), label)
         .groupBy(label)
-        .agg(F.sum(F.when(beyond, F.col("n")).otherwise(0)).alias("outliers"))
+        .agg(F.count_if(beyond).alias("outliers"))
     )
     return fenced.join(outside, label, "left")
 

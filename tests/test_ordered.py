@@ -39,6 +39,33 @@ def test_quantiles_equal_numpy(spark, p):
     assert O.quantiles(df, "o", {"q": p}).first().q == pytest.approx(np.percentile(values, p * 100))
 
 
+@pytest.mark.parametrize("accuracy", [20, 60])
+def test_quantiles_from_brackets(spark, accuracy):
+    """Groups large enough for brackets of their own, ties on the ranks, extreme values, and a small and an empty group."""
+    rng = np.random.default_rng(accuracy)
+    groups = {"wide": rng.normal(size=4000), "ties": rng.integers(0, 3, 3000) * 1.0, "one": np.full(2500, 7.0),
+              "few": rng.normal(size=5), "far": np.concatenate([rng.normal(size=1500), [1e300, -1e300]])}
+    data = [(g, float(v)) for g, values in groups.items() for v in values] + [("few", None), ("empty", None)]
+    df = spark.createDataFrame(data, "g string, v double").repartition(7)
+    probs = {"low": 0.0, "q10": 0.1, "q50": 0.5, "q77": 0.77, "high": 1.0}
+    got = {r.g: [r[n] for n in probs] for r in O.quantiles(df, "v", probs, ["g"], accuracy).collect()}
+    assert set(got) == set(groups)
+    for g, values in groups.items():
+        assert got[g] == pytest.approx(np.quantile(values, list(probs.values())), rel=1e-12)
+    wide = df.where("g = 'wide'")
+    assert O.quantiles(wide, "v", {"q": 0.3}, accuracy=accuracy).first().q == pytest.approx(np.quantile(groups["wide"], 0.3))
+    assert O.quantiles(df.where("v is null"), "v", {"q": 0.3}).collect() == [(None,)]
+
+
+def test_only_bracket_members_are_ordered(spark, monkeypatch):
+    seen = []
+    whole = O.running_totals
+    monkeypatch.setattr(O, "running_totals", lambda df, *more: seen.append(df.count()) or whole(df, *more))
+    df = spark.range(50_000).select((F.col("id") * 7919 % 50_000).alias("v"))
+    assert O.quantiles(df, "v", {"q": 0.5}, accuracy=500).first().q == 24999.5
+    assert seen[0] < 50_000 * 2 * (O.BRACKET + 2) / 500
+
+
 def test_lookup_join_equals_plain_join(spark):
     df = skewed(spark).withColumn("k", F.when(F.col("id") % 10 != 1, F.col("k")))
     lookup = spark.range(0, 12).select(F.col("id").alias("k"), (F.col("id") * 2).alias("twice"))

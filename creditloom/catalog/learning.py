@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from creditloom.catalog.base import Catalog, rounded
+from creditloom.catalog.features import loan_tables
 from creditloom.plans import evaluate as E
 from creditloom.plans import explain as X
 from creditloom.plans import families as fam
+from creditloom.plans import jobs
 from creditloom.plans import learn as L
 from creditloom.plans import prepare as PR
+from creditloom.plans import trees as TR
 from creditloom.session import fresh_path
 from creditloom.sources import csv_tables as CSV
 from creditloom.sources import schemas, store
@@ -286,6 +289,100 @@ def logistic(v):
     return L.train("logistic", training, "sk_id_curr", "target", MODEL_FEATURES), training, validation
 
 
+# ---------------------------------------------------------------- M1, M2, X1 on the whole feature table
+VALID_SQL = f"('0x' || substr(md5(sk_id_curr || ':split{L.SEED}'), 1, 8))::BIGINT < {int(PR.VALID_SHARE * (1 << 32))}"
+
+
+def whole_table(v):
+    """The stored feature families, joined and encoded: training rows, validation rows, model columns."""
+    folder = fresh_path(v.spark, "families")
+    fam.store_features(loan_tables(v), folder)
+    features = jobs.encoded(fam.stored_feature_table(v.spark, folder))
+    training, validation = PR.split(features, jobs.KEY)
+    roles = PR.choose_roles(training, (jobs.KEY, jobs.LABEL))
+    return training, validation, [*roles.numeric, *roles.categorical]
+
+
+def whole_model(v, name: str):
+    training, validation, columns = whole_table(v)
+    # The logistic model is fitted to the end, so that its gradient can be held against zero.
+    settings = {"maxIter": 1000, "tol": 1e-12} if name == "logistic" else {}
+    return L.train(name, training, jobs.KEY, jobs.LABEL, columns, **settings), training, validation
+
+
+def certificate(v, name: str):
+    """What the training rows say about the model: one row per property, how far it is off (rounded), and the rows."""
+    fitted, training, _ = whole_model(v, name)
+    if name == "logistic":
+        found = TR.logistic_certificate(fitted, training)
+    else:
+        found = TR.tree_certificate(TR.read_forest(fitted, training), training)
+    off = F.inline(F.array(*[F.struct(F.lit(k).alias("property"), (F.round(F.lit(x), 5) + F.lit(0.0)).alias("off")) for k, x in found.items()]))
+    return training.agg(F.count(F.lit(1)).alias("n_train"), F.sum(jobs.LABEL).alias("positives")).select(
+        F.lit(name).alias("model"), "n_train", "positives", off)
+
+
+PROPERTIES = {"logistic": ["gradient", "excess"], **dict.fromkeys(["tree", "forest", "boosted"], ["statistics", "gain", "better"])}
+for _name, _properties in PROPERTIES.items():
+    catalog.add(
+        f"m1_certified_{_name}", lambda v, name=_name: certificate(v, name),
+        f"""SELECT '{_name}' AS model, count(*) AS n_train, CAST(sum(target) AS BIGINT) AS positives,
+  unnest({_properties}) AS property, CAST(0 AS DOUBLE) AS off FROM app WHERE NOT ({VALID_SQL})""",
+    )
+
+
+def recomputed_scores(v, name: str):
+    """Every validation row's score from the model's own tables, less the model's score (rounded)."""
+    fitted, training, validation = whole_model(v, name)
+    if name == "network":
+        own = TR.network_scores(fitted, validation)
+    else:
+        own = TR.margins(TR.read_forest(fitted, training), validation).drop(jobs.LABEL)
+    scores = fitted.score(validation).withColumnRenamed("score", "theirs")
+    gap = F.round(F.col("score") - F.col("theirs"), 9) + F.lit(0.0)
+    return own.join(scores, jobs.KEY).select(jobs.KEY, jobs.LABEL, gap.alias("gap"))
+
+
+for _name in ("forest", "boosted", "network"):
+    catalog.add(
+        f"m2_recomputed_{_name}", lambda v, name=_name: recomputed_scores(v, name),
+        f"SELECT sk_id_curr, target, CAST(0 AS DOUBLE) AS gap FROM app WHERE {VALID_SQL}",
+    )
+
+
+def tree_additivity(v):
+    """Exact Shapley values of a boosted model: their sum, with the expected margin, less the model's margin."""
+    fitted, training, validation = whole_model(v, "boosted")
+    forest = TR.read_forest(fitted, training)
+    sums = TR.attributions(forest, validation).groupBy(F.col("sk_id").alias(jobs.KEY)).agg(F.sum("value").alias("total"))
+    score = F.col("score")
+    margin = fitted.score(validation).select(jobs.KEY, (F.log(score / (1 - score)) / 2).alias("margin"))
+    gap = F.round(F.col("total") + F.lit(forest.base) - F.col("margin"), 6) + F.lit(0.0)
+    return sums.join(margin, jobs.KEY).select(jobs.KEY, gap.alias("gap"))
+
+
+catalog.add(
+    "x1_tree_attributions",
+    lambda v: (lambda fitted, training, validation: TR.attributions(TR.read_forest(fitted, training), validation))(*whole_model(v, "boosted")),
+)
+catalog.add(
+    "x1_tree_additivity", tree_additivity, f"SELECT sk_id_curr, CAST(0 AS DOUBLE) AS gap FROM app WHERE {VALID_SQL}")
+
+
+def train_and_explain(v):
+    """Both end-to-end jobs over all seven tables: the features that explain each validation applicant."""
+    folder = fresh_path(v.spark, "job")
+    jobs.train_run(loan_tables(v), folder, "r", 5, jobs.Options(restarts=2))
+    return jobs.explain_run(v.spark, folder, "r", 5)["explanations"]
+
+
+catalog.add(
+    "x4_explained_applicants",
+    lambda v: train_and_explain(v).groupBy("sk_id").agg(F.count(F.lit(1)).alias("features"), F.max("rank").alias("last")),
+    f"SELECT sk_id_curr AS sk_id, CAST(5 AS BIGINT) AS features, 5 AS last FROM app WHERE {VALID_SQL}",
+)
+
+
 def batch_scores(v):
     fitted, _, _ = logistic(v)
     return fitted.score(model_rows(v))

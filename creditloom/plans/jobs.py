@@ -32,7 +32,11 @@ def encoded_features(tables: Mapping[str, DataFrame], options: Options = Options
 
     Codes come from the training part; a value that only the validation part has becomes null.
     """
-    features = checkpointed(families.feature_table(tables))
+    return encoded(checkpointed(families.feature_table(tables)), options)
+
+
+def encoded(features: DataFrame, options: Options = Options()) -> DataFrame:
+    """A feature table that is stored, with its text columns as codes from the training part, checkpointed."""
     texts = [name for name, kind in features.dtypes if kind == "string"]
     training, _ = prepare.split(features, KEY, options.valid_share, options.seed)
     return checkpointed(prepare.factorise(training, texts).apply(features)) if texts else features

@@ -169,9 +169,13 @@ def rebalance(df: DataFrame, key: str, label: str, features: Sequence[str], grou
 
 
 # ---------------------------------------------------------------- classifiers
-def classifier(name: str, width: int, seed: int = SEED):
-    """An unfitted two-class model by short name."""
+def classifier(name: str, width: int, seed: int = SEED, **settings):
+    """An unfitted two-class model by short name; ``settings`` replace its parameters."""
     columns = {"featuresCol": "features", "labelCol": "label__"}
+    return _classifier(name, width, seed, columns).copy().setParams(**settings)
+
+
+def _classifier(name: str, width: int, seed: int, columns: dict):
     if name == "logistic":
         return LogisticRegression(maxIter=50, regParam=0.001, **columns)
     if name == "tree":
@@ -207,13 +211,15 @@ class Fitted:
         return scored.select(self.key, self.label, vector_to_array("probability")[1].alias("score"))
 
 
-def train(name: str, rows: DataFrame, key: str, label: str, features: Sequence[str], seed: int = SEED) -> Fitted:
-    """Scale on the training rows only, then fit."""
+def train(
+    name: str, rows: DataFrame, key: str, label: str, features: Sequence[str], seed: int = SEED, **settings
+) -> Fitted:
+    """Scale on the training rows only, then fit; ``settings`` replace parameters of the model."""
     scaler = fit_minmax(rows, features)
     unfitted = Fitted(None, scaler, list(features), key, label)
     prepared = unfitted.prepare(rows).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        model = classifier(name, len(features), seed).fit(prepared)
+        model = classifier(name, len(features), seed, **settings).fit(prepared)
     finally:
         prepared.unpersist()
     return Fitted(model, scaler, list(features), key, label)

@@ -258,6 +258,36 @@ catalog.add(
     "SELECT sk_id_curr, true AS in_range FROM app",
 )
 catalog.add("t7_clusters", lambda v: L.cluster_rows(v.app, "sk_id_curr", ROW_FEATURES, clusters=100, restarts=10))
+
+
+def nearest_centres(v):
+    """How much nearer than its own a row's nearest centre is (rounded), by distances computed apart from the job."""
+    table = projected(v)
+    found = L.fit_clusters(table, "projected", 20, 3)
+    x = L.vector_to_array("projected")
+    rows = table.select("sk_id_curr", x.alias("x")).join(found.assign(table, "sk_id_curr"), "sk_id_curr")
+    centres = F.array(*[F.array(*map(F.lit, map(float, c))) for c in found.centres])
+    far = F.transform(centres, lambda c: F.aggregate(F.zip_with("x", c, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, d: s + d))
+    gap = F.element_at(far, F.col("cluster") + 1) / F.array_min(far)
+    return rows.select("sk_id_curr", (F.round(gap - 1, 6) + F.lit(0.0)).alias("gap"))
+
+
+catalog.add("t7_nearest_centres", nearest_centres, "SELECT sk_id_curr, CAST(0 AS DOUBLE) AS gap FROM app")
+
+
+def joint_starts(v):
+    """Costs of three starts that advance together less those of each start alone (relative, rounded), and the best one's."""
+    table = projected(v).persist()
+    together = L.fit_clusters(table, "projected", 20, 3)
+    alone = [L.fit_clusters(table, "projected", 20, 1, L.SEED + i).trainingCost for i in range(3)]
+    rows = [(i, round(a / b - 1, 6) + 0.0, together.trainingCost <= b * (1 + 1e-9)) for i, (a, b) in enumerate(zip(together.costs, alone))]
+    found = v.spark.createDataFrame(rows, "start int, gap double, not_above boolean")
+    return found.withColumn("n", table.agg(F.count(F.lit(1))).scalar())
+
+
+catalog.add(
+    "t7_joint_starts", joint_starts,
+    "SELECT count(*) AS n, CAST(unnest([0, 1, 2]) AS INTEGER) AS start, CAST(0 AS DOUBLE) AS gap, true AS not_above FROM app")
 SMOTE_FEATURES = ["amt_income_total", "amt_credit", "amt_annuity", "days_birth"]
 
 

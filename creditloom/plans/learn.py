@@ -14,7 +14,6 @@ from pyspark.ml.classification import (
     MultilayerPerceptronClassifier,
     RandomForestClassifier,
 )
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
@@ -25,6 +24,7 @@ from creditloom.operators.joins import lookup_join
 from creditloom.operators.ordered import positions
 from creditloom.operators.pairs import nearest_neighbours
 from creditloom.plans import evaluate
+from creditloom.plans.clusters import Clusters, fit_starts
 from creditloom.plans.prepare import MinMaxScaler, fit_minmax, split
 from creditloom.session import checkpointed
 
@@ -77,17 +77,11 @@ def plane(nodes: DataFrame, key: str, vector: str, dim: int) -> DataFrame:
 
 
 # ---------------------------------------------------------------- clusters
-def fit_clusters(df: DataFrame, vector: str, clusters: int = MAX_CLUSTERS, restarts: int = RESTARTS, seed: int = SEED):
-    """K-means with the lowest cost of several starts."""
-    cached = df.select(vector).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        k = max(2, min(clusters, cached.count() - 1))
-        models = [
-            KMeans(k=k, featuresCol=vector, predictionCol="cluster", seed=seed + i).fit(cached) for i in range(restarts)
-        ]
-    finally:
-        cached.unpersist()
-    return min(models, key=lambda model: model.summary.trainingCost)
+def fit_clusters(
+    df: DataFrame, vector: str, clusters: int = MAX_CLUSTERS, restarts: int = RESTARTS, seed: int = SEED
+) -> Clusters:
+    """K-means with the lowest cost of several starts, which advance together."""
+    return fit_starts(df, vector, clusters, restarts, seed)
 
 
 def cluster_rows(
@@ -96,7 +90,7 @@ def cluster_rows(
     """(key, cluster) after projecting the features on their principal components."""
     table = assemble_vector(df, features).select(key, "features")
     projected = fit_projection(table, "features", len(features)).apply(table)
-    return fit_clusters(projected, "projected", clusters, restarts, seed).transform(projected).select(key, "cluster")
+    return fit_clusters(projected, "projected", clusters, restarts, seed).assign(projected, key)
 
 
 # ---------------------------------------------------------------- synthetic minority rows

@@ -243,6 +243,38 @@ catalog.add(
 )
 
 
+def projected_lengths(v):
+    """Distance of every row from the mean, from all its coordinates (as a rounded logarithm)."""
+    table = app_vectors(v)
+    whole = L.fit_projection(table, "features", len(ROW_FEATURES), len(ROW_FEATURES)).apply(table)
+    square = F.aggregate(L.vector_to_array("projected"), F.lit(0.0), lambda s, x: s + x * x)
+    return whole.select("sk_id_curr", F.round(F.log(1 + square), 6).alias("distance"))
+
+
+_filled = [f"coalesce(CAST({c} AS DOUBLE), 0)" for c in ROW_FEATURES]
+catalog.add(
+    "t6_distances", projected_lengths,
+    "WITH m AS (SELECT " + ", ".join(f"avg({x}) AS m{i}" for i, x in enumerate(_filled)) + """ FROM app)
+SELECT sk_id_curr, round(ln(1 + """ + " + ".join(f"pow({x} - m{i}, 2)" for i, x in enumerate(_filled)) + "), 6) AS distance FROM app, m",
+)
+
+
+def component_moments(v):
+    """Components whose mean or covariance with another isn't 0, or whose variance exceeds the one before (all rounded)."""
+    pieces = projected(v).withColumn("p", L.vector_to_array("projected"))
+    parts = [F.col("p")[i] for i in range(5)]
+    row = pieces.agg(
+        *[F.avg(p).alias(f"mean{i}") for i, p in enumerate(parts)], *[F.var_pop(p).alias(f"var{i}") for i, p in enumerate(parts)],
+        *[F.corr(parts[i], parts[j]).alias(f"corr{i}_{j}") for i in range(5) for j in range(i)], F.count(F.lit(1)).alias("n")).first()
+    off = sum(abs(row[f"mean{i}"]) > 1e-6 * row["var0"] ** 0.5 for i in range(5))
+    off += sum(abs(row[f"corr{i}_{j}"]) > 1e-6 for i in range(5) for j in range(i))
+    off += sum(row[f"var{i}"] > row[f"var{i - 1}"] for i in range(1, 5))
+    return v.spark.createDataFrame([(row["n"], off)], "n long, off int")
+
+
+catalog.add("t6_component_moments", component_moments, "SELECT count(*) AS n, 0 AS off FROM app")
+
+
 def full_projection(v):
     """With as many components as features nothing is lost."""
     table = app_vectors(v)
@@ -299,6 +331,34 @@ def rebalanced(v):
 
 catalog.add("t8_synthetic_rows", rebalanced)
 
+
+def synthetic_flags(v):
+    """Synthetic rows in all, and those off their segment, between two clusters, without another label, or with a key that repeats."""
+    clusters = L.cluster_rows(v.app, "sk_id_curr", SMOTE_FEATURES, 8, 1)
+    made = L.synthesise(v.app.join(clusters, "sk_id_curr"), "sk_id_curr", "target", SMOTE_FEATURES, "cluster")
+    filled = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in SMOTE_FEATURES]
+    ends = v.app.select("sk_id_curr", "target", F.array(*filled).alias("point")).join(clusters, "sk_id_curr")
+    base, partner = (ends.select(F.col("sk_id_curr").alias(n), *[F.col(c).alias(f"{n}_{c}") for c in ("target", "point", "cluster")])
+                     for n in ("base", "partner"))
+    both = made.join(base, "base").join(partner, "partner").withColumn("point", F.array(*SMOTE_FEATURES))
+    # On the segment: the distances to its ends add up to its length.
+    length = lambda a, b: F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, d: s + d))
+    whole = length("base_point", "partner_point")
+    off = length("base_point", "point") + length("point", "partner_point") > whole * (1 + 1e-9) + 1e-6
+    return both.agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(off).alias("off_segment"),
+        F.count_if(F.col("base_cluster") != F.col("partner_cluster")).alias("two_clusters"),
+        F.count_if((F.col("base_target") != 1) | (F.col("partner_target") != 1) | (F.col("target") != 1)).alias("other_label"),
+        (F.count(F.lit(1)) - F.count_distinct("sk_id_curr")).alias("repeated_keys"),
+    )
+
+
+catalog.add(
+    "t8_synthetic_flags", synthetic_flags,
+    f"""SELECT CAST(greatest(0, round({L.MINORITY_RATIO} * count(*) FILTER (WHERE target <> 1)) - count(*) FILTER (WHERE target = 1)) AS BIGINT) AS n,
+  CAST(0 AS BIGINT) AS off_segment, CAST(0 AS BIGINT) AS two_clusters, CAST(0 AS BIGINT) AS other_label, CAST(0 AS BIGINT) AS repeated_keys FROM app""",
+)
+
 # ---------------------------------------------------------------- M, E6, X1, X6
 MODEL_FEATURES = [*APP_FEATURES, "apps_ext_source_mean", "apps_annuity_income_ratio", "apps_credit_income_ratio"]
 
@@ -477,6 +537,21 @@ def node_plane(v):
 
 
 catalog.add("x6_plane_with_tiers", node_plane)
+
+
+def plane_moments(v):
+    """The plane's coordinates: means and correlation (rounded), and whether they spread more than any one dimension."""
+    flat = L.plane(v.nodes, "sk_id", "embedding", DIM)
+    row = flat.agg(F.count(F.lit(1)).alias("n"), *[(F.round(m, 6) + F.lit(0.0)).alias(a) for a, m in (
+        ("mean_x", F.avg("x")), ("mean_y", F.avg("y")), ("correlation", F.corr("x", "y")))], F.var_pop("x").alias("spread"))
+    widest = v.nodes.select(F.posexplode("embedding").alias("d", "e")).groupBy("d").agg(F.var_pop("e").alias("w")).agg(F.max("w"))
+    return row.withColumn("narrow", F.col("spread") < widest.scalar()).drop("spread")
+
+
+catalog.add(
+    "x6_plane_moments", plane_moments,
+    "SELECT count(*) AS n, CAST(0 AS DOUBLE) AS mean_x, CAST(0 AS DOUBLE) AS mean_y, CAST(0 AS DOUBLE) AS correlation, false AS narrow FROM nodes",
+)
 catalog.add(
     "x6_tiers_of_the_plane", lambda v: node_plane(v).select("sk_id", "risk_level"),
     """WITH s AS (SELECT sk_id, CAST(sk_id * 7919 % 1000 AS DOUBLE) / 1000 AS score FROM nodes),

@@ -108,7 +108,7 @@ def synthesise(
 
     Enough rows to reach ``ratio`` minority rows per majority row. Neighbours are those inside the
     same ``group`` (a cluster). Columns in ``copied`` (codes) take the value of the base row. Output:
-    (key, features..., copied..., label, base, partner, synthetic); keys are negative, derived from the base key.
+    (key, features..., copied..., label, base, partner, synthetic); keys are -1, -2, ..., in hash order of the base rows.
     """
     sizes = df.agg(F.count_if(F.col(label) == 1).alias("minor"), F.count_if(F.col(label) != 1).alias("major")).first()
     wanted = max(0, round(ratio * sizes["major"]) - sizes["minor"])
@@ -126,7 +126,7 @@ def synthesise(
     # Exactly ``extra`` rows get one more copy: the first ones in hash order.
     hashed = minority.select("base", C.key_hash("base", f"smote{seed}").alias("h"))
     counts = positions(hashed, ["h", "base"]).select(
-        "base", (F.lit(each) + F.when(F.col("position") < extra, 1).otherwise(0)).alias("n")
+        "base", "position", (F.lit(each) + F.when(F.col("position") < extra, 1).otherwise(0)).alias("n")
     ).where(F.col("n") > 0)
     planned = (
         minority.join(counts, "base")
@@ -141,7 +141,8 @@ def synthesise(
     mixed = lookup_join(chosen, others, "partner").withColumn("share", share).withColumn(
         "point", F.zip_with("point", "other", lambda a, b: a + F.col("share") * (b - a))
     )
-    identity = -F.conv(F.substring(F.md5(F.col("draw")), 1, 15), 16, 10).cast("bigint") - F.lit(1)
+    # The i-th copies of all minority rows are numbered one after the other, so no two rows share a number.
+    identity = -(F.col("position") + (F.col("i") - 1).cast("bigint") * F.lit(sizes["minor"]) + 1)
     return mixed.select(
         identity.alias(key),
         *[F.col("point")[i].alias(c) for i, c in enumerate(features)],

@@ -110,3 +110,21 @@ def test_sequences_chunk_and_pad(spark):
     found = {(r.k, r.chunk): (r.n_steps, r.length, r.padding, [s.x for s in r.steps])
              for r in S.sequences(df, "k", ["t"], ["x"], 2).collect()}
     assert found == {(1, 0): (2, 3, 0, [10.0, 20.0]), (1, 1): (1, 3, 0, [30.0]), (2, 0): (1, 3, 2, [90.0])}
+
+
+@pytest.mark.parametrize("bound", [1, 60, 10_000])
+def test_sequences_on_either_side_of_the_bound(spark, bound):
+    df = skewed(spark).withColumn("v", F.when(F.col("id") % 4 != 0, F.col("id"))).unionByName(
+        spark.createDataFrame([(901, None, 3, 1)], "id long, k long, o long, v long"))
+    labels = df.where("k is not null").select("k").distinct().where("k <> 5").withColumn("name", F.concat(F.lit("n"), "k"))
+    got = S.sequences(df, "k", ["o", "id"], ["v", "id"], 7, labels, bound).collect()
+    whole = {}
+    for r in df.where("k is not null and k <> 5").orderBy("o", "id").collect():
+        whole.setdefault(r.k, []).append((r.v, r.id))
+    most = max(map(len, whole.values()))
+    want = {(k, c): (f"n{k}", [(c * 7 + i, *x) for i, x in enumerate(rows_[c * 7:c * 7 + 7])], most, most - len(rows_) if (c + 1) * 7 >= len(rows_) else 0)
+            for k, rows_ in whole.items() for c in range(-(-len(rows_) // 7))}
+    assert {(r.k, r.chunk): (r.name, [tuple(s) for s in r.steps], r.length, r.padding) for r in got} == want
+    assert all(r.n_steps == len(r.steps) for r in got)
+    none = S.sequences(df.where("id < 0"), "k", ["o"], ["v"], 7, bound=bound)
+    assert none.collect() == [] and dict(none.dtypes)["n_steps"] == "bigint"

@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 # is less; at most 1/share keys can be.
 HOT_SHARE = 0.002
 PART_OF_PARTITION = 0.25
+# Counters of a summary for each key that a share allows, the types of keys it takes, and its limits.
+SUMMARY = 16
+SUMMARISED = ("boolean", "byte", "short", "integer", "long", "float", "double", "date", "timestamp", "string")
+MOST_COUNTERS, MOST_LISTED = 1_000_000, 100_000
 # Salts of a hot key whose share isn't known, and of rows without a key.
 SALTS = 64
 # Largest lookup that is broadcast.
@@ -29,12 +33,31 @@ def hot_share(df: DataFrame) -> float:
     return min(HOT_SHARE, PART_OF_PARTITION / partitions(df))
 
 
+def key_counts(df: DataFrame, keys: Sequence[str], share: float) -> DataFrame:
+    """(keys..., n__, total__) of every key that owns more than ``share`` of the rows, and of some that own less.
+
+    One key column of a plain type goes through a mergeable summary of counters, so that each task sends its counters
+    and not its keys: with SUMMARY / share of them a count is off by less than half the share, and no key above it is missed.
+    Other keys are counted one by one.
+    """
+    single = keys[0] if len(keys) == 1 else None
+    if single is None or df.schema[single].dataType.typeName() not in SUMMARISED or SUMMARY / share > MOST_COUNTERS:
+        counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n__"))
+        return counts.withColumn("total__", counts.agg(F.sum("n__")).scalar()).dropna(subset=list(keys))
+    counters = int(SUMMARY / share)
+    named = df.select(F.col(single).alias("key__"))
+    summary = named.agg(
+        F.count(F.lit(1)).alias("total__"), F.expr(f"approx_top_k(key__, {min(counters, MOST_LISTED)}, {counters})").alias("top__"))
+    each = summary.select("total__", F.inline("top__").alias("item__", "n__"))
+    return each.select(F.col("item__").alias(single), "n__", "total__").dropna(subset=[single])
+
+
 def salted_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Hot keys with ``salts__``: enough that a salt's rows are about PART_OF_PARTITION of a partition's part."""
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n__"))
-    share = F.col("n__") / counts.agg(F.sum("n__")).scalar()
+    counts, limit = key_counts(df, keys, hot_share(df)), hot_share(df) / 2
+    share = F.col("n__") / F.col("total__")
     salts = F.ceil(share * F.lit(partitions(df) / PART_OF_PARTITION)).cast("int") + 1
-    return counts.where(share > F.lit(hot_share(df))).withColumn("salts__", salts).drop("n__").dropna()
+    return counts.where(share > F.lit(limit)).select(*keys, salts.alias("salts__"))
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], share: float = HOT_SHARE) -> DataFrame:

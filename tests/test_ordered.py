@@ -81,6 +81,33 @@ def test_sized_join_beyond_the_limit(spark, monkeypatch):
     assert not J._is_small(lookup) and rows(J.sized_join(df, lookup, "k"), "id", "t") == small
 
 
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_no_hot_key_is_missed(spark, kind):
+    """Keys of falling frequency over many cold ones, in unfavourable order; keys are not exchanged to be counted."""
+    rng = np.random.default_rng(12)
+    keys = np.concatenate([np.repeat(np.arange(60), 4000 // np.arange(1, 61)), np.arange(1000, 40000)])
+    shuffled = np.concatenate([keys[keys >= 1000], rng.permutation(keys)])
+    df = spark.createDataFrame([(int(k),) for k in shuffled] + [(None,)] * 3000, "k long").select(F.col("k").cast(kind)).repartition(9)
+    n, share = len(shuffled) + 3000, 0.002
+    counts = dict(zip(*np.unique(shuffled, return_counts=True)))
+    found = J.key_counts(df, ["k"], share)
+    got = {int(r.k): r.n__ for r in found.collect()}
+    for k, count in counts.items():
+        if count > share * n:
+            assert abs(got[k] - count) < share * n / 2
+    assert all(abs(count - counts[k]) < share * n / 2 for k, count in got.items())
+    assert "hashpartitioning(k" not in found._jdf.queryExecution().executedPlan().toString()
+    salted = {int(r.k) for r in J.salted_keys(df, ["k"]).collect()}
+    assert salted >= {k for k, count in counts.items() if count > share * n}
+    assert salted <= {k for k, count in counts.items() if count > share * n / 4}
+
+
+def test_keys_of_other_types_are_counted(spark):
+    df = spark.range(300).select(F.array((F.col("id") % 3)).alias("k"), (F.col("id") % 2).alias("l"))
+    assert {tuple(r.k): (r.n__, r.total__) for r in J.key_counts(df, ["k"], 0.1).collect()} == {(i,): (100, 300) for i in range(3)}
+    assert {(tuple(r.k), r.l): r.n__ for r in J.key_counts(df, ["k", "l"], 0.1).collect()} == {((i,), j): 50 for i in range(3) for j in range(2)}
+
+
 def test_hot_keys_are_few(spark):
     assert rows(J.hot_keys(skewed(spark), ["k"], 0.3)) == [(0,)]
 

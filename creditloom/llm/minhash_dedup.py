@@ -13,7 +13,8 @@ verified on the exact similarity of their bags, and classes are the components o
 2. Of the bands that still hold several classes, every document gets the share m of its bag that no other document
    left holds. With r = m / (1 - m), a pair's similarity is at most 1 / (1 + r + r'), so documents with r above
    1 / similarity - 1 have no link, and the centre is now the document with the least r, often the original.
-3. Pairs left across classes are compared, spread over blocks, but for those that a bound rules out: the one above;
+3. Pairs left across classes are compared inside tasks that hold two blocks of a band with their bags; only links that
+   join classes come out. Not compared are those that a bound rules out: the one above;
    for two documents with one centre, the triangle inequality (one minus the chance of equal registers is a metric);
    and for two of them without repeated shingles, that they can only share what each shares with the centre, and
    shingles outside of it that are not one document's own.
@@ -32,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -97,10 +99,21 @@ def band_keys(registers: np.ndarray, bands: int = BANDS) -> np.ndarray:
     return mix(out)
 
 
+Counted = tuple[np.ndarray, np.ndarray]
+
+
+def counted(bag: bytes) -> Counted:
+    """Distinct shingles of a bag (sorted 32-bit shingles with repeats) and how often each occurs."""
+    return np.unique(np.frombuffer(bag, np.uint32), return_counts=True)
+
+
 def similarity(a: bytes, b: bytes) -> tuple[float, int]:
-    """Probability Jaccard similarity of two bags (sorted 32-bit shingles with repeats), and the number of shared shingles."""
-    x, p = np.unique(np.frombuffer(a, np.uint32), return_counts=True)
-    y, q = np.unique(np.frombuffer(b, np.uint32), return_counts=True)
+    """Probability Jaccard similarity of two bags, and the number of shared shingles."""
+    return similarity_of(counted(a), counted(b))
+
+
+def similarity_of(a: Counted, b: Counted) -> tuple[float, int]:
+    (x, p), (y, q) = a, b
     _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
     if not len(i):
         return 0.0, 0
@@ -202,28 +215,67 @@ def _pairs(centred: DataFrame) -> DataFrame:
     return centred.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
 
 
-def _block_pairs(rows: DataFrame, least: float) -> DataFrame:
-    """Pairs across classes that no bound rules out: members of a band meet block by block, so no task holds a band.
+def _possible(t: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, least: float) -> np.ndarray:
+    """Which of the pairs (i, j) of rows no bound rules out."""
+    shared = np.minimum(t["both"][i], t["both"][j]) + np.minimum(t["outside"][i], t["outside"][j])
+    enough = ~(t["plain"][i] & t["plain"][j]) | (shared * (1 + least) >= least * (t["n"][i] + t["n"][j]) - SLACK)
+    apart = np.abs(t["s"][i] - t["s"][j])
+    one_centre = t["centred"][i] & t["centred"][j] & (t["centre"][i] == t["centre"][j])
+    near = ~one_centre | (apart <= 1 - least + SLACK) & enough
+    return (t["label"][i] != t["label"][j]) & (t["r"][i] + t["r"][j] <= 1 / least - 1 + SLACK) & near
+
+
+def _block_links(rows: DataFrame, bag: DataFrame, least: float) -> DataFrame:
+    """Verified links (a, b) between the classes that meet in a band; members meet block by block, so no task holds a band.
+
+    Two blocks of about BLOCK members come together with their bags. Pairs that no bound rules out are verified in the
+    task, but for those whose classes its own links have joined already, so at most one link less than there are members
+    comes out of two blocks. A pair with several bands in common is looked at in the least of them.
 
     rows: band, node, label, members, r, n, own and plain as in own_shares, centre, s and both (similarity to the centre
     and shingles shared with it; the three are null without one).
     """
+
+    def work(table: pa.Table) -> pa.Table:
+        t = {c: table[c].to_numpy(zero_copy_only=False) for c in ("band", "node", "label", "block", "r", "n", "plain")}
+        t["centred"] = pc.is_valid(table["centre"]).to_numpy(zero_copy_only=False)
+        for c in ("centre", "s", "both", "outside"):
+            t[c] = pc.fill_null(table[c], 0).to_numpy(zero_copy_only=False)
+        i, j = np.triu_indices(table.num_rows, 1)
+        if len(set(t["block"].tolist())) > 1:  # within a block they meet when it is alone
+            across = t["block"][i] != t["block"][j]
+            i, j = i[across], j[across]
+        elif table["i"][0] != table["j"][0]:
+            i, j = i[:0], j[:0]
+        able = _possible(t, i, j, least)
+        i, j = i[able], j[able]
+        bands = [frozenset(x) for x in table["held"].to_pylist()] if len(i) else []
+        bags = {x: counted(table["bag"][x].as_py()) for x in np.unique(np.concatenate([i, j])).tolist()}
+        band, parent, out = t["band"][0] if len(i) else None, {}, []
+
+        def root(x: int) -> int:
+            while (up := parent.setdefault(x, x)) != x:
+                parent[x] = up = parent[up]
+                x = up
+            return x
+
+        for x, y in zip(i.tolist(), j.tolist()):
+            one, other = root(int(t["label"][x])), root(int(t["label"][y]))
+            if one == other or min(bands[x] & bands[y]) != band or similarity_of(bags[x], bags[y])[0] < least:
+                continue
+            parent[one] = other
+            out.append(sorted((int(t["node"][x]), int(t["node"][y]))))
+        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+
+    held = rows.groupBy("node").agg(F.collect_set("band").alias("held"))  # BANDS at most
     blocks = F.greatest(F.lit(1), F.ceil(F.col("members") / BLOCK)).cast("int")
-    placed = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    placed = placed.withColumn("outside", F.col("n") - F.col("both") - F.col("own"))
-    columns = ("node", "label", "r", "n", "plain", "centre", "s", "both", "outside")
-    left = placed.select("band", F.col("block").alias("i"), others.alias("j"), *[F.col(c).alias(f"{c}_a") for c in columns])
-    right = placed.select("band", F.col("block").alias("j"), others.alias("i"), *[F.col(c).alias(f"{c}_b") for c in columns])
-    shared = F.least("both_a", "both_b") + F.least("outside_a", "outside_b")
-    enough = ~(F.col("plain_a") & F.col("plain_b")) | (shared * (1 + least) >= least * (F.col("n_a") + F.col("n_b")) - SLACK)
-    apart = F.abs(F.col("s_a") - F.col("s_b"))
-    near = F.coalesce((F.col("centre_a") != F.col("centre_b")) | (apart <= 1 - least + SLACK) & enough, F.lit(True))
-    match = (
-        (left["band"] == right["band"]) & (left["i"] == right["i"]) & (left["j"] == right["j"]) & (F.col("node_a") < F.col("node_b"))
-        & (F.col("label_a") != F.col("label_b")) & (F.col("r_a") + F.col("r_b") <= 1 / least - 1 + SLACK) & near
-    )
-    return left.join(right, match).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+    placed = rows.join(held, "node").join(bag, "node").withColumn("blocks", blocks).withColumn(
+        "block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    sent = placed.withColumn("outside", F.col("n") - F.col("both") - F.col("own")).withColumn("other", other).select(
+        "band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "label", "r", "n",
+        "plain", "centre", "s", "both", "outside", "held", "bag")
+    return sent.groupBy("band", "i", "j").applyInArrow(work, "a long, b long").distinct()
 
 
 def _mixed(bands: DataFrame, labels: DataFrame) -> DataFrame:
@@ -257,7 +309,7 @@ def near_classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     known = centred.select("node", "centre", F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).join(
         scores, ["a", "b"]).select("node", "centre", "s", "both")
     rows = _mixed(rows, labels).join(shares, "node").join(known, "node", "left")
-    rest = settled(compared(_block_pairs(settled(rows), least), bag).where(F.col("s") >= least).select("a", "b"))
+    rest = settled(_block_links(settled(rows), bag, least))
     labels = settled(components(links.union(rest)))
     lowest = nodes.select("node", "at").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     names = lowest.groupBy("label").agg(F.min("at").alias("first"))

@@ -1,11 +1,13 @@
 """Passage and near-duplicate operators against brute force."""
 
 import hashlib
+import zlib
 
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 import pyarrow as pa
 from creditloom.llm import components, minhash_dedup, substring_dedup, suffix_dedup
@@ -171,11 +173,19 @@ def test_registers_estimate_similarity():
 def test_bands_with_several_classes(spark):
     """The last pairs of a band with many classes, and the components of links."""
     rng = np.random.default_rng(4)
-    rows = spark.createDataFrame([(1, i, i, 90, 0.0, 9, 0, True, None, None, None) for i in range(90)],
-                                 "band long, node long, label long, members long, r double, n long, own long, plain boolean, "
-                                 "centre long, s double, both int")
-    got = {tuple(r) for r in minhash_dedup._block_pairs(rows, 0.8).collect()}
-    assert got == {(i, j) for i in range(90) for j in range(i + 1, 90)}
+    kinds = ("band long, node long, label long, members long, r double, n long, own long, plain boolean, "
+             "centre long, s double, both int")
+    texts = {i: [f"g{i % 7}w{j}" for j in range(30)] + [f"own{i}"] * (i >= 350) * 30 for i in range(400)}  # seven groups, and 50 apart
+    bags = {i: np.array([np.uint32(zlib.crc32(w.encode())) for w in t], np.uint32) for i, t in texts.items()}
+    bag = spark.createDataFrame([(i, bytearray(np.sort(b).tobytes())) for i, b in bags.items()], "node long, bag binary")
+    rows = spark.createDataFrame([(band, i, i, 400, 0.0, len(set(texts[i])), 0, False, None, None, None) for band in (1, 2) for i in range(400)], kinds)
+    got = {tuple(r) for r in minhash_dedup._block_links(rows, bag, 0.8).collect()}
+    assert all(a < b < 350 and a % 7 == b % 7 for a, b in got)
+    joined = components.components(spark.createDataFrame(list(got), "a long, b long")).collect()
+    assert {(r.node, r.label) for r in joined} == {(i, i % 7) for i in range(350)}
+    assert len(got) < 400 * 399 / 2 / 7 / 5  # a few links for each two blocks, not all pairs
+    none = minhash_dedup._block_links(rows.withColumn("label", F.col("node") % 7).where("node < 350"), bag, 0.8)
+    assert none.count() == 0
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (200, 2))] + [(i, i + 1) for i in range(400, 460)]
     name = {}
     for a, b in edges:

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from creditloom.llm.base import bound, packed, same, settled, table, text_key, unpacked
 from creditloom.llm.words import SEPARATORS, word_array
+from creditloom.operators.joins import BROADCAST_ROWS
 
 SYMBOLS = "[#*$%&|<>]"
 MAX_DOCS, MAX_LOST = 10, 0.5
@@ -147,18 +148,28 @@ def without_frequent_lines(docs: DataFrame, host: str = "source", max_docs: int
     return unpacked(rows.join(gone, match, "left").withColumn("cut", cut), docs, F.col("cut"))
 
 
+def _base_failed(text: Column) -> Column:
+    """The base rules' verdict from the text alone."""
+    def failed(words: Column) -> Column:
+        return (F.size(words) < MIN_WORDS) | (100 * _repeated_words(words) > MAX_REPEATED * F.size(words))
+
+    return bound(word_array(text), failed)
+
+
 def keep_good(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOCS, max_lost: float = MAX_LOST,
               remove_lines: bool = False) -> DataFrame:
     """The rows of ``docs`` whose document is kept, with the columns they came with.
 
+    The base rules are applied where a text is read, and of the others only ids and keys of depleted documents come back, so
+    texts stay in their scan partitions as long as those fit a measured broadcast; beyond it they are exchanged.
     ``remove_lines``: without their boilerplate lines, as counted over all of ``docs``.
     """
-    good = settled(verdicts(docs, host, max_docs, max_lost)).where("kept").select(
-        F.col("doc_id").alias("kept_id"), F.col("text_key").alias("kept_key")
-    ).distinct()
+    gone = settled(depleted(docs, host, max_docs, max_lost).where("depleted").select(
+        F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key")).distinct())
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
     rows = packed(docs)
-    match = same(rows["doc_id"], good["kept_id"]) & (text_key(rows["text"]) == good["kept_key"])
-    kept = unpacked(rows.join(good, match, "left_semi"), docs)
+    match = same(rows["doc_id"], gone["gone_id"]) & (text_key(rows["text"]) == gone["gone_key"])
+    kept = unpacked(rows.join(gone, match, "left_anti").where(~_base_failed(F.col("text"))), docs)
     return without_frequent_lines(kept, host, max_docs, docs) if remove_lines else kept
 
 

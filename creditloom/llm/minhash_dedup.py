@@ -45,7 +45,7 @@ from creditloom.llm.words import Texts, mix, slices
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 4
 COMPONENTS = BANDS * ROWS
-BLOCK, SLACK = 64, 1e-9
+BLOCK, BLOCK_BYTES, SLACK = 256, 8 << 20, 1e-9
 ROUND = np.uint64(0xA0761D6478BD642F)  # fixed value: an odd constant that tells the rounds' random numbers apart
 
 
@@ -228,11 +228,11 @@ def _possible(t: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, least: flo
 def _block_links(rows: DataFrame, bag: DataFrame, least: float) -> DataFrame:
     """Verified links (a, b) between the classes that meet in a band; members meet block by block, so no task holds a band.
 
-    Two blocks of about BLOCK members come together with their bags. Pairs that no bound rules out are verified in the
+    Two blocks of about BLOCK members, or of BLOCK_BYTES of bags if those are less, come together. Pairs that no bound rules out are verified in the
     task, but for those whose classes its own links have joined already, so at most one link less than there are members
     comes out of two blocks. A pair with several bands in common is looked at in the least of them.
 
-    rows: band, node, label, members, r, n, own and plain as in own_shares, centre, s and both (similarity to the centre
+    rows: band, node, label, r, n, own and plain as in own_shares, centre, s and both (similarity to the centre
     and shingles shared with it; the three are null without one).
     """
 
@@ -268,8 +268,10 @@ def _block_links(rows: DataFrame, bag: DataFrame, least: float) -> DataFrame:
         return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
     held = rows.groupBy("node").agg(F.collect_set("band").alias("held"))  # BANDS at most
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("members") / BLOCK)).cast("int")
-    placed = rows.join(held, "node").join(bag, "node").withColumn("blocks", blocks).withColumn(
+    sized = rows.join(bag.select("node", F.octet_length("bag").alias("bytes")), "node")
+    counted_blocks = F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("bytes") / BLOCK_BYTES)
+    blocks = sized.groupBy("band").agg(F.ceil(counted_blocks).cast("int").alias("blocks"))
+    placed = rows.join(blocks, "band").join(held, "node").join(bag, "node").withColumn(
         "block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     sent = placed.withColumn("outside", F.col("n") - F.col("both") - F.col("own")).withColumn("other", other).select(

@@ -18,7 +18,7 @@ SEPARATORS = r"[ \t-\r]+"
 # Odd multipliers of the polynomial hashes, and of the finaliser of MurmurHash3.
 BYTE_BASE, WORD_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 FINAL_1, FINAL_2 = 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
@@ -44,7 +44,7 @@ def powers(base: int, n: int) -> np.ndarray:
         grown = np.full(max(n, 1 << 16), base, dtype=np.uint64)
         grown[0] = 1
         known = np.cumprod(grown)
-        if n <= 4 * SLICE_BYTES:  # a longer text is rare; its powers aren't held for the next ones
+        if n <= SLICE_BYTES + 1:  # a longer text is rare; its powers aren't held for the next ones
             _POWERS[base] = known
     return known[:n]
 

@@ -1,8 +1,8 @@
 """Mixing sources to target weights (operator 8): a low-discrepancy schedule of equal-token blocks.
 
 The documents of a source, in hashed order, are one stream of words, passed over up to ``max_passes`` times and cut
-into blocks of equal size. Slot k of the schedule has the golden-ratio point frac((k + 1) / phi), which the
-cumulative target shares map to a source; the slot's rank among those of its source names the block that it takes.
+into blocks of equal size, smaller ones for a small source. Slot k of the schedule has the golden-ratio point frac((k + 1) / phi), which the
+cumulative target shares, counted in blocks, map to a source; the slot's rank among those of its source names the block that it takes.
 Joining slots and blocks gives the words that the mix takes of every document.
 
 Slots are made in chunks, whose counts per source are summed up to give every chunk its first rank, and documents
@@ -59,18 +59,23 @@ def sources(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: int = MAX
     return [(i, r.source, int(r.size), t) for i, (r, t) in enumerate(zip(found, goal))]
 
 
-def block_size(plan: list[tuple]) -> int:
-    """Words in a block: the smallest target has SLOTS_OF_SMALLEST blocks, but a block at most MAX_BLOCK words."""
-    least = min((t for *_, t in plan if t > 0), default=0.0)
-    return int(min(MAX_BLOCK, max(1, least // SLOTS_OF_SMALLEST)))
+def block_size(target: float) -> int:
+    """Words in a block of a source: its target has SLOTS_OF_SMALLEST blocks at least, but a block at most MAX_BLOCK words.
+
+    So there are at most one slot in MAX_BLOCK words, and SLOTS_OF_SMALLEST for each source, whatever the smallest one is.
+    """
+    return int(min(MAX_BLOCK, max(1, target // SLOTS_OF_SMALLEST)))
 
 
-def schedule(spark: SparkSession, plan: list[tuple], block: int) -> DataFrame:
-    """slot, place (of the source) and rank: the slot takes block ``rank`` of its source."""
-    total = sum(t for *_, t in plan)
-    n = int(np.ceil(total / block))
+def schedule(spark: SparkSession, plan: list[tuple]) -> DataFrame:
+    """slot, place (of the source) and rank: the slot takes block ``rank`` of its source.
+
+    A source has slots in proportion to its target in blocks, so the words of any stretch of slots are in proportion to the targets.
+    """
+    blocks = np.array([t / block_size(t) for *_, t in plan])
+    n = int(np.ceil(blocks.sum()))
     chunk = max(1024, int(np.sqrt(n)))
-    bounds = np.cumsum([t for *_, t in plan]) / total if total else np.ones(len(plan))
+    bounds = np.cumsum(blocks) / blocks.sum() if n else np.ones(len(plan))
 
     def points(batches):
         for batch in batches:
@@ -102,20 +107,20 @@ def mixed(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: int = MAX_P
     if not plan:
         return base.select("doc_id", "text_key", "source", "size", F.col("size").alias("source_size"),
                            F.lit(0.0).alias("target"), F.col("size").alias("taken"))  # no rows
-    block = block_size(plan)
-    known = spark.createDataFrame(plan, "place int, name string, source_size long, target double")
+    known = spark.createDataFrame(
+        [(*row, block_size(row[-1])) for row in plan], "place int, name string, source_size long, target double, block long")
     base = base.join(F.broadcast(known), same(base["source"], F.col("name"))).drop("name")
     base = base.withColumn("row", F.monotonically_increasing_id())
     base = base.withColumn("draw", F.xxhash64(F.lit(SEED), "doc_id", "text_key"))
     placed = running_totals(base, ["draw", "doc_id", "row"], ["size"], ["place"]).withColumnRenamed("size_before", "start")
-    slots = settled(schedule(spark, plan, block))
+    slots = settled(schedule(spark, plan))
     # Passes beyond the target find no slot; the last block of the last pass is as long as what is left of it.
     passes = F.sequence(F.lit(0), F.lit(most - 1))
     each = placed.where(F.col("size") > 0).withColumn("pass", F.explode(passes))
-    each = each.withColumn("from", F.col("start") + F.col("pass") * F.col("source_size")).where(F.col("from") < F.col("target") + SLACK * block)
-    first, last = F.floor(F.col("from") / block), F.floor((F.col("from") + F.col("size") - 1) / block)
-    pieces = each.select("row", "place", "from", "size", F.explode(F.sequence(first, last)).alias("rank"))
-    inside = F.least(F.col("from") + F.col("size"), (F.col("rank") + 1) * block) - F.greatest("from", F.col("rank") * block)
+    each = each.withColumn("from", F.col("start") + F.col("pass") * F.col("source_size")).where(F.col("from") < F.col("target") + SLACK * F.col("block"))
+    first, last = F.expr("`from` div block"), F.expr("(`from` + size - 1) div block")
+    pieces = each.select("row", "place", "from", "size", "block", F.explode(F.sequence(first, last)).alias("rank"))
+    inside = F.least(F.col("from") + F.col("size"), (F.col("rank") + 1) * F.col("block")) - F.greatest("from", F.col("rank") * F.col("block"))
     taken = pieces.withColumn("words", inside).join(slots, ["place", "rank"]).groupBy("row").agg(F.sum("words").alias("taken"))
     return placed.join(taken, "row", "left").select(
         "doc_id", "text_key", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")

@@ -77,6 +77,52 @@ def test_mixing(spark):
     assert mixing.mixed(documents(spark, [(1, None, None), (2, "", "a")])).agg(F.sum("taken")).first()[0] == 0
 
 
+def brute_mix(rows, stream):
+    """Words taken per row, slot by slot: each golden-ratio point names a source, whose next block of words it takes."""
+    spans, plan = {}, {}
+    names = sorted({s for *_, s in rows}, key=lambda s: (s is None, (s or "").encode()))
+    sizes = {s: sum(len(words(t)) for _, t, x in rows if x == s) for s in names}
+    goal = mixing.targets([sizes[s] for s in names], [(5, 2, 1)[i % 3] for i in range(len(names))])
+    for s, t in zip(names, goal):
+        plan[s] = (t, min(4096, max(1, int(t // 1000))))
+    for i, (_, t, s) in stream:
+        n = len(words(t))
+        start = spans[s][-1][2] if spans.get(s) else 0
+        spans.setdefault(s, []).append((i, start, start + n))
+    blocks = [t / b for t, b in plan.values()]
+    bounds, rank, taken = np.cumsum(blocks) / max(sum(blocks), 1e-300), dict.fromkeys(names, 0), [0] * len(rows)
+    for slot in range(int(np.ceil(sum(blocks)))):
+        s = names[min(int(np.searchsorted(bounds, (slot + 1) * mixing.GOLDEN % 1.0, side="right")), len(names) - 1)]
+        low, high = rank[s] * plan[s][1], (rank[s] + 1) * plan[s][1]
+        rank[s] += 1
+        for again in range(3):
+            for i, a, b in spans.get(s, []):
+                taken[i] += max(0, min(b + again * sizes[s], high) - max(a + again * sizes[s], low))
+    return taken, rank, plan
+
+
+def test_mixing_slot_by_slot(spark):
+    """Every document's words, with a source of one word, one of null and a large one; very long texts; few slots."""
+    rng = np.random.default_rng(16)
+    rows = [(i, " ".join(["w"] * int(rng.integers(0, 80))), "ab"[i % 2] if i % 7 else None) for i in range(60)]
+    rows += [(100, "single", "c"), (101, "w " * 50000, "a"), (102, "w " * 30000, "d"), (103, "", "c")]
+    docs = documents(spark, rows)
+    draws = docs.select("doc_id", F.xxhash64(F.lit(mixing.SEED), "doc_id", mixing.text_key(F.col("text"))).alias("draw")).collect()
+    draw = {r.doc_id: r.draw for r in draws}
+    taken, slots, plan = brute_mix(rows, sorted(enumerate(rows), key=lambda x: (draw[x[1][0]], x[1][0])))
+    got = {r.doc_id: r.taken for r in mixing.mixed(docs).collect()}
+    assert got == {d: n for (d, *_), n in zip(rows, taken)}
+    check_mix(rows, mixing.mixed(docs).collect())
+    assert sum(slots.values()) < sum(t for t, _ in plan.values()) / 15  # though one source has a single word
+
+
+def test_slots_do_not_follow_the_smallest_source(spark):
+    plan = [(0, "a", 10 ** 9, 1e9), (1, "b", 10 ** 9, 1e9), (2, "c", 1, 3.0)]
+    n = mixing.schedule(spark, plan).groupBy("place").count().collect()
+    assert sum(r["count"] for r in n) <= 2e9 / mixing.MAX_BLOCK + 10
+    assert abs({r["place"]: r["count"] for r in n}.get(2, 0) - 3) <= 3
+
+
 @pytest.mark.parametrize("sizes,weights", [([10, 10, 10], [5, 2, 1]), ([1, 100, 50], [5, 2, 1]), ([0, 0], [1, 1]), ([1, 1, 1, 500], [5, 5, 5, 1])])
 def test_targets(sizes, weights):
     got = mixing.targets(sizes, weights)

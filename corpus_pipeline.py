@@ -2,6 +2,12 @@
 
 Every stage but the last returns the columns of documents. ``run`` writes each stage's result as Parquet in the
 shared folder, rereads it for the next stage, and deletes it once the next one is written.
+
+Defined results: a null, empty or blank text fails the base rules and goes in the first stage. A null id is an id of its own
+to the first stage and the last one everywhere else, and a null source is a source. Rows alike in id and text are treated
+alike by the first two stages and are one document to the third; the mix takes a document once for each pass, so ids repeat
+after it. Texts are used whole, however long. Further columns pass through all stages but the last, whatever their
+names; without rows every stage returns its columns and no rows.
 """
 
 from __future__ import annotations

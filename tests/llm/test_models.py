@@ -162,6 +162,49 @@ def test_quality_of_odd_rows(spark):
     assert quality_model.classify(documents(spark, []), labels).count() == 0
 
 
+def test_scores_by_direct_fit(spark):
+    """Every row's score from a direct kernel map, ridge solution and isotonic curve over all training rows at once."""
+    rng = np.random.default_rng(19)
+    rows = corpus(7) + [(100 + i, " ".join(rng.choice(["good", "Word", "x1", "#", "end.", "é"], int(rng.integers(1, 90)))), "s") for i in range(240)]
+    rows += [(400, None, "s"), (401, "", "s"), (402, "w " * 30000, "s")]
+    docs = documents(spark, rows)
+    labels = [(d, int((t or "").count("#") * 5 < len(words(t)))) for d, t, _ in rows if d % 3]
+    table = spark.createDataFrame(labels, "doc_id long, quality int")
+    got = {r.doc_id: r.score for r in quality_model.classify(docs, table).collect()}
+
+    stats = {r.doc_id: np.array(r.stats) for r in quality_model.statistics(docs).collect()}
+    ids = [d for d, _ in labels if zlib.crc32(str(d).encode()) % 4 != 2]
+    draw = {r.doc_id: r.draw for r in docs.select("doc_id", F.pmod(F.xxhash64(F.lit(quality_model.SEED), "doc_id"), F.lit(1_000_000)).alias("draw")).collect()}
+    x, y = np.array([stats[d] for d in ids]), np.array([dict(labels)[d] for d in ids], dtype=float)
+    calibrates = np.array([draw[d] % 5 == 0 for d in ids])
+    random = np.random.default_rng(quality_model.SEED)
+    many, width = quality_model.FEATURES, x.shape[1]
+    directions, phases = random.normal(scale=width ** -0.5, size=(width, many)), random.uniform(0, 2 * np.pi, many)
+    spread = x.std(0)
+
+    def wave(s):
+        z = np.clip((s - x.mean(0)) / np.where(spread > 1e-12, spread, 1), -quality_model.LIMIT, quality_model.LIMIT)
+        return np.append(np.sqrt(2 / many) * np.cos(z @ directions + phases), 1.0)
+
+    phi = np.array([wave(s) for s in x[~calibrates]])
+    n = len(phi)
+    # Ridge as least squares of rows with the penalty's rows below them.
+    penalty = np.sqrt(n * quality_model.RIDGE / many) * np.eye(many + 1)
+    weights = np.linalg.lstsq(np.concatenate([phi, penalty]), np.concatenate([y[~calibrates], np.zeros(many + 1)]), rcond=None)[0]
+    raw = np.array([np.clip(wave(s) @ weights, -0.5, 1.5) for s in x[calibrates]])
+    step = 2 / (quality_model.BINS - 1)
+    at = np.round((raw + 0.5) / step) * step - 0.5
+    places = np.unique(at)
+    mean = lambda a, b: y[calibrates][(at >= places[a]) & (at <= places[b])].mean()
+    value = [max(min(mean(a, b) for b in range(i, len(places))) for a in range(i + 1)) for i in range(len(places))]
+    level = np.unique(np.round(value, 12))
+    of_point = np.round([value[int(np.searchsorted(places, p))] for p in at], 12)
+    centre = [at[of_point == v].mean() for v in level]
+    want = {d: np.clip(np.interp(wave(s) @ weights, centre, level), 0, 1) for d, s in stats.items()}
+    assert len(level) > 1 and got.keys() == want.keys()
+    assert max(abs(got[d] - want[d]) for d in got) < 2e-6
+
+
 def test_isotonic_curve_rises():
     rng = np.random.default_rng(1)
     n = rng.integers(1, 9, 200).astype(float)

@@ -18,6 +18,8 @@ from creditloom.session import checkpointed
 
 # Relative error of the quantile summary is 1 / ACCURACY; a bracket reaches BRACKET times that to either side.
 ACCURACY, BRACKET = 10_000, 10
+# Number of the slot of a group that is its own bracket for all probabilities.
+WHOLE = -1
 
 
 def running_totals(df: DataFrame, order: Sequence[str], sums: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
@@ -62,8 +64,8 @@ def value_counts(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame
 def _brackets(df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str], accuracy: int) -> DataFrame:
     """Per group the number of values, and for each probability two values (lo, hi) between which its rank lies.
 
-    They come from Spark's mergeable quantile summary, asked BRACKET times its error to either side. In a group
-    with too few values for that the bracket is the whole group, and at the ends it ends with it.
+    They come from Spark's mergeable quantile summary, asked BRACKET times its error to either side. A group
+    with too few values for that is its own bracket (``whole``), and brackets at the ends end with it.
     """
     margin = BRACKET / accuracy
     asked = sorted({min(max(p + side, 0.0), 1.0) for p in probs for side in (-margin, margin)})
@@ -74,11 +76,11 @@ def _brackets(df: DataFrame, value: str, probs: Sequence[float], by: Sequence[st
 
     def limit(p: float, side: float, end: str):
         at = p + side
-        whole = F.col("total__") < BRACKET * accuracy
-        return F.col(end) if not 0.0 < at < 1.0 else F.when(whole, F.col(end)).otherwise(F.col("asked__")[asked.index(at)])
+        return F.col("asked__")[asked.index(at)] if 0.0 < at < 1.0 else F.col(end)
 
     brackets = [F.struct(limit(p, -margin, "least__").alias("lo"), limit(p, margin, "most__").alias("hi")) for p in probs]
-    return summary.select(*by, "total__", F.array(*brackets).alias("brackets__"))
+    whole = F.col("total__") < BRACKET * accuracy
+    return summary.select(*by, "total__", F.struct(whole.alias("whole"), F.array(*brackets).alias("each")).alias("brackets__"))
 
 
 def quantiles(
@@ -98,11 +100,12 @@ def quantiles(
     else:
         joined = present.withColumn("brackets__", summary.select("brackets__").scalar())
     # A value is nothing to a bracket below it, a count (null) to one above it, and a member of one around it.
-    slots = []
+    whole = F.col("brackets__.whole")
+    slots = [F.when(whole, F.struct(F.lit(WHOLE).alias("slot__"), F.col("value__").alias("member__")))]
     for slot in range(len(ps)):
-        low, high = (F.col("brackets__")[slot][end] for end in ("lo", "hi"))
+        low, high = (F.col("brackets__.each")[slot][end] for end in ("lo", "hi"))
         member = F.when(F.col("value__") >= low, F.col("value__"))
-        slots.append(F.when(F.col("value__") <= high, F.struct(F.lit(slot).alias("slot__"), member.alias("member__"))))
+        slots.append(F.when(~whole & (F.col("value__") <= high), F.struct(F.lit(slot).alias("slot__"), member.alias("member__"))))
     parts = joined.select(*by, F.explode(F.array(*slots)).alias("x")).where("x is not null")
     members = parts.groupBy(*by, "x.slot__", "x.member__").agg(F.count(F.lit(1)).alias("n"))
     ordered = running_totals(members, ["member__"], ["n"], [*by, "slot__"])  # the count, a null, comes first
@@ -112,7 +115,7 @@ def quantiles(
     for slot, (name, p) in enumerate(zip(names, ps)):
         rank = (F.col("total__") - 1) * F.lit(p)
         for suffix, at in (("lo", F.floor(rank)), ("hi", F.ceil(rank))):
-            holds = (F.col("slot__") == slot) & (F.col("n_before") <= at) & (at < F.col("n_before") + F.col("n"))
+            holds = F.col("slot__").isin(slot, WHOLE) & (F.col("n_before") <= at) & (at < F.col("n_before") + F.col("n"))
             picked.append(F.max(F.when(holds, F.col("member__"))).alias(f"{name}__{suffix}"))
     ends = ranked.groupBy(*by).agg(F.max("total__").alias("total__"), *picked)
     result = []

@@ -22,6 +22,7 @@ from creditloom.sources import layout
 catalog = Catalog()
 
 # ---------------------------------------------------------------- derived tables in SQL
+# Numerator and denominator of each ratio.
 APP_RATIOS = {
     "apps_annuity_credit_ratio": ("amt_annuity", "amt_credit"),
     "apps_goods_credit_ratio": ("amt_goods_price", "amt_credit"),

@@ -141,6 +141,7 @@ def card_recent():
 
 def applicant_ratios() -> dict:
     """The eleven applicant-level ratios by output name."""
+    # Numerator and denominator of each ratio.
     pairs = {
         "apps_annuity_credit_ratio": ("amt_annuity", "amt_credit"),
         "apps_goods_credit_ratio": ("amt_goods_price", "amt_credit"),

@@ -1,8 +1,9 @@
 """Line dedup (operator 3): a deletion-neighbourhood join, DataFrame functions only.
 
-A line, trimmed and in lower case, takes part if it has at least ``MIN_LINE`` characters. It is removed if an
-earlier line, by document id and line number, is equal, or within one edit where both have ``MIN_EDIT`` characters
-or more. Verdicts look at the input, not at what is left, so the earliest of a chain stays.
+Every line with a word takes part, trimmed and in lower case. It is removed if an earlier line, by document id and
+line number, is equal, or within the edit bound of its length: none below ``min_edit`` characters, where one letter
+can be the whole difference between two lines ("page 1", "page 2"), one from there on. Verdicts look at the input, not
+at what is left, so the earliest of a chain stays.
 
 Equal lines are first counted as one. Two filters, of which neither loses a pair, tell which letters need be
 deleted: two lines one edit apart share the front or the back half of the longer one's length, and, cut in blocks of
@@ -22,8 +23,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from creditloom.llm.base import bound, packed, same, settled, table, text_key, unpacked
+from creditloom.operators.joins import PART_OF_PARTITION, hot_share, lookup_join, partitions
 
-MIN_LINE, MIN_EDIT = 10, 20
+MIN_EDIT = 20
 TRIMMED = " \t\r\x0b\x0c"
 
 
@@ -36,7 +38,7 @@ def _raw_lines(docs: DataFrame) -> DataFrame:
     lines = docs.select("doc_id", text_key(F.col("text")).alias("text_key"),
                         F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "raw"))
     lines = lines.select("doc_id", "text_key", "line_no", normal_line(F.col("raw")).alias("line"))
-    return lines.withColumn("n", F.length("line")).where(F.col("n") >= MIN_LINE)
+    return lines.withColumn("n", F.length("line")).where(F.col("n") > 0)
 
 
 def _position() -> Column:
@@ -56,9 +58,9 @@ def _half_keys(line: Column, n: Column) -> Column:
     return F.array(*keys)
 
 
-def hashed_lines(docs: DataFrame) -> DataFrame:
+def hashed_lines(docs: DataFrame, min_edit: int = MIN_EDIT) -> DataFrame:
     """doc_id, text_key, line_no, key, n, halves (null for lines too short to be edited)."""
-    halves = F.when(F.col("n") >= MIN_EDIT, _half_keys(F.col("line"), F.col("n")))
+    halves = F.when(F.col("n") >= min_edit, _half_keys(F.col("line"), F.col("n")))
     return _raw_lines(docs).select("doc_id", "text_key", "line_no", F.xxhash64("line").alias("key"), "n", halves.alias("halves"))
 
 
@@ -118,7 +120,7 @@ def variants(lines: DataFrame) -> DataFrame:
     return gone.drop("v").unionByName(short.drop("v")).select("r.key", "r.role", *keep)
 
 
-def near_lines(docs: DataFrame, lines: DataFrame) -> DataFrame:
+def near_lines(docs: DataFrame, lines: DataFrame, min_edit: int = MIN_EDIT) -> DataFrame:
     """line_key and earlier_key: distinct lines within one edit of a line that starts earlier."""
     distinct = settled(lines.where(F.col("halves").isNotNull()).groupBy("key").agg(
         F.min(_position()).alias("at"), F.first("n").alias("n"), F.first("halves").alias("halves")))
@@ -126,7 +128,7 @@ def near_lines(docs: DataFrame, lines: DataFrame) -> DataFrame:
     shared = each.groupBy("half").agg(F.min("key").alias("low"), F.max("key").alias("high")).where(F.col("low") < F.col("high"))
     going = settled(each.join(shared.select("half"), "half").select("key").distinct().join(distinct.select("key", "at", "n"), "key"))
     del distinct, each, shared
-    raw = _raw_lines(docs).where(F.col("n") >= MIN_EDIT).select(F.xxhash64("line").alias("key"), "line")
+    raw = _raw_lines(docs).where(F.col("n") >= min_edit).select(F.xxhash64("line").alias("key"), "line")
     texts = settled(raw.join(going.select("key"), "key").groupBy("key").agg(F.first("line").alias("line")).join(going, "key"))
     named_lines = texts.select(F.col("key").alias("line_key"), "line", "n", "at")
     contexts = block_contexts(named_lines)
@@ -151,25 +153,33 @@ def near_lines(docs: DataFrame, lines: DataFrame) -> DataFrame:
         F.levenshtein("a", "b", 1) >= 0).select("line_key", "earlier_key")
 
 
-def removed_lines(docs: DataFrame) -> DataFrame:
+def _widely_shared(firsts: DataFrame) -> DataFrame:
+    """key, salts__ of the lines that would fill a good part of a shuffle partition; at most 1 / hot_share of them."""
+    share = F.col("times") / firsts.agg(F.sum("times")).scalar()
+    salts = F.ceil(share * F.lit(partitions(firsts) / PART_OF_PARTITION)).cast("int") + 1
+    return firsts.where(share > F.lit(hot_share(firsts))).select("key", salts.alias("salts__"))
+
+
+def removed_lines(docs: DataFrame, min_edit: int = MIN_EDIT) -> DataFrame:
     """doc_id, text_key, line_no, near: the lines to remove; ``near`` if no earlier line is equal."""
-    lines = settled(hashed_lines(docs))
-    near = near_lines(docs, lines).select(F.col("line_key").alias("key"), F.lit(True).alias("near"))
+    lines = settled(hashed_lines(docs, min_edit))
+    near = near_lines(docs, lines, min_edit).select(F.col("line_key").alias("key"), F.lit(True).alias("near"))
     firsts = lines.groupBy("key").agg(F.min(_position()).alias("first"), F.count(F.lit(1)).alias("times")).join(near, "key", "left")
-    firsts = firsts.where((F.col("times") > 1) | F.col("near")).drop("times")
-    hit = lines.join(firsts, "key").withColumn("later", F.col("first") < _position())
+    firsts = settled(firsts.where((F.col("times") > 1) | F.col("near")))
+    named = lines.select("doc_id", "text_key", "line_no", "key")
+    hit = lookup_join(named, firsts.drop("times"), "key", hot=_widely_shared(firsts)).withColumn("later", F.col("first") < _position())
     # Rows that repeat an id and a text hold the same position, so none of them is later than itself.
     return hit.where(F.col("later") | F.col("near")).select(
         "doc_id", "text_key", "line_no", (~F.col("later")).alias("near")).distinct()
 
 
-def line_report(docs: DataFrame) -> DataFrame:
+def line_report(docs: DataFrame, min_edit: int = MIN_EDIT) -> DataFrame:
     """doc_id, n_lines (that take part), n_equal, n_near and removed: the numbers of the lines to remove, rising."""
-    gone = removed_lines(docs).groupBy("doc_id", "text_key").agg(
+    gone = removed_lines(docs, min_edit).groupBy("doc_id", "text_key").agg(
         F.sum(F.when(F.col("near"), 0).otherwise(1)).alias("n_equal"), F.sum(F.when(F.col("near"), 1).otherwise(0)).alias("n_near"),
         F.sort_array(F.collect_list("line_no")).alias("removed"),
     ).select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key"), "n_equal", "n_near", "removed")
-    parts = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.length(normal_line(x)) >= MIN_LINE)
+    parts = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.length(normal_line(x)) > 0)
     base = docs.select("doc_id", text_key(F.col("text")).alias("text_key"), F.size(parts).cast("long").alias("n_lines"))
     match = same(F.col("doc_id"), F.col("gone_id")) & (F.col("text_key") == F.col("gone_key"))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
@@ -177,12 +187,12 @@ def line_report(docs: DataFrame) -> DataFrame:
         "doc_id", "n_lines", zero("n_equal"), zero("n_near"), F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
 
 
-def without_repeats(docs: DataFrame) -> DataFrame:
+def without_repeats(docs: DataFrame, min_edit: int = MIN_EDIT) -> DataFrame:
     """``docs`` with the lines removed from their texts, and without documents that had words and lose all of them.
 
     Columns are those of ``docs``; ``n_chars``, if there, follows the text.
     """
-    gone = removed_lines(docs).groupBy(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key")).agg(
+    gone = removed_lines(docs, min_edit).groupBy(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key")).agg(
         F.collect_set("line_no").alias("gone_lines"))
     rows = packed(docs)
     match = same(rows["doc_id"], gone["gone_id"]) & (text_key(rows["text"]) == gone["gone_key"])
@@ -203,7 +213,7 @@ def removed_ctes(source: str = "documents") -> str:
     return rf"""
 l_lines AS (SELECT doc_id, CAST(i - 1 AS INTEGER) AS line_no, lower(trim(parts[i], E' \t\r\x0b\x0c')) AS line
             FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM {source}), unnest(range(1, len(parts) + 1)) AS r(i)),
-l_part AS (SELECT * FROM l_lines WHERE length(line) >= {MIN_LINE}),
+l_part AS (SELECT * FROM l_lines WHERE length(line) > 0),
 l_first AS (SELECT line, min((doc_id, line_no)) AS pos, length(line) AS n FROM l_part GROUP BY line),
 l_half AS (SELECT line, pos, n, n + m AS longer, unnest([left(line, (n + m) // 2), right(line, n + m - (n + m) // 2)]) AS half,
                   unnest(['f', 'b']) AS side FROM l_first, (VALUES (0), (1)) AS v(m) WHERE n >= {MIN_EDIT}),

@@ -41,7 +41,7 @@ def gone_lines(rows):
     entries = sorted((d is None, d or 0, n, r, line.strip(" \t\r\x0b\x0c").lower())
                      for r, (d, t, _) in enumerate(rows) for n, line in enumerate((t or "").split("\n")))
     for none, d, n, r, line in entries:
-        if len(line) < line_dedup.MIN_LINE:
+        if not line:
             continue
         if line not in first:
             near = len(line) >= line_dedup.MIN_EDIT and any(len(x) >= line_dedup.MIN_EDIT and edits(x, line) for x in seen)
@@ -75,6 +75,16 @@ def test_line_dedup(spark, rows):
     assert all(r.n_chars == len(r.text) for r in left.collect())
 
 
+def test_short_lines(spark):
+    rows = [(i, f"Menu\nPage {i}\nshare this post\n\n |\nown line of document number {i * 7919:x}", "s") for i in range(40)]
+    got = {r.doc_id: (r.n_lines, list(r.removed)) for r in line_dedup.line_report(documents(spark, rows)).collect()}
+    assert got[0][1] == [] and all(got[i] == (5, [0, 2, 4]) for i in range(1, 40) if not any(
+        edits(rows[i][1].split("\n")[5], rows[j][1].split("\n")[5]) for j in range(i)))
+    # With the edit bound from 5 characters on, pages go as well.
+    got = {r.doc_id: list(r.removed) for r in line_dedup.line_report(documents(spark, rows), 5).collect()}
+    assert all({0, 1, 2, 4} <= set(got[i]) for i in range(1, 10))
+
+
 def test_line_dedup_of_odd_rows(spark):
     rows = odd_rows()
     got = line_dedup.line_report(documents(spark, rows)).collect()

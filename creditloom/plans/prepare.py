@@ -12,9 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from creditloom.functions import columns as C
-from creditloom.operators.joins import BROADCAST_BYTES, BROADCAST_ROWS, lookup_join
+from creditloom.operators.joins import lookup_join
 from creditloom.operators.ordered import positions
 from creditloom.plans.profile import melt, numeric_columns
+from creditloom.session import checkpointed
 
 # Name parts and names that make a column numeric whatever its values.
 NUMERIC_KEYWORDS = ("MEAN", "SUM", "MIN", "MAX", "COUNT", "RATIO", "STD", "AVG", "TOTAL", "MODE", "MEDI")
@@ -79,6 +80,21 @@ def fill_zero(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 # ---------------------------------------------------------------- codes
+# Columns with more codes are joined: a map is searched entry by entry. Bytes of all maps together.
+MAP_CODES = 2 * MAX_CATEGORIES
+MAP_BYTES = 16 << 20
+
+
+def _value_text(value: Column, is_text: bool) -> Column:
+    """The value as text, equal exactly where the values are: adding 0 makes one zero of two."""
+    return value if is_text else (value.cast("double") + F.lit(0.0)).cast("string")
+
+
+def _entry(column: Column, text: Column) -> Column:
+    """Column and value as one key, different for any other pair; null for a null value."""
+    return F.concat(F.length(column).cast("string"), F.lit(":"), column, text)
+
+
 @dataclass(frozen=True)
 class CodeBook:
     """Codes per column as a table (column_name, missing, number, label, code)."""
@@ -92,39 +108,63 @@ class CodeBook:
     def apply(self, df: DataFrame) -> DataFrame:
         """Values replaced by their codes; a value the book lacks becomes null.
 
-        Columns whose part of the book was measured as small use a broadcast, the others a join that
-        spreads frequent values.
+        Columns with few codes look them up in one map, which a subquery gathers: no join. All other columns are
+        melted to (row, column, value), meet the book in one join that spreads frequent values, and are put together
+        by row: two exchanges of values and one of rows for any number of columns.
         """
-        order, result = df.columns, df
         kinds = dict(df.dtypes)
-        for c in self.columns:
-            source = "label" if kinds[c] == "string" else "number"
-            codes = self.table.where((F.col("column_name") == c) & ~F.col("missing")).select(
-                F.col(source).alias("value__"), F.col("code").alias("code__")
-            )
-            keyed = result.withColumn("value__", F.col(c) if source == "label" else F.col(c).cast("double"))
-            if c in self.small:
-                coded = keyed.join(F.broadcast(codes), "value__", "left")
-            else:
-                coded = lookup_join(keyed, codes, "value__", "left")
-            null_code = F.lit(self.null_codes.get(c)).cast("int")
-            result = coded.withColumn(
-                c, F.when(F.col(c).isNull(), null_code).otherwise(F.col("code__"))
-            ).drop("value__", "code__")
-        return result.select(*order)
+        value = {c: _value_text(F.col(c), kinds[c] == "string") for c in self.columns}
+        label = F.coalesce("label", _value_text(F.col("number"), False))
+        book = self.table.where(~F.col("missing")).select("column_name", label.alias("label__"), F.col("code").alias("code__"))
+        found = {}
+        mapped = [c for c in self.columns if c in self.small]
+        if mapped:
+            parts = book.where(F.col("column_name").isin(mapped)).groupBy("column_name").agg(
+                F.map_from_entries(F.collect_list(F.struct("label__", "code__"))).alias("codes"))
+            of = {c: F.first(F.when(F.col("column_name") == c, F.col("codes")), ignorenulls=True) for c in mapped}
+            codes = parts.agg(F.struct(*[of[c].alias(c) for c in mapped])).scalar()
+            found = {c: F.element_at(codes.getField(c), value[c]) for c in mapped}
+        melted = [c for c in self.columns if c not in self.small]
+        rows = df
+        if melted:
+            # Row numbers must survive a lost executor, so they are stored before they are used twice.
+            rows = checkpointed(df.withColumn("row__", F.monotonically_increasing_id()))
+            cells = F.array(*[F.struct(F.lit(i).alias("at__"), _entry(F.lit(c), value[c]).alias("entry__"))
+                              for i, c in enumerate(melted)])
+            each = rows.select("row__", F.inline(cells)).where(F.col("entry__").isNotNull())
+            joined = book.where(F.col("column_name").isin(melted)).select(
+                _entry(F.col("column_name"), F.col("label__")).alias("entry__"), "code__")
+            coded = lookup_join(each, joined, "entry__")
+            wide = coded.groupBy("row__").agg(
+                F.map_from_entries(F.collect_list(F.struct("at__", "code__"))).alias("codes__"))
+            rows = rows.join(wide, "row__", "left")
+            found |= {c: F.element_at("codes__", F.lit(i)) for i, c in enumerate(melted)}
+        null_code = {c: F.lit(self.null_codes.get(c)).cast("int") for c in self.columns}
+        return rows.select(*[
+            F.when(F.col(c).isNull(), null_code[c]).otherwise(found[c]).alias(c) if c in found else F.col(c)
+            for c in df.columns
+        ])
 
 
 def _measured(ranked: DataFrame) -> dict:
-    """Per column: number of codes, whether null is one of them, and whether a broadcast is safe."""
+    """Per column: number of codes, whether null is one of them, and the bytes of its part of the book."""
     rows = ranked.groupBy("column_name").agg(
         F.count(F.lit(1)).alias("n"),
         F.max(F.col("missing").cast("int")).alias("has_null"),
-        F.sum(F.coalesce(F.octet_length("label"), F.lit(0)) + F.lit(32)).alias("bytes"),
+        F.sum(F.coalesce(F.octet_length("label"), F.lit(0)) + F.octet_length("column_name") + F.lit(32)).alias("bytes"),
     )
-    return {
-        r["column_name"]: (r["n"], r["has_null"], r["n"] <= BROADCAST_ROWS and r["bytes"] <= BROADCAST_BYTES)
-        for r in rows.collect()
-    }
+    return {r["column_name"]: (r["n"], r["has_null"], r["bytes"]) for r in rows.collect()}
+
+
+def _mapped(columns: Sequence[str], measured: Mapping[str, tuple]) -> frozenset[str]:
+    """Columns that go into the map: few codes each, and together no more than MAP_BYTES."""
+    chosen, used = [], 0
+    for c in columns:
+        n, _, size = measured.get(c, (0, 0, 0))
+        if n <= MAP_CODES and used + size <= MAP_BYTES:
+            chosen.append(c)
+            used += size
+    return frozenset(chosen)
 
 
 def _distinct_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -149,7 +189,7 @@ def factorise(df: DataFrame, columns: Sequence[str]) -> CodeBook:
     ranked = positions(values, ["number", "label"], ["column_name"], "code")
     table = ranked.withColumn("code", F.col("code").cast("int"))
     measured = _measured(table)
-    small = frozenset(c for c in columns if measured.get(c, (0, 0, True))[2])
+    small = _mapped(columns, measured)
     return CodeBook(table, list(columns), {c: -1 for c in columns}, sum(n for n, _, _ in measured.values()), small)
 
 
@@ -159,13 +199,13 @@ def offset_codes(df: DataFrame, columns: Sequence[str]) -> CodeBook:
     measured = _measured(ranked)
     offset, shift, null_codes = 0, F.lit(0), {}
     for c in columns:
-        n, has_null, _ = measured.get(c, (0, 0, True))
+        n, has_null, _ = measured.get(c, (0, 0, 0))
         shift = F.when(F.col("column_name") == c, offset).otherwise(shift)
         if has_null:
             null_codes[c] = offset + n - 1
         offset += n
     table = ranked.withColumn("code", (F.col("rank") + shift).cast("int"))
-    small = frozenset(c for c in columns if measured.get(c, (0, 0, True))[2])
+    small = _mapped(columns, measured)
     return CodeBook(table, list(columns), null_codes, offset, small)
 
 

@@ -25,13 +25,55 @@ def test_factorise_null_and_unknown(spark):
     assert [r[0] for r in book.apply(other).collect()] == [0, 1, -1, None]
 
 
-def test_code_books_without_broadcast(spark, monkeypatch):
-    monkeypatch.setattr(P, "BROADCAST_ROWS", 0)
-    df = spark.createDataFrame([(i, "ab"[i % 2] if i % 5 else None, i % 3) for i in range(60)], "k int, c string, n int")
-    book = P.offset_codes(df, ["c", "n"])
-    assert not book.small and book.size == 6
-    found = {(r.c, r.n) for r in book.apply(df).collect()}
-    assert {c for c, _ in found} == {0, 1, 2} and {n for _, n in found} == {3, 4, 5}
+CODED = "k int, c string, n double, `n=` string"
+
+
+def coded_rows(n=60):
+    values = [0.0, -0.0, float("nan"), 1.5, None]
+    return [(i, "ab"[i % 2] if i % 5 else None, values[i % 5], f"v{i % 7}" if i % 3 else "=") for i in range(n)]
+
+
+def joins_in(plan):
+    """Join nodes of a plan, those of its subqueries left out."""
+    children = plan.children()
+    return (plan.nodeName() == "Join") + sum(joins_in(children.apply(i)) for i in range(children.size()))
+
+
+@pytest.mark.parametrize("most", [0, 3, 100], ids=["melted", "both", "mapped"])
+def test_code_books_by_any_route(spark, monkeypatch, most):
+    monkeypatch.setattr(P, "MAP_CODES", most)
+    # Repeated rows stay, and rows the book doesn't know get null.
+    df = spark.createDataFrame(coded_rows() + coded_rows(10), CODED)
+    other = df.unionByName(spark.createDataFrame([(99, "zz", 7.0, "")], CODED))
+    book = P.offset_codes(df, ["c", "n", "n="]) if most else P.factorise(df, ["c", "n", "n="])
+    assert len(book.small) == {0: 0, 3: 1, 100: 3}[most]
+    labels = [sorted({x for _, x, _, _ in coded_rows() if x is not None}), ["0.0", "1.5", "nan"], sorted({x for *_, x in coded_rows()})]
+    nulls, starts, start = [True, True, False], [], 0
+    for part, has in zip(labels, nulls):
+        starts.append(start if most else 0)
+        start += len(part) + has
+
+    def code(at, x):
+        if x is None:
+            return starts[at] + len(labels[at]) if most else -1
+        text = str(abs(x)) if isinstance(x, float) else x
+        return starts[at] + labels[at].index(text) if text in labels[at] else None
+
+    want = [(k, code(0, c), code(1, n), code(2, v)) for k, c, n, v in coded_rows() + coded_rows(10) + [(99, "zz", 7.0, "")]]
+    plain = lambda found: sorted((tuple(r) for r in found), key=str)
+    applied = book.apply(other)
+    assert applied.columns == df.columns and plain(applied.collect()) == plain(want)
+    assert (joins_in(applied._jdf.queryExecution().optimizedPlan()) == 0) == (most == 100)
+
+
+def test_one_join_for_any_number_of_columns(spark, monkeypatch):
+    monkeypatch.setattr(P, "MAP_CODES", 0)
+    wide = spark.range(300).select("id", *[(F.col("id") * (i + 3) % 150).cast("string").alias(f"c{i}") for i in range(8)])
+    joins = {}
+    for n in (1, 8):
+        columns = [f"c{i}" for i in range(n)]
+        joins[n] = joins_in(P.factorise(wide, columns).apply(wide)._jdf.queryExecution().optimizedPlan())
+    assert joins[1] == joins[8] > 0
 
 
 def test_roles(spark):

@@ -170,6 +170,15 @@ catalog.add(
     PAIRS + f" SELECT src, dst, {r6('w')} AS weight FROM p ORDER BY w DESC, src, dst LIMIT 100",
 )
 SAMPLE_HASH = "('0x' || substr(md5(sk_id || ':42'), 1, 8))::BIGINT"
+catalog.add(
+    "j7_split_cells",
+    lambda v: rounded(
+        P.similarity_pairs(
+            P.distinct_vectors(v.nodes, "sk_id", "embedding"), "sk_id", "embedding", LIMIT, block_rows=32, cell_rows=48, pivots=4
+        ), "weight",
+    ),
+    PAIRS + f" SELECT src, dst, {r6('w')} AS weight FROM p",
+)
 catalog.add(
     "k1_similarity_edges",
     lambda v: rounded(G.similarity_edges(v.nodes, LIMIT), "weight"),

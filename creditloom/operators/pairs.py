@@ -6,7 +6,8 @@ matrices. Copies of one vector are represented by a single row, because all thei
 
 The similarity join also places vectors into cells around pivots. For an angle limit ``a``, a vector
 whose home pivot lies at angle ``d`` can only have partners at home in cells whose pivot lies within
-``d + 2a`` (triangle inequality on the sphere), so other cells are skipped without losing a pair.
+``d + 2a`` (triangle inequality on the sphere), so other cells are skipped without losing a pair. Cells that hold
+too many vectors are split around pivots of their own, and so on, so cells don't grow with the table.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 BLOCK_ROWS = 1024
 MAX_PIVOTS = 256
+# A cell of more blocks than this is split, on at most so many levels; rows that one task places.
+FULL_BLOCKS, MAX_LEVELS, PLACE_ROWS = 16, 6, 8192
 # Slack on angles, well above the rounding of a dot product in double precision.
 ANGLE_SLACK = 1e-6
 
@@ -87,6 +90,66 @@ def _placements(nodes: DataFrame, pivots: np.ndarray, limit: float) -> DataFrame
     return nodes.mapInPandas(place, f"key bigint, vector {dict(nodes.dtypes)['vector']}, cell int, at_home boolean")
 
 
+def _split_cells(placed: DataFrame, full: DataFrame, limit: float, block_rows: int, pivots: int) -> DataFrame:
+    """The rows of over-full cells, placed among pivots of their own cell; ``full`` has cell and h, its home rows.
+
+    Pivots are the cell's first home vectors by hash, one for ``block_rows`` of them. A task places at most
+    about PLACE_ROWS rows of one cell, and gets that cell's pivots alone.
+    """
+    inside = sized_join(placed, full.select("cell", "h", "rows"), "cell")
+    order = [C.key_hash("key", "pivot"), F.col("key")]
+    drawn = top_per_group(inside.where("at_home"), ["cell"], order, pivots).where(
+        F.col("rank") <= F.ceil(F.col("h") / F.lit(block_rows))
+    )
+    parts = F.ceil(F.col("rows") / F.lit(PLACE_ROWS)).cast("int")
+    spread = inside.withColumn("part", F.pmod(C.key_hash("key", "place"), parts).cast("int"))
+    sent = drawn.select(F.col("cell").alias("of"), F.col("rank").alias("at"), F.col("vector").alias("pivot"),
+                        F.explode(F.sequence(F.lit(0), parts - 1)).alias("to"))
+
+    def place(rows: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        if rows.empty:
+            return rows[["key", "vector", "cell", "at_home"]]
+        centres = _unit(_stack(own.sort_values("at")["pivot"]))
+        angles = np.arccos(np.clip(_unit(_stack(rows["vector"])) @ centres.T, -1.0, 1.0))
+        home, resident = angles.argmin(axis=1), rows["at_home"].to_numpy().astype(bool)
+        nearest = angles[np.arange(len(home)), home]
+        reachable = angles <= (nearest + 2.0 * limit + ANGLE_SLACK)[:, None]
+        # A guest of the cell is compared with home rows only, wherever they are; home rows meet in the lower cell.
+        reachable &= (np.arange(len(centres))[None, :] <= home[:, None]) | ~resident[:, None]
+        at, cells = np.nonzero(reachable)
+        out = rows[["key", "vector"]].iloc[at].reset_index(drop=True)
+        out["cell"] = rows["cell"].iat[0] + "." + pd.Series(cells.astype(str))
+        out["at_home"] = resident[at] & (cells == home[at])
+        return out
+
+    kind = dict(placed.dtypes)["vector"]
+    return spread.select("key", "vector", "cell", "at_home", "part").groupBy("cell", "part").cogroup(
+        sent.groupBy("of", "to")
+    ).applyInPandas(place, f"key bigint, vector {kind}, cell string, at_home boolean")
+
+
+def split_placements(
+    placed: DataFrame, limit: float, block_rows: int, cell_rows: int, pivots: int, levels: int = MAX_LEVELS
+) -> DataFrame:
+    """``placed`` with every cell of more than ``cell_rows`` home vectors split, and its parts again.
+
+    The reach of a cell's own pivots follows from the same inequality, so no pair is lost on any level. Cells that
+    stay over-full after ``levels`` (vectors all alike) are compared by blocks as they are.
+    """
+    done: list[DataFrame] = []
+    for _ in range(levels):
+        sizes = checkpointed(placed.groupBy("cell").agg(F.count_if("at_home").alias("h"), F.count(F.lit(1)).alias("rows")))
+        full = sizes.where(F.col("h") > cell_rows)
+        if full.isEmpty():
+            break
+        marked = sized_join(placed, full.select("cell", F.lit(True).alias("full__")), "cell", "left")
+        done.append(marked.where(F.col("full__").isNull()).drop("full__").select("key", "vector", "cell", "at_home"))
+        placed = checkpointed(_split_cells(placed, full, limit, block_rows, pivots))
+    for part in done:
+        placed = placed.unionByName(part)
+    return placed
+
+
 def _tasks(placed: DataFrame, block_rows: int) -> DataFrame:
     """Each placed vector once per block pair it takes part in.
 
@@ -119,12 +182,14 @@ def _tasks(placed: DataFrame, block_rows: int) -> DataFrame:
 
 
 def similarity_pairs(
-    df: DataFrame, key: str, vector: str, threshold: float, block_rows: int = BLOCK_ROWS
+    df: DataFrame, key: str, vector: str, threshold: float, block_rows: int = BLOCK_ROWS,
+    cell_rows: int | None = None, pivots: int = MAX_PIVOTS,
 ) -> DataFrame:
     """All pairs of rows with cosine at least ``threshold``, as (src < dst, weight).
 
     Zero vectors have no cosine and no pairs. The rows should be distinct vectors
-    (:func:`distinct_vectors`) wherever copies can be many. The comparison is exact.
+    (:func:`distinct_vectors`) wherever copies can be many. The comparison is exact. A cell of more than
+    ``cell_rows`` home vectors (by default FULL_BLOCKS blocks) is split around ``pivots`` of its own at most.
     """
     nodes = df.select(F.col(key).cast("bigint").alias("key"), F.col(vector).alias("vector")).where(
         V.norm(vector) > 0
@@ -133,9 +198,12 @@ def similarity_pairs(
     if count <= block_rows:
         placed = nodes.select("*", F.lit(0).alias("cell"), F.lit(True).alias("at_home"))
     else:
-        nodes = checkpointed(nodes)
-        pivots = _pivots(nodes, "key", "vector", min(MAX_PIVOTS, math.ceil(count / block_rows)))
-        placed = _placements(nodes, pivots, math.acos(max(-1.0, min(1.0, threshold))))
+        nodes, limit = checkpointed(nodes), math.acos(max(-1.0, min(1.0, threshold)))
+        first = _pivots(nodes, "key", "vector", min(pivots, math.ceil(count / block_rows)))
+        placed = _placements(nodes, first, limit).withColumn("cell", F.col("cell").cast("string"))
+        full = cell_rows or FULL_BLOCKS * block_rows
+        # No more vectors than one cell may hold: none can be over-full.
+        placed = split_placements(checkpointed(placed), limit, block_rows, full, pivots) if count > full else placed
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         left, right = int(group["left"].iat[0]), int(group["right"].iat[0])

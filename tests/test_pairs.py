@@ -46,6 +46,25 @@ def test_placement_skips_far_cells(spark):
     assert 300 <= placed < 300 * 6
 
 
+@pytest.mark.parametrize("clustered,threshold,copies", [(True, 0.95, 0), (True, 0.5, 40), (False, 0.3, 0)])
+def test_split_cells_lose_no_pair(spark, clustered, threshold, copies):
+    df, points = vectors(spark, clustered, copies=copies)
+    found = P.similarity_pairs(df, "sk_id", "embedding", threshold, 8, cell_rows=16, pivots=3).collect()
+    want = brute(points, threshold)
+    assert len(found) == len(want) and {(r.src, r.dst) for r in found} == set(want)
+
+
+def test_over_full_cells_are_split_more_than_once(spark):
+    df, _ = vectors(spark)
+    nodes = df.where("sk_id < 300").select(F.col("sk_id").alias("key"), F.col("embedding").alias("vector"))
+    first = P._placements(nodes, P._pivots(nodes, "key", "vector", 3), np.arccos(0.95))
+    placed = P.split_placements(first.withColumn("cell", F.col("cell").cast("string")), np.arccos(0.95), 8, 16, 3)
+    cells = placed.groupBy("cell").agg(F.count_if("at_home").alias("h")).collect()
+    assert max(r.cell.count(".") for r in cells) >= 2 and max(r.h for r in cells) <= 16
+    # Every vector is at home once.
+    assert placed.where("at_home").count() == placed.where("at_home").select("key").distinct().count() == 300
+
+
 def test_each_pair_is_found_once(spark):
     df, _ = vectors(spark)
     found = P.similarity_pairs(df, "sk_id", "embedding", 0.5, 32)

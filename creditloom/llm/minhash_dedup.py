@@ -287,6 +287,11 @@ def _mixed(bands: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.join(several.where("lo <> hi").select("band", "members"), "band")
 
 
+def _label_edges(labels: DataFrame) -> DataFrame:
+    """Edges (a, b) that stand for all links that led to the labels."""
+    return labels.select(F.col("label").alias("a"), F.col("node").alias("b"))
+
+
 def near_classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """doc, text_key, doc_id, class_doc (least id of the class as a long), class_key (its text's key): per row."""
     scan = settled(signed(docs))
@@ -306,13 +311,12 @@ def near_classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     rows = settled(_mixed(rows.join(shares, "node", "left_semi"), labels).join(shares, "node"))
     centred = settled(_centred(rows, F.struct("r", F.xxhash64("node"))))
     scores = settled(compared(_pairs(centred), bag))
-    links = links.union(scores.where(F.col("s") >= least).select("a", "b"))
-    labels = settled(components(links))
+    labels = settled(components(scores.where(F.col("s") >= least).select("a", "b").union(_label_edges(labels))))
     known = centred.select("node", "centre", F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).join(
         scores, ["a", "b"]).select("node", "centre", "s", "both")
     rows = _mixed(rows, labels).join(shares, "node").join(known, "node", "left")
     rest = settled(_block_links(settled(rows), bag, least))
-    labels = settled(components(links.union(rest)))
+    labels = settled(components(rest.union(_label_edges(labels))))
     lowest = nodes.select("node", "at").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     names = lowest.groupBy("label").agg(F.min("at").alias("first"))
     named = settled(lowest.join(names, "label").select("node", "first"))

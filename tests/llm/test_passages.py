@@ -196,6 +196,27 @@ def test_bands_with_several_classes(spark):
     assert {(r.node, r.label) for r in got.collect()} == {(k, v) for k, v in name.items() if k in linked}
 
 
+def test_components_of_labels_take_no_step(spark, monkeypatch):
+    """Stars around their least nodes, as labels are, are stored once and left; one further link costs a step, not all over again."""
+    stored, settled = [], components.settled
+    monkeypatch.setattr(components, "settled", lambda df: stored.append(settled(df)) or stored[-1])
+
+    def found(edges):
+        stored.clear()
+        frame = spark.createDataFrame(edges, "a long, b long")
+        out = {(r.node, r.label) for r in components.components(frame).collect()}
+        assert len({n for n, _ in out}) == len(out)
+        return out, len(stored)
+
+    stars = [(c, c + 10 * i) for c in range(10) for i in range(40)]  # with a == b, as in labels
+    assert found(stars) == ({(n, n % 10) for n in range(400)}, 1)
+    assert found([]) == (set(), 1)
+    turned = found([(399, i) for i in range(398, 300, -1)])
+    assert turned == ({(i, 301) for i in range(301, 400)}, 2)
+    joined, steps = found(stars + [(391, 392)])
+    assert joined == {(n, 1 if n % 10 == 2 else n % 10) for n in range(400)} and steps <= 3
+
+
 def test_bounds_rule_out_no_link(spark):
     """Many near copies with edits of their own and shared ones: classes as by brute force."""
     rng = np.random.default_rng(21)

@@ -152,3 +152,67 @@ def test_every_copy_has_its_row(spark):
     assert set(got) == set(range(len(points) + 1)) and {i: got[i] for i in want} == want
     means = G.for_every_node(G.neighbour_mean(edges, df.select("sk_id", "embedding"), DIM), members)
     assert means.count() == len(points) + 1
+
+
+def bundled(spark, points, pivots):
+    data = [(i, [float(x) for x in p]) for i, p in enumerate(points)]
+    nodes = spark.createDataFrame(data, "key long, vector array<float>")
+    placed = P._placements(nodes, P._pivots(nodes, "key", "vector", pivots)).withColumn("cell", F.col("cell").cast("string"))
+    return P._bundled(placed, len(data), 32, 8).cache()
+
+
+@pytest.mark.parametrize("clustered,threshold,copies", [(True, 0.95, 0), (True, 0.5, 40), (False, 0.3, 0), (False, -1.0, 0)])
+def test_bundles_lose_no_pair(spark, monkeypatch, clustered, threshold, copies):
+    monkeypatch.setattr(P, "RUN_ROWS", 16)
+    df, points = vectors(spark, clustered, copies=copies)
+    found = P.similarity_pairs(df, "sk_id", "embedding", threshold, 8, cell_rows=16, pivots=3, bundle_rows=32, run_rows=8).collect()
+    got, want = {(r.src, r.dst): r.weight for r in found}, brute(points, threshold)
+    assert len(found) == len(want) and set(got) == set(want)
+    assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_vectors_are_placed_once_and_sent_once_for_a_bundle(spark):
+    """However many cells there are: before, a vector without near ones was stored in half of the cells and sent to all their blocks."""
+    rows = bundled(spark, np.random.default_rng(5).normal(size=(300, DIM)), 60)
+    bundles = rows.select("bundle").distinct().count()
+    assert rows.count() == rows.select("key").distinct().count() == 300 and 7 <= bundles <= 10
+    sent = P._sent(rows, np.arccos(0.3))
+    assert sent.count() == sent.select("key", "pair").distinct().count() <= 300 * bundles
+    assert sent.where("bundle = other").count() == 300
+
+
+def test_bundles_out_of_reach_are_not_sent_to(spark):
+    rng = np.random.default_rng(6)
+    rows = bundled(spark, np.repeat(rng.normal(size=(10, DIM)), 30, axis=0) + 0.01 * rng.normal(size=(300, DIM)), 60)
+    sent, bundles = P._sent(rows, np.arccos(0.99)).count(), rows.select("bundle").distinct().count()
+    assert 300 <= sent < 300 * bundles / 2
+
+
+@pytest.mark.parametrize("sizes", [{}, {"cell_rows": 16, "pivots": 3, "bundle_rows": 32, "run_rows": 8}])
+def test_odd_rows_have_no_pairs_and_cost_none(spark, sizes):
+    df, points = vectors(spark, False)
+    odd = [(None, [1.0] * DIM), (900, [float("nan")] * DIM), (901, [float("inf")] + [0.0] * (DIM - 1)), (902, None), (903, [None] * DIM)]
+    more = df.select("sk_id", "embedding").unionByName(spark.createDataFrame(odd, "sk_id long, embedding array<float>"))
+    found = P.similarity_pairs(more, "sk_id", "embedding", 0.5, 8, **sizes).collect()
+    assert len(found) == len(brute(points, 0.5)) and {(r.src, r.dst) for r in found} == set(brute(points, 0.5))
+
+
+def test_keys_may_repeat(spark):
+    """Pairs are those of rows: two rows of one key are two."""
+    df, points = vectors(spark, False, n=60)
+    twice = df.unionByName(df).where("sk_id < 60")
+    for sizes in ({}, {"cell_rows": 16, "pivots": 3, "bundle_rows": 16, "run_rows": 8}):
+        found = [(r.src, r.dst) for r in P.similarity_pairs(twice, "sk_id", "embedding", 0.5, 8, **sizes).collect()]
+        want = [pair for pair in brute(points, 0.5) for _ in range(4)] + [(i, i) for i in range(60)]
+        assert sorted(found) == sorted(want)
+
+
+def test_dense_and_sparse_products_agree():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(200, 5))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for threshold in (0.99, -0.5):  # few hits are computed one by one, many as a product
+        i, j, weight = P._hits(x[:90], x[90:], x[:90].astype(np.float32), threshold)
+        want = x[:90] @ x[90:].T
+        assert list(zip(i, j)) == list(zip(*np.nonzero(want >= threshold)))
+        assert np.abs(weight - want[i, j]).max() < 1e-12

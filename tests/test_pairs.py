@@ -216,3 +216,14 @@ def test_dense_and_sparse_products_agree():
         want = x[:90] @ x[90:].T
         assert list(zip(i, j)) == list(zip(*np.nonzero(want >= threshold)))
         assert np.abs(weight - want[i, j]).max() < 1e-12
+
+
+def test_splitting_keeps_one_row_for_a_vector(spark):
+    """On every level, also where nothing is out of reach; before, each level multiplied the rows by the cells in reach."""
+    points = np.random.default_rng(7).normal(size=(300, DIM))
+    nodes = spark.createDataFrame([(i, [float(x) for x in p]) for i, p in enumerate(points)], "key long, vector array<float>")
+    first = P._placements(nodes, P._pivots(nodes, "key", "vector", 4)).withColumn("cell", F.col("cell").cast("string"))
+    placed = P.split_placements(first, None, 8, 16, 4)
+    cells = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("h")).collect()
+    assert max(r.cell.count(".") for r in cells) >= 2 and max(r.h for r in cells) <= 16
+    assert placed.where("at_home").count() == placed.select("key").distinct().count() == placed.count() == 300

@@ -227,3 +227,20 @@ def test_splitting_keeps_one_row_for_a_vector(spark):
     cells = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("h")).collect()
     assert max(r.cell.count(".") for r in cells) >= 2 and max(r.h for r in cells) <= 16
     assert placed.where("at_home").count() == placed.select("key").distinct().count() == placed.count() == 300
+
+
+def test_pairs_of_a_graph_are_compared_once(spark, monkeypatch):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(*args, **settings):
+        def count(batches):
+            for batch in batches:
+                seen.add(len(batch))
+                yield batch
+
+        return P.similarity_pairs(*args, **settings).mapInPandas(count, "src bigint, dst bigint, weight double")
+
+    monkeypatch.setattr(G, "similarity_pairs", counted)
+    df, points = vectors(spark)
+    graph = G.threshold_graph(df, 0.8)
+    assert graph.where("src < dst").count() == len(brute(points, 0.8)) == seen.value

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -310,8 +311,11 @@ catalog.add("t7_nearest_centres", nearest_centres, "SELECT sk_id_curr, CAST(0 AS
 def joint_starts(v):
     """Costs of three starts that advance together less those of each start alone (relative, rounded), and the best one's."""
     table = projected(v).persist()
-    together = L.fit_clusters(table, "projected", 20, 3)
-    alone = [L.fit_clusters(table, "projected", 20, 1, L.SEED + i).trainingCost for i in range(3)]
+    # The fits don't need one another, and each is many short jobs: those of one run in the gaps of the others.
+    with ThreadPoolExecutor(4) as pool:
+        joint = pool.submit(L.fit_clusters, table, "projected", 20, 3)
+        single = [pool.submit(L.fit_clusters, table, "projected", 20, 1, L.SEED + i) for i in range(3)]
+    together, alone = joint.result(), [fit.result().trainingCost for fit in single]
     rows = [(i, round(a / b - 1, 6) + 0.0, together.trainingCost <= b * (1 + 1e-9)) for i, (a, b) in enumerate(zip(together.costs, alone))]
     found = v.spark.createDataFrame(rows, "start int, gap double, not_above boolean")
     return found.withColumn("n", table.agg(F.count(F.lit(1))).scalar())

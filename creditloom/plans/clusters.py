@@ -21,6 +21,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 ROUNDS, OVERSAMPLING, MAX_ITERATIONS, TOLERANCE, BLOCK = 2, 2, 20, 1e-4, 4096
+# Bytes of sums of all tasks that the driver takes and adds up itself; more are added up by centre in tasks first.
+DIRECT_BYTES = 8 << 20
+# Rows for which a pass has a task: with fewer, tasks take longer to start than to work.
+TASK_ROWS = 1 << 14
 
 
 @dataclass(frozen=True)
@@ -77,8 +81,13 @@ def _draws(hashes: np.ndarray, salt: int) -> np.ndarray:
     return (x >> np.uint64(11)).astype(float) * 2.0 ** -53
 
 
-def _partial_sums(points: DataFrame, centres: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
-    """Per start [centre, (sum of rows, number, squared distances)] over the rows nearest to each centre: one pass."""
+def _added(sums: list) -> np.ndarray:
+    """Sum of what tasks have found, in an order that doesn't depend on the order of tasks."""
+    return np.sort(np.stack(sums), axis=0).sum(0)
+
+
+def _partial_sums(points: DataFrame, centres: dict[int, np.ndarray], tasks: int) -> dict[int, np.ndarray]:
+    """Per start [centre, (sum of rows, number, squared distances)] over the rows nearest to each centre: one pass of ``tasks`` tasks."""
     stacked, bounds = np.concatenate(list(centres.values())), np.cumsum([0, *[len(c) for c in centres.values()]])
     numbers, width = list(centres), stacked.shape[1]
 
@@ -101,13 +110,18 @@ def _partial_sums(points: DataFrame, centres: dict[int, np.ndarray]) -> dict[int
             [pa.array(some), pa.array(total[some].tolist(), pa.list_(pa.float64()))], ["centre", "sums"])
 
     def add(group: pd.DataFrame) -> pd.DataFrame:  # one row per task that has rows near the centre
-        stack = np.sort(np.stack(group["sums"].to_numpy()), axis=0)
-        return pd.DataFrame({"centre": group["centre"].iloc[:1], "sums": [stack.sum(0)]})
+        return pd.DataFrame({"centre": group["centre"].iloc[:1], "sums": [_added(group["sums"].to_list())]})
 
     schema = "centre long, sums array<double>"
+    found = points.mapInArrow(work, schema)
+    if tasks * stacked.shape[0] * (width + 2) * 8 > DIRECT_BYTES:
+        found = found.groupBy("centre").applyInPandas(add, schema)
+    parts: dict[int, list] = {}
+    for r in found.collect():
+        parts.setdefault(r["centre"], []).append(r["sums"])
     out = np.zeros((len(stacked), width + 2))
-    for r in points.mapInArrow(work, schema).groupBy("centre").applyInPandas(add, schema).collect():
-        out[r["centre"]] = r["sums"]
+    for centre, sums in parts.items():
+        out[centre] = _added(sums)
     return {number: out[a:b] for number, a, b in zip(numbers, bounds, bounds[1:])}
 
 
@@ -161,21 +175,22 @@ def fit_starts(df: DataFrame, vector: str, clusters: int, starts: int, seed: int
     points = df.groupBy(vector_to_array(vector).alias("x")).agg(F.count(F.lit(1)).alias("n"))
     points = points.withColumn("h", F.xxhash64("x")).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        firsts = points.agg(F.sum("n").alias("n"), *[
+        firsts = points.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("rows"), *[
             F.min_by("x", F.xxhash64("h", F.lit(seed + i))).alias(f"x{i}") for i in range(starts)]).first()
         if not firsts["n"]:
             raise ValueError("no rows to cluster")
-        k = max(2, min(clusters, firsts["n"] - 1))
+        k, tasks = max(2, min(clusters, firsts["n"] - 1)), -(-firsts["rows"] // TASK_ROWS)
+        passed = points.coalesce(tasks)  # as many as there are, if these are fewer
         drawn = [np.array([firsts[f"x{i}"]], dtype=float) for i in range(starts)]
-        costs = [float(t[:, -1].sum()) for t in _partial_sums(points, dict(enumerate(drawn))).values()]
+        costs = [float(t[:, -1].sum()) for t in _partial_sums(passed, dict(enumerate(drawn)), tasks).values()]
         for turn in range(ROUNDS):
-            drawn = _candidates(points, drawn, costs, OVERSAMPLING * k, [(seed + i) * 100 + turn for i in range(starts)])
-            sums = _partial_sums(points, dict(enumerate(drawn)))
+            drawn = _candidates(passed, drawn, costs, OVERSAMPLING * k, [(seed + i) * 100 + turn for i in range(starts)])
+            sums = _partial_sums(passed, dict(enumerate(drawn)), tasks)
             costs = [float(t[:, -1].sum()) for t in sums.values()]
         centres = {i: _reduced(drawn[i], sums[i][:, -2], k, seed + i) for i in range(starts)}
         moving = set(centres)
         for _ in range(max_iterations):
-            for i, total in _partial_sums(points, {i: centres[i] for i in sorted(moving)}).items():
+            for i, total in _partial_sums(passed, {i: centres[i] for i in sorted(moving)}, tasks).items():
                 held = total[:, -2:-1] > 0
                 moved = np.where(held, total[:, :-2] / np.maximum(total[:, -2:-1], 1), centres[i])
                 if ((moved - centres[i]) ** 2).sum(1).max() <= tolerance ** 2:
@@ -183,7 +198,7 @@ def fit_starts(df: DataFrame, vector: str, clusters: int, starts: int, seed: int
                 centres[i] = moved
             if not moving:
                 break
-        costs = [float(t[:, -1].sum()) for t in _partial_sums(points, centres).values()]
+        costs = [float(t[:, -1].sum()) for t in _partial_sums(passed, centres, tasks).values()]
     finally:
         points.unpersist()
     return Clusters(vector, centres[int(np.argmin(costs))], tuple(costs))

@@ -52,3 +52,33 @@ def test_few_rows_and_copies(spark):
     assert {r.cluster for r in K.fit_starts(same, "v", 5, 2, 1).assign(same, "k").collect()} == {0}
     with pytest.raises(ValueError):
         K.fit_starts(same.where("k < 0"), "v", 5, 2, 1)
+
+
+def test_a_pass_is_one_stage_and_large_sums_are_added_in_tasks(spark, monkeypatch):
+    x = np.random.default_rng(4).normal(size=(300, 3))
+    rows = [([float(v) for v in row], 1 + i % 3) for i, row in enumerate(x)]
+    points = spark.createDataFrame(rows, "x array<double>, n long").cache()
+    points.count()
+    centres = {0: x[:4], 2: x[7:9]}
+    context = spark.sparkContext
+
+    def stages(name, found):
+        context.setJobGroup(name, name)
+        out = found()
+        jobs = context.statusTracker().getJobIdsForGroup(name)
+        context.setLocalProperty("spark.jobGroup.id", None)
+        return out, sum(len(context.statusTracker().getJobInfo(j).stageIds) for j in jobs)
+
+    direct, few = stages("direct", lambda: K._partial_sums(points, centres, 8))
+    monkeypatch.setattr(K, "DIRECT_BYTES", 0)
+    added, more = stages("added", lambda: K._partial_sums(points, centres, 8))
+    times = np.array([n for _, n in rows], dtype=float)
+    for i, c in centres.items():
+        assert (direct[i] == added[i]).all()
+        far = ((x[:, None, :] - c[None]) ** 2).sum(2)
+        for k in range(len(c)):
+            own = far.argmin(1) == k
+            assert direct[i][k, :3] == pytest.approx((x[own] * times[own, None]).sum(0))
+            assert direct[i][k, 3] == times[own].sum() and direct[i][k, 4] == pytest.approx((far[own, k] * times[own]).sum())
+    # Before, each pass had an exchange and a second stage.
+    assert few == 1 < more
